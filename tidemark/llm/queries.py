@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, quality_rules
-from tidemark.llm.common import table
+from tidemark.llm import chat_format, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, topk, toxicity
+from tidemark.llm.common import split_remainder, table
+
+#: The vocabulary of the packing query.
+VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +48,33 @@ FROM f
 """
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat_format.format_chats(table(spark, sf_dir, "conversations"))
+    return out.select(F.col("conv").alias("conv_id"), "part", "chunk", "pos", "turn", "role", "repaired_role", "action", "inserted", "segment")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def learn_lang(doc_id: Column) -> Column:
+    return split_remainder(doc_id, 4) != 2
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    models = language_id.learn_models(docs, learn_lang)
+    out = language_id.identify(docs.select("doc_id", "text"), models)
+    return out.select("doc_id", (~learn_lang(F.col("doc_id"))).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = table(spark, sf_dir, "documents").select("doc_id", "text"), lambda i: split_remainder(i, 3) != 1
+    out = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), learn)
+    return out.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "toxicity.score", "toxicity.predicted")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("mixing.topic").alias("topic"), F.round("mixing.prob", 6).alias("prob"), F.col("mixing.sampled").alias("sampled"))
@@ -80,6 +111,36 @@ FROM docs JOIN {last} USING (source, lang, topic)
 """
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, learn = table(spark, sf_dir, "documents").select("doc_id", "text"), lambda i: split_remainder(i, 4) != 2
+    out = quality_classifier.score_quality(docs, table(spark, sf_dir, "labels"), learn)
+    return out.select("doc_id", (~learn(F.col("doc_id"))).alias("held_out"), "quality_score.score", "quality_score.predicted")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.text", 256).alias("kept_sha256"))
@@ -99,7 +160,14 @@ FROM marked GROUP BY doc_id
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_format": op2_chat_format,
+    "op3_simhash": op3_simhash,
+    "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op6_source_mixing": op6_source_mixing,
+    "op7_exact_topk": op7_exact_topk,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op6_source_mixing": _op6_sql(), "op10_line_dedup": OP10_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op6_source_mixing": _op6_sql(), "op7_exact_topk": OP7_SQL, "op10_line_dedup": OP10_SQL}
