@@ -1,6 +1,6 @@
 """Registered queries and their SQL equivalents, gathered from the plan modules."""
 
-from tidemark.plans import traffic  # noqa: F401
+from tidemark.plans import relational, traffic  # noqa: F401
 from tidemark.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
