@@ -62,13 +62,17 @@ def keyword_count(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def affirmed(text: Column, words: tuple[str, ...], denial: str, before: int = 14, after: int = 10) -> Column:
-    """Whether a text mentions a word at least once without a denial in the window around it."""
+    """Whether a text mentions a word at least once without a denial in the window around it.
+
+    Windows are only cut where a text holds both a word and a denial. The look-behind takes ``before`` characters, or all
+    of them near the start.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
     alternatives = "|".join(w.lower() for w in words)
-    windows = F.regexp_extract_all(low, F.lit(rf"(?s)(?=((?<=(.{{0,{before}}}))(?:{alternatives}).{{0,{after}}}))"), F.lit(1))
-    found = F.regexp_count(low, F.lit(alternatives))
-    denied = F.size(F.filter(windows, lambda w: F.rlike(w, F.lit(denial))))
-    return (found > 0) & (F.size(windows) > denied)
+    place = F.lit(rf"(?s)(?<=(^.{{0,{before - 1}}}|.{{{before}}}))(?=((?:{alternatives}).{{0,{after}}}))")
+    windows = F.zip_with(F.regexp_extract_all(low, place, F.lit(1)), F.regexp_extract_all(low, place, F.lit(2)), lambda a, b: F.concat(a, b))
+    free = F.exists(windows, lambda w: ~F.rlike(w, F.lit(denial)))
+    return F.when(~F.rlike(low, F.lit(alternatives)), False).when(~F.rlike(low, F.lit(denial)), True).otherwise(free)
 
 
 def particle(word: Column, after_consonant: str, after_vowel: str) -> Column:

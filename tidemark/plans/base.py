@@ -27,7 +27,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-SOURCES = ("naver", "google", "semrush", "direct", "instagram", "naver", "daum", "spam")
+SOURCES = ("direct", "direct", "semrush", "direct", "instagram", "direct", "naver", "spam")
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:

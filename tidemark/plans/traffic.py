@@ -60,35 +60,35 @@ def bots_declared(spark, sf):
 
 @query(
     "bots_without_evidence",
-    f"""WITH {VISITS}, {VISITORS}, e AS (SELECT * FROM visits WHERE kind = 'error' AND k < 20)
+    f"""WITH {VISITS}, {VISITORS}, e AS (SELECT * FROM visits WHERE kind = 'error')
     SELECT e.anon_id FROM e LEFT JOIN visitors u USING (anon_id) GROUP BY e.anon_id
-    HAVING NOT coalesce(bool_or(src IN ('naver', 'google', 'bing', 'daum')), false) AND count(DISTINCT path) < 2 AND count(DISTINCT {DAY}) < 3
+    HAVING NOT coalesce(bool_or(src IN ('naver', 'google', 'bing', 'daum')), false) AND count(DISTINCT path) < 2 AND count(DISTINCT {DAY}) < 12
        AND NOT bool_or(regexp_matches(coalesce(user_agent, ''), '(?i)Mobile|iPhone|Android'))""",
 )
 def bots_without_evidence(spark, sf):
-    return t.without_evidence(visits(spark, sf).where("kind = 'error' AND k < 20"), visitors(spark, sf), pages=2, days=3)
+    return t.without_evidence(visits(spark, sf).where("kind = 'error'"), visitors(spark, sf), pages=2, days=12)
 
 
 @query(
     "bots_zero_dwell",
-    f"""WITH {VISITS}, {VISITORS}, e AS (SELECT * FROM visits WHERE kind = 'click' AND k < 20)
+    f"""WITH {VISITS}, {VISITORS}, e AS (SELECT * FROM visits WHERE kind = 'click')
     SELECT anon_id FROM (SELECT e.anon_id, count(DISTINCT path) p, max(coalesce(duration_ms, 0)) d, bool_or(coalesce(src IN ('naver', 'google', 'bing', 'daum'), false)) s,
       max(coalesce(sessions, 0)) n, bool_or(coalesce(agreed, false)) a, bool_or(coalesce(internal, false)) i FROM e LEFT JOIN visitors u USING (anon_id) GROUP BY 1)
-    WHERE d <= 60000 AND p <= 2 AND n <= 1 AND NOT s AND NOT a AND NOT i""",
+    WHERE d <= 200000 AND p <= 12 AND n <= 1 AND NOT s AND NOT a AND NOT i""",
 )
 def bots_zero_dwell(spark, sf):
-    return t.zero_dwell(visits(spark, sf).where("kind = 'click' AND k < 20"), visitors(spark, sf), dwell_ms=60_000)
+    return t.zero_dwell(visits(spark, sf).where("kind = 'click'"), visitors(spark, sf), pages=12, dwell_ms=200_000)
 
 
 @query(
     "bots_self_links",
-    f"""WITH {VISITS}, {VISITORS}, e AS (SELECT * FROM visits WHERE kind = 'click' AND k < 20)
+    f"""WITH {VISITS}, {VISITORS}, e AS (SELECT * FROM visits WHERE kind = 'click')
     SELECT anon_id FROM (SELECT u.anon_id, count(DISTINCT path) p, max(coalesce(duration_ms, 0)) d, bool_or(coalesce(src IN ('naver', 'google', 'bing', 'daum'), false)) s
       FROM visitors u LEFT JOIN e USING (anon_id) WHERE referrer ILIKE '%example.org/?cafe=%' AND NOT coalesce(agreed, false) AND NOT coalesce(internal, false) AND coalesce(sessions, 1) <= 2 GROUP BY 1)
-    WHERE d <= 60000 AND p <= 2 AND NOT s""",
+    WHERE d <= 200000 AND p <= 12 AND NOT s""",
 )
 def bots_self_links(spark, sf):
-    return t.self_links(visits(spark, sf).where("kind = 'click' AND k < 20"), visitors(spark, sf), "%example.org/?cafe=%", dwell_ms=60_000)
+    return t.self_links(visits(spark, sf).where("kind = 'click'"), visitors(spark, sf), "%example.org/?cafe=%", pages=12, dwell_ms=200_000)
 
 
 GAPS = "SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {m} MINUTE THEN 0 ELSE 1 END AS new FROM visits WINDOW w AS ({part}ORDER BY ts)"
@@ -172,11 +172,11 @@ STEPS = ["view", "click", "signup", "purchase"]
 
 @query(
     "funnel",
-    f"""WITH {VISITS}, c AS (SELECT {", ".join(f"count(DISTINCT anon_id) FILTER (WHERE kind = '{s}' AND k < 30) AS {s}" for s in STEPS)} FROM visits)
+    f"""WITH {VISITS}, c AS (SELECT {", ".join(f"count(DISTINCT anon_id) FILTER (WHERE kind = '{s}' AND duration_ms >= 150000) AS {s}" for s in STEPS)} FROM visits)
     {" UNION ALL ".join(f"SELECT {i}::INTEGER AS no, '{s}' AS step, {s} AS visitors, least(1.0, {s}::DOUBLE / nullif({STEPS[max(0, i - 1)]}, 0)) AS capped_rate FROM c" for i, s in enumerate(STEPS))}""",
 )
 def funnel(spark, sf):
-    return t.funnel(visits(spark, sf).where("k < 30"), STEPS)
+    return t.funnel(visits(spark, sf).where("duration_ms >= 150000"), STEPS)
 
 
 @query(
@@ -204,12 +204,12 @@ def day_type_means(spark, sf):
 
 @query(
     "serious_visitors",
-    f"""WITH {VISITS}, e AS (SELECT * FROM visits WHERE k < 12), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY anon_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e)
+    f"""WITH {VISITS}, e AS (SELECT * FROM visits), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY anon_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e)
     SELECT anon_id, count(DISTINCT path) FILTER (WHERE path LIKE '/c/%') AS pages, sum(duration_ms)::BIGINT AS dwell_ms, sum(new)::BIGINT AS sessions,
       (count(DISTINCT path) FILTER (WHERE path LIKE '/c/%') >= 2 OR sum(duration_ms) >= 60000 OR sum(new) >= 2) AS serious FROM g GROUP BY 1""",
 )
 def serious_visitors(spark, sf):
-    return t.serious(visits(spark, sf).where("k < 12"))
+    return t.serious(visits(spark, sf))
 
 
 @query(
