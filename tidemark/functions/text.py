@@ -69,8 +69,8 @@ def affirmed(text: Column, words: tuple[str, ...], denial: str, before: int = 14
     """
     low = F.lower(F.coalesce(text, F.lit("")))
     alternatives = "|".join(w.lower() for w in words)
-    place = F.lit(rf"(?s)(?<=(^.{{0,{before - 1}}}|.{{{before}}}))(?=((?:{alternatives}).{{0,{after}}}))")
-    windows = F.zip_with(F.regexp_extract_all(low, place, F.lit(1)), F.regexp_extract_all(low, place, F.lit(2)), lambda a, b: F.concat(a, b))
+    place = F.lit(rf"(?s)(?=((?:{alternatives}).{{0,{after}}}))(?<=(^.{{0,{before - 1}}}|.{{{before}}}))")
+    windows = F.zip_with(F.regexp_extract_all(low, place, F.lit(2)), F.regexp_extract_all(low, place, F.lit(1)), lambda a, b: F.concat(a, b))
     free = F.exists(windows, lambda w: ~F.rlike(w, F.lit(denial)))
     return F.when(~F.rlike(low, F.lit(alternatives)), False).when(~F.rlike(low, F.lit(denial)), True).otherwise(free)
 
