@@ -8,7 +8,9 @@ Partitions that miss their bound put their loose bins into a common pool, which
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,51 +29,66 @@ PART_PIECES = 50_000
 ROUNDS = 2
 #: A bin of a partition that misses its bound is exchanged if it is filled less than this.
 LOOSE = 0.995
-#: Chunks of text whose ids a worker remembers, and the longest that it does.
-CACHE_ENTRIES = 300_000
-CACHE_CHARS = 48
+#: Blank-separated chunks and words whose ids a worker remembers (twice as many at most), and the longest such chunk.
+CHUNKS, WORDS, CHUNK_CHARS = 200_000, 350_000, 48
 SEGMENT = 1 << 20
 
-_tokenizers: dict[int, tuple] = {}
+#: A Latin word with ASCII punctuation behind it: the vocabulary's splitter parts the two, and the word is stable under NFC.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+_encoders: dict[int, Callable[[str], bytes]] = {}
 
 
 # ---------------------------------------------------------------- tokens
 
 
+class Recent(dict):
+    """Remembers what ``make`` gave for recent keys, in two generations of at most ``limit`` keys; frequent keys stay."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int, longest: int) -> None:
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def encoder(spec: str) -> Callable[[str], bytes]:
     """Text to little-endian unsigned 32-bit ids, equal to the tokenizer's own ids without special tokens added.
 
     The vocabulary splits at white space and never joins across it, so the ids of a text are those of its blank-separated
-    chunks in turn; frequent chunks are looked up. Texts are cut only at blanks, to bound memory.
+    chunks in turn; recent chunks, and the lower-cased words in them, are looked up. Texts are cut only at blanks, to bound
+    memory.
     """
-    key = zlib.crc32(spec.encode())
-    if key not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    known = zlib.crc32(spec.encode())
+    if known in _encoders:
+        return _encoders[known]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(spec)
+    raw = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    words = Recent(raw, WORDS, CHUNK_CHARS)
 
-        _tokenizers[key] = (Tokenizer.from_str(spec), {"": b""})
-    tokenizer, cache = _tokenizers[key]
+    def chunk(text: str) -> bytes:
+        simple = _SIMPLE.fullmatch(text)
+        if not simple:
+            return raw(text) if text else b""
+        word, rest = simple.groups()
+        return words[word.lower()] + words[rest] if rest else words[word.lower()]
+
+    chunks = Recent(chunk, CHUNKS, CHUNK_CHARS)
 
     def segment(text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        missing = list(set(chunks).difference(cache))
-        if not missing:
-            return b"".join(map(cache.__getitem__, chunks))
-        found = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True)}
-        both = cache | found if len(found) * 8 > len(cache) else None
-        if both is None:
-            cache.update(found)
-            out = b"".join(map(cache.__getitem__, chunks))
-            for c in found:
-                if len(c) > CACHE_CHARS:
-                    del cache[c]
-        else:
-            out = b"".join(map(both.__getitem__, chunks))
-            cache.update((c, v) for c, v in found.items() if len(c) <= CACHE_CHARS)
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-            cache[""] = b""
-        return out
+        return b"".join(map(chunks.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
     def encode(text: str) -> bytes:
         if len(text) <= SEGMENT:
@@ -86,7 +103,7 @@ def encoder(spec: str) -> Callable[[str], bytes]:
             at = end
         return b"".join(out)
 
-    return encode
+    return _encoders.setdefault(known, encode)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
