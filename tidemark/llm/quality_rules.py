@@ -7,6 +7,7 @@ rules then run in the order of rejections per cost, each one only on rows that n
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -98,49 +99,48 @@ def text_rules(text: Column) -> list[Rule]:
     ]
 
 
-def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every whole text; null text counts as empty.
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. A plain column could be inlined into a lambda and computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    n_repeat_words counts the words covered by 5-word windows that occur twice or more: windows are hashed, sorted with
-    their positions, and equal neighbours are marked, in memory that is linear in the text.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    a = docs.select(F.col(id_col).alias("id"), text.alias("text"), words(F.col(text_col)).alias("w"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
+
+def _repeated_words(w: Column) -> Column:
+    """Words covered by windows that occur twice or more: windows are hashed and sorted with their places, equal neighbours marked."""
     window = F.transform(
-        F.when(F.size("w") >= WINDOW, F.sequence(F.lit(0), F.size("w") - WINDOW)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]).alias("h"), i.alias("i")),
-    )
-    b = a.select(
-        "id",
-        "text",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        lines.alias("lines"),
-        F.sort_array(window).alias("s"),
+        F.when(F.size(w) >= WINDOW, F.sequence(F.lit(0), F.size(w) - WINDOW)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]).alias("h"), i.alias("i")),
     )
 
-    def twin(x: Column, i: Column) -> Column:
-        same = [F.coalesce(F.get("s", i + k)["h"] == x["h"], F.lit(False)) for k in (-1, 1)]
-        return same[0] | same[1]
+    def places(s: Column) -> Column:
+        same = lambda x, i, k: F.coalesce(F.get(s, i + k)["h"] == x["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i, -1) | same(x, i, 1)), lambda x: x["i"]))
 
-    c = b.select(
-        "id",
-        "text",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.sort_array(F.transform(F.filter("s", twin), lambda x: x["i"])).alias("p"),
-    )
     covered = F.aggregate(
-        "p",
+        bound(F.sort_array(window), places),
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")),
         lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), x - acc["last"])).alias("n")),
         lambda acc: acc["n"].cast("long"),
     )
-    return c.select("id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
+    return covered
+
+
+def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every whole text; null text counts as empty.
+
+    Time is n log n and memory linear in a text, also where a later filter makes Spark compute a metric twice.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
+    counts = bound(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated_words(w).alias("n_repeat_words")))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", counts.alias("c")).select(
+        "id",
+        "text",
+        "c.n_words",
+        "c.word_chars",
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        bound(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+        "c.n_repeat_words",
+    )
 
 
 def base_failed() -> Column:
