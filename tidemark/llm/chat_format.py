@@ -110,7 +110,7 @@ def repair(roles: list[int], start: int = START, end: int | None = None) -> list
     """(role, action, inserted roles before it) of each turn on a cheapest walk from ``start``; ``end`` fixes the last state."""
     finish = FINISH if end is None else [0 if s == end else FAR for s in range(STATES)]
     states = through([COST[r] for r in roles], start, finish)
-    return [(t, *STEP[r][s][t][1:]) for r, s, t in zip(roles, [start, *states[:-1]], states, strict=True)]
+    return [(t, *STEP[r][s][t][1:]) for r, s, t in zip(roles, [start, *states[:-1]][: len(states)], states, strict=True)]
 
 
 def header(role: int) -> str:
