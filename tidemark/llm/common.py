@@ -60,8 +60,9 @@ def with_scores(
     """``docs`` with a struct column ``name`` computed from whole texts in Arrow batches.
 
     ``scorer()`` is called once in each task and returns a function from a list of texts (None: null) to one array per field.
-    All other columns pass through unchanged, whatever their names.
+    All other columns pass through unchanged; one named ``name`` is replaced.
     """
+    docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.StructType(fields))])
     at = docs.columns.index(text_col)
     kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}

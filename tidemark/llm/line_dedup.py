@@ -46,14 +46,15 @@ def repeated_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return own.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with a struct column ``line_dedup`` (text, n_lines, n_dropped): lines under a repeated key go, except in the largest id.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, out: str = "line_dedup") -> DataFrame:
+    """``docs`` with a struct column ``out`` (text, n_lines, n_dropped): lines under a repeated key go, except in the largest id.
 
     Null or empty text is one empty line. Keys shorter than ``min_chars`` code points always stay. Rows that share an id
     count as separate documents for the threshold, and all of them keep a line whose largest id is theirs. Rows with a
     null id are documents too, but are never the keeper unless all holders have a null id (then they all lose the line).
-    A document that loses all lines keeps an empty text. Other columns pass through.
+    A document that loses all lines keeps an empty text. Other columns pass through; one named as ``out`` is replaced.
     """
+    docs = docs.drop(out)
     repeated = staged(repeated_keys(docs, id_col, text_col, min_chars, min_docs).select("key", "keeper"), "line-keys")
     held = (
         _hashed_lines(docs, id_col, text_col, min_chars)
@@ -62,20 +63,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(~F.col("id").eqNullSafe(F.col("keeper")) | F.col("id").isNull())
     )
     drops = staged(held.groupBy("id").agg(F.collect_set("key").alias("gone")), "line-drops")
-    drops = drops.select(F.struct("id").alias("line_dedup_id"), F.struct("gone").alias("line_dedup"))
-    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("line_dedup_id.id")), "left")
+    drops = drops.select(F.struct("id").alias("__line_of"), F.struct("gone").alias("__line_drop"))
+    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("__line_of.id")), "left")
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    gone = F.col("line_dedup.gone")
+    gone = F.col("__line_drop.gone")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
         return (F.char_length(key) < min_chars) | ~F.array_contains(gone, key_hash(key))
 
     kept = F.when(gone.isNull(), lines).otherwise(F.filter(lines, stays))
-    out = joined.select(*[F.col(c) for c in docs.columns], lines.alias("__line_all"), kept.alias("__line_kept"))
+    cut = joined.select(*[F.col(c) for c in docs.columns], lines.alias("__line_all"), kept.alias("__line_kept"))
     result = F.struct(
         F.array_join("__line_kept", "\n").alias("text"),
         F.size("__line_all").cast("long").alias("n_lines"),
         (F.size("__line_all") - F.size("__line_kept")).cast("long").alias("n_dropped"),
     )
-    return out.select(*[F.col(c) for c in docs.columns], result.alias("line_dedup"))
+    return cut.select(*[F.col(c) for c in docs.columns], result.alias(out))

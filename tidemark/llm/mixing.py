@@ -95,13 +95,15 @@ def mix(
     shares: dict[str, DataFrame] | None = None,
     keep_share: float = KEEP_SHARE,
     rounds: int = ROUNDS,
+    out: str = "mixing",
 ) -> DataFrame:
-    """``docs`` with a struct column ``mixing`` (source, lang, topic, prob, sampled); filter on ``mixing.sampled`` for the sample.
+    """``docs`` with a struct column ``out`` (source, lang, topic, prob, sampled); filter on its ``sampled`` for the sample.
 
     Null groups are ``unknown``, empty texts form a topic of their own, rows with the same id are drawn alike, and an
     empty table gives an empty result. Cell probabilities are a written table: the optimizer broadcasts them only where
-    their measured size is under the session's threshold.
+    their measured size is under the session's threshold. An input column named as ``out`` is replaced.
     """
+    docs = docs.drop(out)
     table = staged(cells(docs, text_col, source_col, lang_col), "mix-sums")
     prob = staged(probabilities(rake(table, shares, rounds), keep_share), "mix-prob").select(*[F.col(m).alias(f"__cell_{m}") for m in MARGINS], F.col("prob").alias("__cell_prob"))
     group = F.struct(
@@ -112,4 +114,4 @@ def mix(
     keyed = docs.select(*[F.col(c) for c in docs.columns], group.alias("__cell"))
     joined = keyed.join(prob, [F.col(f"__cell.{m}") == F.col(f"__cell_{m}") for m in MARGINS], "left")
     verdict = F.struct("__cell.*", F.col("__cell_prob").alias("prob"), (draw(F.col(id_col)) < F.col("__cell_prob")).alias("sampled"))
-    return joined.select(*[F.col(c) for c in docs.columns], verdict.alias("mixing"))
+    return joined.select(*[F.col(c) for c in docs.columns], verdict.alias(out))
