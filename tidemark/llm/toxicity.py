@@ -23,7 +23,10 @@ UNLABELLED = 4000
 TRAIN_CHARS = 60_000
 #: Features kept by screening: those whose rate among positives exceeds the unlabelled rate most surely.
 FEATURES = 256
-MIN_Z = 4.0
+#: A feature counts from this z-score on, and from this part of the largest one: chance finds among very many features go.
+MIN_Z, PART_OF_LARGEST = 5.0, 0.22
+#: Log-ratio of the rates of positives and unlabelled texts from which on a feature tells them apart by itself.
+MIN_LOG_RATIO = 1.0
 STEPS = 300
 THRESHOLD = 0.7
 
@@ -82,8 +85,11 @@ def screen(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray
     b = np.bincount(inverse[len(positive[0]) :], minlength=len(keys))
     rate = (a + b + 1) / (n_p + n_u + 2)
     z = np.abs(a / max(1, n_p) - b / max(1, n_u)) / np.sqrt(rate * (1 - rate) * (1 / max(1, n_p) + 1 / max(1, n_u)))
+    ratio = np.log((a + 0.5) / (n_p + 1) / ((b + 0.5) / (n_u + 1)))
+    z = np.where(np.abs(ratio) >= MIN_LOG_RATIO, z, 0.0)  # words of a language or topic that positives merely lean to
     best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(keys[best[z[best] >= min(MIN_Z, z[best].max(initial=0.0))]])
+    largest = z[best].max(initial=0.0)
+    return np.sort(keys[best[z[best] >= min(max(MIN_Z, PART_OF_LARGEST * largest), largest)]])
 
 
 def non_negative_risk(margin_p: np.ndarray, margin_u: np.ndarray, prior: float) -> tuple[float, float]:
@@ -92,16 +98,23 @@ def non_negative_risk(margin_p: np.ndarray, margin_u: np.ndarray, prior: float)
     return prior * loss(margin_p).mean(), loss(-margin_u).mean() - prior * loss(-margin_p).mean()
 
 
-def fit(positive: list, unlabelled: list, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """A model from texts of confirmed examples and unlabelled texts. Without either, every score is the prior's."""
+def fit(positive: list, unlabelled: list, prior: float, steps: int = STEPS, rate: float = 0.01, decay: float = 1e-2) -> Model:
+    """A model from texts of confirmed examples and unlabelled texts. Without either, every score is the prior's.
+
+    Weights start at the log-ratios of document rates among positives and negatives, where the rate among negatives is the
+    unlabelled rate corrected by the prior and never negative; gradient steps on the risk then move them, drawn to their start.
+    """
     prior = float(np.clip(prior, 1e-3, 0.9))
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
     keys = screen(grams(positive), grams(unlabelled), len(positive), len(unlabelled))
     (at_p, own_p), (at_u, own_u) = present(positive, keys), present(unlabelled, keys)
     n_p, n_u = len(positive), len(unlabelled)
-    w = np.zeros(len(keys) + 1)
-    w[-1] = -1.0
+    rate_p = (np.bincount(at_p, minlength=len(keys)) + 0.5) / (n_p + 1)
+    rate_u = (np.bincount(at_u, minlength=len(keys)) + 0.5) / (n_u + 1)
+    rate_n = np.maximum((rate_u - prior * rate_p) / (1 - prior), 0.5 / (n_u + 1))
+    start = np.r_[np.clip(np.log(rate_p / rate_n), -3, 6), np.log(prior / (1 - prior))]
+    w = start.copy()
     m, v = np.zeros_like(w), np.zeros_like(w)
 
     def spread(own: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -118,7 +131,7 @@ def fit(positive: list, unlabelled: list, prior: float, steps: int = STEPS, rate
         on_negative = gradient(own_u, at_u, d_u / n_u) - prior * gradient(own_p, at_p, d_p / n_p)
         # below zero the negative part over-fits the positives: step back along it alone
         g = gradient(own_p, at_p, -prior * d_p / n_p) + on_negative if negative >= 0 else -on_negative
-        g[:-1] += decay * w[:-1]
+        g += decay * (w - start)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     z_p, z_u = spread(own_p, at_p, n_p), spread(own_u, at_u, n_u)
