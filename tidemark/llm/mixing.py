@@ -3,6 +3,10 @@
 Documents are summed into cells (source, language, topic) with map-side combination; raking works on the cell table
 alone, whose size is the number of distinct combinations and not of documents. Each pass scales the cells to the source,
 then the language, then the topic marginal with one window each.
+
+A cell cannot give more tokens than it holds. ``rake`` knows no such bound: a draw at ``least(1, .)`` loses the mass over
+one. ``bounded_rake`` has the bound in the fit: weight = least(bound, tokens times a factor of each group), and each step
+finds the group's factor at which its bounded weights meet the target, so other cells of the group take the excess.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ ROUNDS = 12
 MARGINS = ("source", "lang", "topic")
 #: Target shares by margin are natural shares raised to this power and normalised: small groups gain.
 FLATTEN = 0.7
-#: Share of the corpus tokens that the mixture keeps, before probabilities are capped at one.
+#: Share of the corpus tokens that the mixture keeps; without ``bounded``, before probabilities are capped at one.
 KEEP_SHARE = 0.5
 SALT = "mix-1"
 
@@ -76,9 +80,65 @@ def rake(cell_table: DataFrame, shares: dict[str, DataFrame] | None = None, roun
     return out
 
 
+def _filled(df: DataFrame, group: str, bound: str, value: str, goal: str) -> DataFrame:
+    """``df`` with ``value`` scaled in each ``group`` so that the sum of least(``bound``, ``value``) is ``goal``.
+
+    ``goal`` is a column that is constant in the group and at most the sum of bounds. Rows are met in the order in which
+    they reach their bound; rows without bound get zero.
+    """
+    whole, so_far = Window.partitionBy(group), Window.partitionBy(group).orderBy("__at")
+    out = df.withColumn("__at", F.when((F.col(bound) > 0) & (F.col(value) > 0), F.col(bound) / F.col(value)))
+    live = F.col("__at").isNotNull()
+    out = out.withColumn("__u", F.sum(F.when(live, F.col(bound)).otherwise(0.0)).over(so_far)).withColumn("__v", F.sum(F.when(live, F.col(value)).otherwise(0.0)).over(so_far))
+    reached = F.col("__u") + F.col("__at") * (F.sum(F.when(live, F.col(value)).otherwise(0.0)).over(whole) - F.col("__v"))
+    out = out.withColumn("__full", live & (reached <= F.col(goal)))
+    rest = F.col(goal) - F.coalesce(F.sum(F.when(F.col("__full"), F.col(bound))).over(whole), F.lit(0.0))
+    free = F.sum(F.when(live & ~F.col("__full"), F.col(value))).over(whole)
+    least = F.max(F.when(F.col("__full"), F.col("__at"))).over(whole)
+    out = out.withColumn("__factor", F.greatest(F.when(free > 0, rest / free), least))
+    return out.withColumn(value, F.when(live, F.col(value) * F.col("__factor")).otherwise(0.0)).drop("__at", "__u", "__v", "__full", "__factor")
+
+
+def feasible(raked: DataFrame, margin: str, bound: str = "bound") -> DataFrame:
+    """(margin, goal): tokens that each group of a margin is to give. A target over what the group holds is cut to that and
+    the rest goes to the other groups in proportion to their targets, so that the sum stays as far as all hold so much."""
+    groups = raked.groupBy(margin).agg(F.sum(bound).alias("held"), (F.first(f"share_{margin}") * F.first("corpus")).alias("goal"))
+    totals = groups.agg(F.least(F.sum("goal"), F.sum(F.when(F.col("goal") > 0, F.col("held")).otherwise(0.0))).alias("sum"))
+    one = groups.crossJoin(F.broadcast(totals)).withColumn("all", F.lit(1))
+    return _filled(one, "all", "held", "goal", "sum").select(margin, F.least("held", "goal").alias(f"goal_{margin}"))
+
+
+def bounded_rake(cell_table: DataFrame, keep_share: float, shares: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, margins: tuple[str, ...] = MARGINS) -> DataFrame:
+    """As ``rake``, with no weight over tokens / ``keep_share``: every inclusion probability is one at most and no mass is lost.
+
+    Where a group holds less than its target at this share, all of it is kept and the other groups share the rest
+    (``feasible``). The last margin is met exactly, the others as far as the cells allow.
+    """
+    shares = shares or {}
+    total = cell_table.agg(F.sum("tokens").cast("double").alias("corpus"))
+    out = cell_table.crossJoin(F.broadcast(total))
+    for m in margins:
+        out = out.join(shares.get(m, targets(cell_table, m)).withColumnRenamed("share", f"share_{m}"), m, "left")
+    out = out.fillna(0.0, [f"share_{m}" for m in margins])
+    wanted = F.least(*[F.col(f"share_{m}") for m in margins], F.lit(1.0)) > 0
+    tokens = F.when(wanted, F.col("tokens").cast("double")).otherwise(0.0)
+    out = staged(out.withColumn("bound", tokens / F.lit(keep_share)).withColumn("free", tokens), "mix-cells")
+    for m in margins:
+        out = out.join(staged(feasible(out, m), "mix-goals"), m)
+    out = staged(out, "mix-bounds")
+    for i in range(rounds):
+        for m in margins:
+            out = _filled(out, m, "bound", "free", f"goal_{m}")
+        if i % 2 == 1 and i + 1 < rounds:
+            out = staged(out, "mix-rake")
+    return out.withColumn("weight", F.least("bound", "free"))
+
+
 def probabilities(raked: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """(source, lang, topic, prob): inclusion probability of each document of a cell, at most one."""
-    return raked.select(*MARGINS, F.least(F.lit(1.0), F.lit(keep_share) * F.col("weight") / F.col("tokens")).alias("prob"))
+    """(source, lang, topic, prob, times): inclusion probability of each document of a cell, at most one, and how often the
+    fit wants the document, which is over one where a cell holds less than its weight."""
+    times = F.lit(keep_share) * F.col("weight") / F.col("tokens")
+    return raked.select(*MARGINS, F.least(F.lit(1.0), times).alias("prob"), times.alias("times"))
 
 
 def draw(doc_id: Column, salt: str = SALT) -> Column:
@@ -96,16 +156,21 @@ def mix(
     keep_share: float = KEEP_SHARE,
     rounds: int = ROUNDS,
     out: str = "mixing",
+    bounded: bool = True,
 ) -> DataFrame:
-    """``docs`` with a struct column ``out`` (source, lang, topic, prob, sampled); filter on its ``sampled`` for the sample.
+    """``docs`` with a struct column ``out`` (source, lang, topic, prob, sampled, copies); filter on its ``sampled`` for the sample.
 
+    With ``bounded`` each document is wanted once at most (``bounded_rake``) and ``copies`` is 0 or 1. Without it weights
+    follow ``rake``: ``copies`` is the whole part of what the fit wants and a draw for the rest, so repeating each document
+    so often meets the targets; ``sampled`` alone, once each, loses what cells want over one.
     Null groups are ``unknown``, empty texts form a topic of their own, rows with the same id are drawn alike, and an
     empty table gives an empty result. Cell probabilities are a written table: the optimizer broadcasts them only where
     their measured size is under the session's threshold. An input column named as ``out`` is replaced.
     """
     docs = docs.drop(out)
     table = staged(cells(docs, text_col, source_col, lang_col), "mix-sums")
-    prob = staged(probabilities(rake(table, shares, rounds), keep_share), "mix-prob").select(*[F.col(m).alias(f"__cell_{m}") for m in MARGINS], F.col("prob").alias("__cell_prob"))
+    raked = bounded_rake(table, keep_share, shares, rounds) if bounded else rake(table, shares, rounds)
+    prob = staged(probabilities(raked, keep_share), "mix-prob").select(*[F.col(m).alias(f"__cell_{m}") for m in MARGINS], F.col("prob").alias("__cell_prob"), F.col("times").alias("__cell_times"))
     group = F.struct(
         F.coalesce(F.col(source_col).cast("string"), F.lit("unknown")).alias("source"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("unknown")).alias("lang"),
@@ -113,5 +178,7 @@ def mix(
     )
     keyed = docs.select(*[F.col(c) for c in docs.columns], group.alias("__cell"))
     joined = keyed.join(prob, [F.col(f"__cell.{m}") == F.col(f"__cell_{m}") for m in MARGINS], "left")
-    verdict = F.struct("__cell.*", F.col("__cell_prob").alias("prob"), (draw(F.col(id_col)) < F.col("__cell_prob")).alias("sampled"))
+    whole = F.floor("__cell_times")
+    copies = whole + (draw(F.col(id_col)) < F.col("__cell_times") - whole).cast("long")
+    verdict = F.struct("__cell.*", F.col("__cell_prob").alias("prob"), (draw(F.col(id_col)) < F.col("__cell_prob")).alias("sampled"), copies.alias("copies"))
     return joined.select(*[F.col(c) for c in docs.columns], verdict.alias(out))
