@@ -40,22 +40,29 @@ def _hashed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -
     return keyed.select("id", "lines", keys.alias("keys"))
 
 
-def repeated_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(key, n_docs, keeper): keys found in at least ``min_docs`` documents and the largest id that holds each."""
+def repeated_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, by_id: bool = False) -> DataFrame:
+    """(key, n_docs, keeper): keys found in at least ``min_docs`` documents and the largest id that holds each.
+
+    A document is a row, or with ``by_id`` all rows of one id; a row with a null id is one of its own in either case.
+    """
     own = _hashed_lines(docs, id_col, text_col, min_chars).select("id", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
-    return own.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    if by_id:
+        own = own.groupBy("key", "id").agg(F.when(F.col("id").isNull(), F.count("*")).otherwise(1).alias("n"))
+    else:
+        own = own.withColumn("n", F.lit(1))
+    return own.groupBy("key").agg(F.sum("n").alias("n_docs"), F.max("id").alias("keeper")).where(F.col("n_docs") >= min_docs)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, out: str = "line_dedup") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, out: str = "line_dedup", by_id: bool = False) -> DataFrame:
     """``docs`` with a struct column ``out`` (text, n_lines, n_dropped): lines under a repeated key go, except in the largest id.
 
     Null or empty text is one empty line. Keys shorter than ``min_chars`` code points always stay. Rows that share an id
-    count as separate documents for the threshold, and all of them keep a line whose largest id is theirs. Rows with a
+    count as separate documents for the threshold, with ``by_id`` as one, and all of them keep a line whose largest id is theirs. Rows with a
     null id are documents too, but are never the keeper unless all holders have a null id (then they all lose the line).
     A document that loses all lines keeps an empty text. Other columns pass through; one named as ``out`` is replaced.
     """
     docs = docs.drop(out)
-    repeated = staged(repeated_keys(docs, id_col, text_col, min_chars, min_docs).select("key", "keeper"), "line-keys")
+    repeated = staged(repeated_keys(docs, id_col, text_col, min_chars, min_docs, by_id).select("key", "keeper"), "line-keys")
     held = (
         _hashed_lines(docs, id_col, text_col, min_chars)
         .select("id", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
