@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,21 +26,61 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor a checkpoint directory exists (a test session) a temporary folder is set.
+    Only where neither the setting nor a checkpoint directory exists and everything runs in one JVM (a test session), a
+    temporary folder is set. Elsewhere that is an error: executors of other machines would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Folders written by ``staged`` that nothing has removed yet.
+_written: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, gives exact sizes to the optimizer."""
+    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, gives exact sizes to the optimizer.
+
+    The folder stays until ``discard`` of the result, ``clear_staged`` or the end of the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the folder of a staged table that no later action reads; other tables are left alone."""
+    path = getattr(df, "_staged_at", None)
+    if path in _written:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all staged folders of this driver. Results that still read them must have been written before."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    spark = SparkSession._instantiatedSession
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            clear_staged(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -170,23 +213,75 @@ def token_hashes(texts: list, lower: bool = True) -> Iterator[tuple[int, int, np
         yield (first, first + len(pieces), *_joined(pieces, lower))
 
 
+def _cut(raw: bytes) -> Iterator[bytes]:
+    """Pieces of about SLICE_BYTES, cut after blanks only: a token is never split, however long it is."""
+    at = 0
+    while at < len(raw):
+        end = min(len(raw), at + SLICE_BYTES)
+        if end < len(raw):
+            back = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end))
+            if back > at:
+                end = back + 1
+            else:
+                ahead = [i for i in (raw.find(b" ", end), raw.find(b"\n", end)) if i >= 0]
+                end = min(ahead) + 1 if ahead else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def _joined(pieces: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     if len(pieces) == 1 and len(pieces[0]) > SLICE_BYTES:
-        raw, at, found = pieces[0], 0, []
-        while at < len(raw):
-            end = min(len(raw), at + SLICE_BYTES)
-            if end < len(raw):
-                cut = max(raw.rfind(b" ", at, end), raw.rfind(b"\n", at, end))
-                end = cut + 1 if cut > at else end
-            found.append(_hash_slice(raw[at:end], lower)[0])
-            at = end
-        hashes = np.concatenate(found)
+        hashes = np.concatenate([_hash_slice(part, lower)[0] for part in _cut(pieces[0])])
         return hashes, np.array([0, len(hashes)])
     hashes, starts = _hash_slice(b"\n".join(pieces), lower)
     begins = np.cumsum([0] + [len(p) + 1 for p in pieces])
     return hashes, np.searchsorted(starts, begins)
 
 
+def word_stems(texts: list, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]]:
+    """(text, word hash, stems) in slices of about SLICE_BYTES, each word of a text once in a slice; words are lower-cased.
+
+    ``stems`` maps each of ``lengths`` to (places, hashes): the words that are longer than so many bytes and the hash of
+    their first so many bytes. A text longer than a slice spans several, in which its words may come again.
+    """
+    raws = [(text or "").encode("utf-8", "surrogatepass") for text in texts]
+    at = 0
+    while at < len(raws):
+        if len(raws[at]) > SLICE_BYTES:
+            for part in _cut(raws[at]):
+                yield _stem_slice(part, np.array([0, len(part) + 1]), at, lengths)
+            at += 1
+            continue
+        last, size = at, 0
+        while last < len(raws) and (last == at or size + len(raws[last]) <= SLICE_BYTES):
+            size += len(raws[last])
+            last += 1
+        begins = np.cumsum([0] + [len(r) + 1 for r in raws[at:last]])
+        yield _stem_slice(b"\n".join(raws[at:last]), begins, at, lengths)
+        at = last
+
+
+def _stem_slice(raw: bytes, begins: np.ndarray, first: int, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, dict]:
+    data = _LOWER[np.frombuffer(raw, dtype=np.uint8)]
+    kind = _KINDS[data]
+    starts = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]]) if len(data) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(data)].astype(np.int64)[: len(starts)]
+    starts, ends = starts[kind[starts] == 1], ends[kind[starts] == 1]
+    up, down = _power_table(len(data) + 1, "up"), _power_table(len(data) + 1, "down")
+    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
+    word = mix64((prefix[ends] - prefix[starts]) * down[starts])
+    owner = np.searchsorted(begins, starts, "right") - 1 + first
+    _, once = np.unique(mix64(word ^ mix64(owner.astype(np.uint64) + np.uint64(1))), return_index=True)
+    word, owner, starts, ends = word[once], owner[once], starts[once], ends[once]
+    stems = {}
+    for n in lengths:
+        place = np.flatnonzero(ends - starts > n)
+        s = starts[place]
+        stems[n] = place, mix64((prefix[s + n] - prefix[s]) * down[s] + np.uint64(n << 48))
+    return owner, word, stems
+
+
 def gram_hashes(hashes: np.ndarray, pointers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of n tokens that lies within one text, and the index of that text."""
     if len(hashes) < n:

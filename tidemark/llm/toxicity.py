@@ -1,174 +1,221 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-A linear classifier over hashed words and word pairs is trained in numpy from confirmed toxic examples and unlabelled
-texts: the negative part of the risk is estimated on the unlabelled texts, corrected by the class prior, and never
-allowed below zero.
+A linear classifier over hashed words and word stems is trained in numpy from confirmed toxic examples and unlabelled
+texts. Under the logistic loss the class-prior-corrected risk is
+
+    prior * mean over positives of log(1 + exp(-z))  +  max(0, mean over unlabelled of log(1 + exp(z)) - prior * mean over positives of log(1 + exp(z)))
+
+whose second part, the estimate for the unseen negatives, must not fall below zero: where it does, descent steps back along
+it. Training starts at zero. A first descent has an L1 penalty of the size of the sampling noise of each feature's gradient,
+which leaves out words that positives hold by chance; a second one refits the features that remain without it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import gram_hashes, token_hashes, with_scores
-
-#: Bounds of the training sample: confirmed examples, unlabelled texts, and characters of one text.
-POSITIVES = 2000
-UNLABELLED = 4000
-TRAIN_CHARS = 60_000
-#: Features kept by screening: those whose rate among positives exceeds the unlabelled rate most surely.
-FEATURES = 256
-#: A feature counts from this z-score on, and from this part of the largest one: chance finds among very many features go.
-MIN_Z, PART_OF_LARGEST = 5.0, 0.22
-#: Log-ratio of the rates of positives and unlabelled texts from which on a feature tells them apart by itself.
-MIN_LOG_RATIO = 1.0
-STEPS = 300
+from tidemark.llm.common import staged, with_scores, word_stems
+
+#: Bounds of the training sample, by rows and by characters of all drawn texts: confirmed examples, and unlabelled texts.
+#: Both bound the rate at which rows are drawn; a drawn text counts whole, however long it is.
+POSITIVES, UNLABELLED = 2000, 4000
+SAMPLE_CHARS = 12_000_000
+#: Lengths in bytes of the word beginnings that are features, and the numbers of different words from which on they count.
+STEMS = (4, 5, 6, 7, 8)
+LEVELS = (1, 2, 3, 5)
+#: A feature of fewer texts of the sample cannot be learnt.
+MIN_TEXTS = 4
+#: Penalty in standard deviations of a feature's gradient at the start.
+NOISE = 3.0
+STEPS, REFIT_STEPS, RATE, DECAY = 150, 400, 0.05, 1e-4
 THRESHOLD = 0.7
+_LOW = np.uint64(7)  # the last three bits of a feature's hash hold its level; words have level 0
 
 
 @dataclass
 class Model:
-    """Sorted 64-bit feature hashes, their weights, and the offset; scores are logistic."""
+    """Sorted 64-bit features, their weights, and the offset; scores are logistic."""
 
     keys: np.ndarray
     weights: np.ndarray
     offset: float
 
+    def __post_init__(self) -> None:
+        self.bases = np.unique(self.keys & ~_LOW)
+
     def margin(self, texts: list) -> np.ndarray:
-        at, owner = present(texts, self.keys)
-        return np.bincount(owner, weights=self.weights[at], minlength=len(texts)) + self.offset if len(texts) else np.zeros(0)
+        owner, key = features(texts, self.bases)
+        at, hit = _places(self.keys, key)
+        return np.bincount(owner[hit], weights=self.weights[at[hit]], minlength=len(texts)) + self.offset if len(texts) else np.zeros(0)
 
     def score(self, texts: list) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(texts), -35, 35)))
-
-
-def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of each distinct word and word pair of a text, lower-cased."""
-    found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for first, _, hashes, pointers in token_hashes(texts, lower=True):
-        for n in (1, 2):
-            h, owner = gram_hashes(hashes, pointers, n)
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            found.append(h[new])
-            owners.append(owner[new] + first)
-    return np.concatenate(found), np.concatenate(owners)
-
-
-def present(texts: list, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in keys, text) of each key that a text holds, once each."""
-    found, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for first, _, hashes, pointers in token_hashes(texts, lower=True):
-        for n in (1, 2):
-            h, owner = gram_hashes(hashes, pointers, n)
-            if not len(h) or not len(keys):
-                continue
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[at] == h
-            both = np.unique(owner[hit] * len(keys) + at[hit])
-            found.append(both % len(keys))
-            owners.append(both // len(keys) + first)
-    return np.concatenate(found), np.concatenate(owners)
-
-
-def screen(positive: tuple[np.ndarray, np.ndarray], unlabelled: tuple[np.ndarray, np.ndarray], n_p: int, n_u: int, most: int = FEATURES) -> np.ndarray:
-    """Sorted hashes of the features whose document rates differ most between positives and unlabelled texts."""
-    keys, inverse = np.unique(np.concatenate([positive[0], unlabelled[0]]), return_inverse=True)
-    a = np.bincount(inverse[: len(positive[0])], minlength=len(keys))
-    b = np.bincount(inverse[len(positive[0]) :], minlength=len(keys))
-    rate = (a + b + 1) / (n_p + n_u + 2)
-    z = np.abs(a / max(1, n_p) - b / max(1, n_u)) / np.sqrt(rate * (1 - rate) * (1 / max(1, n_p) + 1 / max(1, n_u)))
-    ratio = np.log((a + 0.5) / (n_p + 1) / ((b + 0.5) / (n_u + 1)))
-    z = np.where(np.abs(ratio) >= MIN_LOG_RATIO, z, 0.0)  # words of a language or topic that positives merely lean to
-    best = np.argsort(-z, kind="stable")[:most]
-    largest = z[best].max(initial=0.0)
-    return np.sort(keys[best[z[best] >= min(max(MIN_Z, PART_OF_LARGEST * largest), largest)]])
+        return _sigmoid(self.margin(texts))
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in sorted keys, whether it is there) of each wanted key."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def features(texts: list, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature), each feature of a text once: its words, and for each word beginning the LEVELS that the number of
+    different words with it reaches. Repeating a word adds nothing. ``only`` limits the output to these hashes, sorted."""
+    owners, bases, words, is_stem = [], [], [], []
+    for owner, word, stems in word_stems(texts, STEMS):
+        for place, h, stem in [(slice(None), word, False), *((p, h, True) for p, h in stems.values())]:
+            base, own, of = h & ~_LOW, owner[place], word[place]
+            if only is not None:
+                hit = _places(only, base)[1]
+                base, own, of = base[hit], own[hit], of[hit]
+            owners.append(own)
+            bases.append(base)
+            words.append(of)
+            is_stem.append(np.full(len(base), stem))
+    if not owners:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    owner, base, word, stem = (np.concatenate(x) for x in (owners, bases, words, is_stem))
+    order = np.lexsort((word, stem, base, owner))
+    owner, base, word, stem = owner[order], base[order], word[order], stem[order]
+    same = (owner[1:] == owner[:-1]) & (base[1:] == base[:-1]) & (stem[1:] == stem[:-1])
+    new = np.r_[True, ~(same & (word[1:] == word[:-1]))][: len(owner)]  # a long text's slices may bring a word again
+    owner, base, stem = owner[new], base[new], stem[new]
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (base[1:] != base[:-1]) | (stem[1:] != stem[:-1])][: len(owner)])
+    n = np.diff(np.r_[first, len(owner)])
+    owner, base, stem = owner[first], base[first], stem[first]
+    out_owner, out_key = [owner[~stem]], [base[~stem]]
+    for level, least in enumerate(LEVELS, 1):
+        on = stem & (n >= least)
+        out_owner.append(owner[on])
+        out_key.append(base[on] | np.uint64(level))
+    return np.concatenate(out_owner), np.concatenate(out_key)
 
 
 def non_negative_risk(margin_p: np.ndarray, margin_u: np.ndarray, prior: float) -> tuple[float, float]:
-    """(risk on positives, corrected risk on negatives before clipping) under the sigmoid loss."""
-    loss = lambda z: 1 / (1 + np.exp(np.clip(z, -35, 35)))
-    return prior * loss(margin_p).mean(), loss(-margin_u).mean() - prior * loss(-margin_p).mean()
-
+    """(risk on positives, corrected risk on negatives before clipping) under the logistic loss."""
+    return prior * np.logaddexp(0, -margin_p).mean(), np.logaddexp(0, margin_u).mean() - prior * np.logaddexp(0, margin_p).mean()
 
-def fit(positive: list, unlabelled: list, prior: float, steps: int = STEPS, rate: float = 0.01, decay: float = 1e-2) -> Model:
-    """A model from texts of confirmed examples and unlabelled texts. Without either, every score is the prior's.
 
-    Weights start at the log-ratios of document rates among positives and negatives, where the rate among negatives is the
-    unlabelled rate corrected by the prior and never negative; gradient steps on the risk then move them, drawn to their start.
-    """
+@dataclass
+class Incidence:
+    """Which rows hold which of ``width`` features, as pairs."""
+
+    at: np.ndarray
+    row: np.ndarray
+    rows: int
+    width: int
+
+    def margin(self, w: np.ndarray, offset: float) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.at], minlength=self.rows) + offset
+
+    def mean(self, slope: np.ndarray) -> np.ndarray:
+        """Mean over rows of slope times each feature; the offset's comes last."""
+        return np.r_[np.bincount(self.at, weights=slope[self.row], minlength=self.width), slope.sum()] / self.rows
+
+    def keep(self, columns: np.ndarray) -> Incidence:
+        new = np.full(self.width, -1)
+        new[columns] = np.arange(len(columns))
+        on = new[self.at] >= 0
+        return Incidence(new[self.at][on], self.row[on], self.rows, len(columns))
+
+
+def descend(pos: Incidence, unl: Incidence, prior: float, steps: int, noise: float = 0.0, decay: float = 0.0, rate: float = RATE) -> tuple[np.ndarray, float]:
+    """(weights, offset) after so many proximal gradient steps on the non-negative risk from zero, with moment estimates per coordinate."""
+    share = prior * pos.mean(np.ones(pos.rows))[:-1] + (1 - prior) * unl.mean(np.ones(unl.rows))[:-1]
+    share = np.r_[np.clip(share, 2 / unl.rows, 0.9), 1.0]
+    penalty = noise * prior * np.sqrt(share / pos.rows)
+    penalty[-1] = 0.0
+    w, m, v = (np.zeros(pos.width + 1) for _ in range(3))
+    for t in range(1, steps + 1):
+        z_p, z_u = pos.margin(w[:-1], w[-1]), unl.margin(w[:-1], w[-1])
+        negative = unl.mean(_sigmoid(z_u)) - prior * pos.mean(_sigmoid(z_p))
+        if non_negative_risk(z_p, z_u, prior)[1] >= 0:
+            g = negative - prior * pos.mean(_sigmoid(-z_p))
+        else:  # the estimate for negatives over-fits the positives: back along it alone
+            g = -negative
+        g += decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = rate / (np.sqrt(v / (1 - 0.99**t)) + 0.05 * prior * np.sqrt(share))
+        w = w - step * m / (1 - 0.9**t)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
+    return w[:-1], float(w[-1])
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, refit_steps: int = REFIT_STEPS, noise: float = NOISE) -> Model:
+    """A model from the features of confirmed examples and of unlabelled texts. Without either, every score is the prior's."""
     prior = float(np.clip(prior, 1e-3, 0.9))
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    keys = screen(grams(positive), grams(unlabelled), len(positive), len(unlabelled))
-    (at_p, own_p), (at_u, own_u) = present(positive, keys), present(unlabelled, keys)
-    n_p, n_u = len(positive), len(unlabelled)
-    rate_p = (np.bincount(at_p, minlength=len(keys)) + 0.5) / (n_p + 1)
-    rate_u = (np.bincount(at_u, minlength=len(keys)) + 0.5) / (n_u + 1)
-    rate_n = np.maximum((rate_u - prior * rate_p) / (1 - prior), 0.5 / (n_u + 1))
-    start = np.r_[np.clip(np.log(rate_p / rate_n), -3, 6), np.log(prior / (1 - prior))]
-    w = start.copy()
-    m, v = np.zeros_like(w), np.zeros_like(w)
-
-    def spread(own: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(own, weights=w[at], minlength=n) + w[-1]
-
-    def gradient(own: np.ndarray, at: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        return np.r_[np.bincount(at, weights=slope[own], minlength=len(keys)), slope.sum()]
+    keys, n = np.unique(np.concatenate([*positive, *unlabelled]), return_counts=True)
+    keys = keys[n >= MIN_TEXTS]
 
-    for t in range(1, steps + 1):
-        z_p, z_u = spread(own_p, at_p, n_p), spread(own_u, at_u, n_u)
-        s_p, s_u = 1 / (1 + np.exp(-np.clip(z_p, -35, 35))), 1 / (1 + np.exp(-np.clip(z_u, -35, 35)))
-        d_p, d_u = s_p * (1 - s_p), s_u * (1 - s_u)
-        _, negative = non_negative_risk(z_p, z_u, prior)
-        on_negative = gradient(own_u, at_u, d_u / n_u) - prior * gradient(own_p, at_p, d_p / n_p)
-        # below zero the negative part over-fits the positives: step back along it alone
-        g = gradient(own_p, at_p, -prior * d_p / n_p) + on_negative if negative >= 0 else -on_negative
-        g += decay * (w - start)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    z_p, z_u = spread(own_p, at_p, n_p), spread(own_u, at_u, n_u)
-    cut = best_cut(z_p, z_u)
-    gain = 4.0 / max(0.25, float(np.std(np.r_[z_p, z_u])))
-    return Model(keys, w[:-1] * gain, float((w[-1] - cut) * gain + np.log(THRESHOLD / (1 - THRESHOLD))))
-
-
-def best_cut(z_p: np.ndarray, z_u: np.ndarray) -> float:
-    """The margin that maximises recall squared over the rate of positive calls, which needs no negatives."""
-    levels = np.unique(z_p)
-    recall = 1 - np.searchsorted(np.sort(z_p), levels, "left") / len(z_p)
-    called = np.maximum(1 - np.searchsorted(np.sort(z_u), levels, "left") / len(z_u), 0.5 / len(z_u))
-    best = int(np.argmax(recall**2 / called))
-    below = np.r_[z_p, z_u][np.r_[z_p, z_u] < levels[best]]
-    return float((levels[best] + below.max()) / 2) if len(below) else float(levels[best])
+    def incidence(rows: list[np.ndarray]) -> Incidence:
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        at, hit = _places(keys, np.concatenate(rows))
+        return Incidence(at[hit], row[hit], len(rows), len(keys))
+
+    pos, unl = incidence(positive), incidence(unlabelled)
+    first, offset = descend(pos, unl, prior, steps, noise=noise)
+    chosen = np.flatnonzero(first)
+    if len(chosen):
+        weights, offset = descend(pos.keep(chosen), unl.keep(chosen), prior, refit_steps, decay=DECAY)
+        return Model(keys[chosen], weights, offset)
+    return Model(np.zeros(0, np.uint64), np.zeros(0), offset)
+
+
+def training_features(texts: DataFrame) -> list[np.ndarray]:
+    """The features of each text (one column), computed in the tasks; the driver gets 8 bytes for each, in an order that the rows fix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, key = features(batch.column(0).to_pylist())
+            order = np.argsort(owner, kind="stable")
+            parts = np.split(key[order], np.searchsorted(owner[order], np.arange(1, batch.num_rows)))
+            yield pa.RecordBatch.from_arrays([pa.array([np.sort(p).tobytes() for p in parts], type=pa.binary())], names=["features"])
+
+    found = texts.mapInArrow(run, "features binary").toArrow().column(0).to_pylist()
+    return [np.frombuffer(x, np.uint64) for x in sorted(found)]
+
+
+def draw_rate(rows: int, chars: int, most_rows: int, most_chars: int = SAMPLE_CHARS) -> int:
+    """Millionths of the rows to draw, so that about ``most_rows`` rows with ``most_chars`` characters come out, whatever their lengths."""
+    return int(min(1.0, most_rows / max(1, rows), most_chars / max(1, chars)) * 1_000_000)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Callable, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", prior: float | None = None) -> DataFrame:
     """``docs`` with a struct column ``toxicity`` (score, predicted).
 
-    Confirmed examples are labelled rows of which ``learn(id)`` holds; unlabelled texts are drawn from the other learnable
-    rows by a hash of the id, their labels unseen. ``prior`` is the share of toxic texts, by default the share among the
-    learnable labels. Both samples are bounded; only their ids are broadcast. Null and empty texts hold no feature and get
-    the offset's score. Null labels are ignored; several labels of one id count as their maximum.
+    Confirmed examples are texts of labelled rows of which ``learn(id)`` holds; unlabelled texts are drawn from all rows of
+    which it holds, labels unseen, positives among them as the risk assumes. ``prior`` is the share of toxic texts, by
+    default the share among the learnable labels. Both samples are drawn by a hash of the id, bounded by POSITIVES,
+    UNLABELLED and SAMPLE_CHARS; the driver gets hashes, not texts. Null and empty texts hold no feature and get the
+    offset's score. Null labels are ignored; several labels of one id count as their maximum. Repeated rows are scored each;
+    an input column named ``toxicity`` is replaced.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & learn(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    known = staged(known, "toxicity-labels")
     seen = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000))
-    confirmed = known.where((F.col("label") == 1) & (draw < int(min(1.0, POSITIVES / max(1, seen["toxic"])) * 1_000_000))).select("id", F.lit(1).alias("side"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learn(F.col("id")))
-    n = texts.count()
-    others = texts.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1_000_000)) < int(min(1.0, UNLABELLED / max(1, n)) * 1_000_000))
-    usable = F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS
-    sample = lambda df, most: [r["text"] for r in df.where(usable).orderBy("id").limit(most).select("text").collect()]
-    positive = sample(texts.join(F.broadcast(confirmed.limit(2 * POSITIVES)), "id"), 2 * POSITIVES)
-    unlabelled = sample(others, 2 * UNLABELLED)
+    sizes = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    mean_chars = sizes["chars"] / max(1, sizes["n"])
+    drawn = lambda seed, rate: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < rate
+    confirmed = known.where((F.col("label") == 1) & drawn(5, draw_rate(seen["toxic"], int(seen["toxic"] * mean_chars), POSITIVES))).select("id")
+    confirmed = staged(confirmed, "toxicity-confirmed")  # some POSITIVES ids; broadcast only where its written size is under the session's threshold
+    positive = training_features(texts.join(confirmed, "id", "left_semi").select("text"))
+    unlabelled = training_features(texts.where(drawn(6, draw_rate(sizes["n"], sizes["chars"], UNLABELLED))).select("text"))
     share = prior if prior is not None else seen["toxic"] / max(1, seen["n"])
     model = docs.sparkSession.sparkContext.broadcast(fit(positive, unlabelled, share))
 
