@@ -16,6 +16,7 @@ ODD = [None, "", " \n", "123 !!", "é", "x" * 300_000, "word " * 60_000, "日本
 
 
 def odd(spark):
+    """Odd texts in a table whose other columns bear the names of the operators' outputs."""
     rows = [(i, t, None, 1, "l", "t", "q") for i, t in enumerate(ODD)] + [(0, "again", "en", 1, "l", "t", "q"), (None, "null id", "en", 1, "l", "t", "q")]
     return spark.createDataFrame(rows, DOCS)
 
@@ -86,17 +87,43 @@ def test_languages_of_held_out_documents(spark):
 
 def test_language_of_odd_rows(spark):
     models = language_id.learn_models(spark.read.parquet(f"{SF}/documents.parquet"), every)
-    got = language_id.identify(odd(spark).drop("language"), models).collect()
+    got = language_id.identify(odd(spark), models).collect()
     assert len(got) == len(ODD) + 2
     for r in got:
         letters = any(c.isalpha() for c in r["text"] or "")
         x = r["language"]
         assert (x["lang_pred"] == "und") == (not letters) and 0 <= x["score"] <= 1 and (letters or x["rejected"])
-    far = next(r["language"] for r in got if r["text"] == "日本語 текст")
-    assert far["rejected"]
     none = language_id.learn_models(odd(spark).limit(0), every)
-    assert {r["language"]["lang_pred"] for r in language_id.identify(odd(spark).drop("language"), none).collect()} == {"und"}
-    assert language_id.identify(odd(spark).drop("language").limit(0), models).count() == 0
+    assert {r["language"]["lang_pred"] for r in language_id.identify(odd(spark), none).collect()} == {"und"}
+    assert language_id.identify(odd(spark).limit(0), models).count() == 0
+
+
+def test_rejection_and_confidence_are_calibrated(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    models = language_id.learn_models(docs, queries.learn_lang)
+    rng = np.random.default_rng(0)
+    noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 60))
+    for far in (noise, "Это русский текст и ещё немного слов", "日本語の文章です。これは長い文章です。"):
+        _, score, rejected = models.predict(far)
+        assert rejected and score < 0.05
+    held = [(r["lang"], r["text"]) for r in docs.where(~queries.learn_lang(F.col("doc_id")) & F.col("text").isNotNull()).limit(600).collect()]
+    by = {n: [] for n in language_id.SPANS}
+    for lang, text in held:
+        for piece in language_id.spans(text)[1:]:
+            name, score, rejected = models.predict(piece)
+            if name != "und":
+                by[len(piece)].append((score, name == lang, rejected))
+    for n, rows in by.items():
+        score, right, gone = np.mean(rows, axis=0)
+        assert abs(score - right) < 0.15 and gone < 0.01, (n, score, right, gone)
+    whole = [models.predict(t) for _, t in held]
+    assert np.mean([r for _, _, r in whole]) < 0.005 and np.mean([s for _, s, _ in whole]) > 0.99
+
+
+def test_every_language_is_learnt_and_text_beyond_old_bounds_counts(spark):
+    rows = [(i, "alpha beta gamma " * 5, "aa") for i in range(40)] + [(99, "x" * 30_000 + " ωμέγα σίγμα" * 50, "zz")]
+    models = language_id.learn_models(spark.createDataFrame(rows, "doc_id long, text string, lang string"), every)
+    assert models.languages == ["aa", "zz"] and models.predict("ωμέγα σίγμα ωμέγα")[0] == "zz"
 
 
 # ---------------------------------------------------------------- toxicity
@@ -104,38 +131,111 @@ def test_language_of_odd_rows(spark):
 
 def test_risk_estimator_equals_its_formula():
     p, u, prior = np.array([0.5, -1.0]), np.array([0.0, 2.0, -3.0]), 0.3
-    s = lambda z: 1 / (1 + math.exp(z))
-    want = (prior * np.mean([s(z) for z in p]), np.mean([s(-z) for z in u]) - prior * np.mean([s(-z) for z in p]))
+    s = lambda z: math.log(1 + math.exp(z))
+    want = (prior * np.mean([s(-z) for z in p]), np.mean([s(z) for z in u]) - prior * np.mean([s(z) for z in p]))
     assert np.allclose(toxicity.non_negative_risk(p, u, prior), want)
 
 
-def test_learning_from_positives_and_unlabelled_texts():
+def rows_of(texts):
+    owner, key = toxicity.features(texts)
+    return [np.sort(key[owner == i]) for i in range(len(texts))]
+
+
+def sample():
     rng = np.random.default_rng(0)
     word = lambda: f"w{rng.zipf(1.3) % 3000}"
     text = lambda bad: " ".join([word() for _ in range(80)] + ([f"slur{rng.integers(6)}", f"slur{rng.integers(6)}"] if bad else []))
-    positive, unlabelled = [text(True) for _ in range(200)], [text(i % 10 == 0) for i in range(800)]
-    m = toxicity.fit(positive, unlabelled, 0.1)
-    assert (m.score([text(True) for _ in range(100)]) >= 0.7).mean() > 0.93  # one text in six holds a single slur
-    assert (m.score([text(False) for _ in range(300)]) >= 0.7).mean() < 0.02
-    assert (toxicity.fit([], unlabelled, 0.1).score(["x", None]) < 0.2).all()
+    return text, [text(True) for _ in range(200)], [text(i % 10 == 0) for i in range(800)]
+
+
+def test_learning_from_positives_and_unlabelled_texts():
+    text, positive, unlabelled = sample()
+    m = toxicity.fit(rows_of(positive), rows_of(unlabelled), 0.1)
+    bad, good = [text(True) for _ in range(100)], [text(False) for _ in range(300)]
+    assert (m.score(bad) >= 0.7).mean() > 0.93  # one text in six holds a single slur
+    assert (m.score(good) >= 0.7).mean() < 0.02
+    assert (toxicity.fit([], rows_of(unlabelled), 0.1).score(["x", None]) < 0.2).all()
+
+
+def test_the_result_comes_from_the_descent():
+    text, positive, unlabelled = sample()
+    start = toxicity.fit(rows_of(positive), rows_of(unlabelled), 0.1, steps=0, refit_steps=0)
+    scores = start.score([text(True) for _ in range(50)])
+    assert len(start.keys) == 0 and np.ptp(scores) == 0 and (scores < 0.7).all()
+
+
+def plain_descent(pos, unl, width, prior, steps, noise, decay, rate):
+    """The same descent written out with loops over dense rows."""
+    s = lambda z: 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+    w, m, v = [0.0] * (width + 1), [0.0] * (width + 1), [0.0] * (width + 1)
+    share = [min(0.9, max(2 / len(unl), prior * sum(r[j] for r in pos) / len(pos) + (1 - prior) * sum(r[j] for r in unl) / len(unl))) for j in range(width)] + [1.0]
+    for t in range(1, steps + 1):
+        margin = lambda r: sum(a * b for a, b in zip(r, w, strict=False)) + w[-1]
+        zp, zu = [margin(r) for r in pos], [margin(r) for r in unl]
+        below = sum(math.log1p(math.exp(z)) for z in zu) / len(unl) - prior * sum(math.log1p(math.exp(z)) for z in zp) / len(pos) < 0
+        for j in range(width + 1):
+            x = lambda r: 1.0 if j == width else r[j]  # noqa: B023, E731
+            negative = sum(s(z) * x(r) for z, r in zip(zu, unl, strict=True)) / len(unl) - prior * sum(s(z) * x(r) for z, r in zip(zp, pos, strict=True)) / len(pos)
+            g = -negative if below else negative - prior * sum(s(-z) * x(r) for z, r in zip(zp, pos, strict=True)) / len(pos)
+            g += decay * w[j]
+            m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.99 * v[j] + 0.01 * g * g
+            step = rate / (math.sqrt(v[j] / (1 - 0.99**t)) + 0.05 * prior * math.sqrt(share[j]))
+            new = w[j] - step * m[j] / (1 - 0.9**t)
+            cut = step * noise * prior * math.sqrt(share[j] / len(pos)) if j < width else 0.0
+            w[j] = math.copysign(max(abs(new) - cut, 0.0), new)
+    return w
+
+
+@pytest.mark.parametrize(("noise", "decay", "prior"), [(0.0, 1e-3, 0.3), (2.0, 0.0, 0.3), (0.0, 0.0, 0.9)])
+def test_weights_equal_those_of_plain_loops(noise, decay, prior):
+    rng = np.random.default_rng(4)
+    pos, unl = rng.integers(0, 2, (12, 5)), rng.integers(0, 2, (30, 5))
+    pos[:, 2] = 1
+
+    def incidence(x):
+        row, at = np.nonzero(x)
+        return toxicity.Incidence(at, row, *x.shape)
+
+    w, offset = toxicity.descend(incidence(pos), incidence(unl), prior, 40, noise, decay, 0.05)
+    assert np.allclose([*w, offset], plain_descent(pos.tolist(), unl.tolist(), 5, prior, 40, noise, decay, 0.05), atol=1e-8)
+
+
+def test_features_are_those_of_plain_python():
+    texts = ["Abcdef abcdxy abcdzz ABCDEF one", None, "", "é éééé éééa", "word " * 3, "a\nb!c"]
+    owner, key = toxicity.features(texts)
+    for i, t in enumerate(texts):
+        words, now = set(), ""
+        for c in (t or "").lower() + " ":
+            if c.isalnum():
+                now += c
+            elif now:
+                words.add(now.encode())
+                now = ""
+        stems = {}
+        for w in words:
+            for n in toxicity.STEMS:
+                if len(w) > n:
+                    stems[w[:n]] = stems.get(w[:n], 0) + 1
+        assert (owner == i).sum() == len(words) + sum(sum(n >= x for x in toxicity.LEVELS) for n in stems.values())
 
 
 def test_toxicity_of_held_out_documents(spark):
-    d, l = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))  # noqa: E741
-    got = queries.op5_toxicity(spark, SF)
+    sf = "/root/testdata/sf0.1"
+    d, l = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))  # noqa: E741
+    got = queries.op5_toxicity(spark, sf)
     assert got.count() == d.count()
-    r = got.where("held_out").join(l, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
-    rate = {x["toxic"]: x["p"] for x in r}
-    assert rate[1] > 0.7 and rate[0] < 0.02
+    rate = {x["toxic"]: x["p"] for x in got.where("held_out").join(l, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()}
+    # 9 of the 144 held-out toxic labels stand at texts that hold no toxic word at all
+    assert rate[1] > 0.9 and rate[0] < 0.01
 
 
 def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1), (2, 0), (2, 1)], "doc_id long, toxic int")
-    got = toxicity.score_toxicity(odd(spark).drop("toxicity"), labels, every).collect()
+    got = toxicity.score_toxicity(odd(spark), labels, every).collect()
     assert len(got) == len(ODD) + 2 and all(0 <= r["toxicity"]["score"] <= 1 for r in got)
-    empty = toxicity.score_toxicity(odd(spark).drop("toxicity"), labels.limit(0), every).collect()
+    empty = toxicity.score_toxicity(odd(spark), labels.limit(0), every).collect()
     assert all(r["toxicity"]["predicted"] == 0 for r in empty)
-    assert toxicity.score_toxicity(odd(spark).drop("toxicity").limit(0), labels, every).count() == 0
+    assert toxicity.score_toxicity(odd(spark).limit(0), labels, every).count() == 0
 
 
 # ---------------------------------------------------------------- quality
@@ -160,25 +260,50 @@ def test_updates_equal_the_published_rule():
 
 def test_sparse_dot_equals_features_times_weights():
     texts = ["one two two, three", "", None, "a a a", "é ü é"]
-    w = np.random.default_rng(2).normal(size=1 << quality_classifier.BITS)
-    at, owner = quality_classifier.features(texts)
-    for i, got in enumerate(quality_classifier.dot(w, texts, quality_classifier.BITS)):
-        own = at[owner == i]
-        assert math.isclose(got, w[0] + w[own[own != 0]].sum() * quality_classifier.scale(np.array(len(own) - 1)), rel_tol=1e-9, abs_tol=1e-9)
+    bits = 12
+    w = np.random.default_rng(2).normal(size=1 << bits)
+    owner, place, count, tokens = quality_classifier.counted(texts, bits)
+    assert tokens.tolist() == [5, 0, 0, 3, 3] and count[owner == 3].tolist() in ([1, 2, 3], [1, 3, 2], [2, 1, 3], [2, 3, 1], [3, 1, 2], [3, 2, 1])
+    assert (place >= quality_classifier.LENGTHS).all()  # no n-gram falls on a bias
+    for i, got in enumerate(quality_classifier.dot(w, texts, bits)):
+        own = dict(zip(place[owner == i].tolist(), count[owner == i].tolist(), strict=True))
+        norm = max(1.0, math.sqrt(sum(c * c for c in own.values())))
+        assert math.isclose(got, w[int(math.log2(1 + tokens[i])) // 2] + sum(w[k] * c for k, c in own.items()) / norm, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_a_text_of_any_length_is_learnt_from(spark):
+    long = "good " * 60_000
+    docs = spark.createDataFrame([(i, f"{long if i < 3 else ''}bad worse {i}" if i % 2 else f"fine {i}") for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    rows, known = quality_classifier.training_rows(docs, labels, "quality", every, "doc_id", "text", 100)
+    assert len(rows) == 12 and sum(known) == 6 and max(t for *_, t in rows) > 60_000
+
+
+def test_a_word_without_blanks_over_a_slice_is_one_token(monkeypatch):
+    from tidemark.llm import common
+
+    texts = ["y " + "x" * 5000 + " z", "x" * 5000]
+    flat = lambda: [h[p[i] : p[i + 1]].tolist() for a, b, h, p in token_hashes(texts) for i in range(b - a)]
+    whole, stems = flat(), toxicity.features(texts)
+    monkeypatch.setattr(common, "SLICE_BYTES", 64)
+    assert flat() == whole and whole[0][1] == whole[1][0]
+    order = lambda f: sorted(zip(f[0].tolist(), f[1].tolist(), strict=True))
+    assert order(toxicity.features(texts)) == order(stems)
 
 
 def test_quality_of_held_out_documents(spark):
-    l = spark.read.parquet(f"{SF}/labels.parquet")  # noqa: E741
-    got = queries.op9_quality_classifier(spark, SF)
-    assert got.count() == 1000
+    sf = "/root/testdata/sf0.1"
+    l = spark.read.parquet(f"{sf}/labels.parquet")  # noqa: E741
+    got = queries.op9_quality_classifier(spark, sf)
+    assert got.count() == 10_000
     rate = {r["quality"]: r["p"] for r in got.where("held_out").join(l, "doc_id").groupBy("quality").agg(F.avg("predicted").alias("p")).collect()}
-    assert rate[1] > 0.97 and rate[0] < 0.3
+    assert rate[1] > 0.99 and rate[0] < 0.05
 
 
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(0, 1), (3, 0), (None, 1), (4, None), (5, 1)], "doc_id long, quality int")
-    got = quality_classifier.score_quality(odd(spark).drop("quality_score"), labels, every).collect()
+    got = quality_classifier.score_quality(odd(spark), labels, every).collect()
     assert len(got) == len(ODD) + 2 and all(0 <= r["quality_score"]["score"] <= 1 for r in got)
-    none = quality_classifier.score_quality(odd(spark).drop("quality_score"), labels.limit(0), every).collect()
+    none = quality_classifier.score_quality(odd(spark), labels.limit(0), every).collect()
     assert all(r["quality_score"]["score"] == pytest.approx(0.5) for r in none)
-    assert quality_classifier.score_quality(odd(spark).drop("quality_score").limit(0), labels, every).count() == 0
+    assert quality_classifier.score_quality(odd(spark).limit(0), labels, every).count() == 0
