@@ -29,9 +29,9 @@ def test_tree_search_equals_brute_force(n, dim, k, seed):
     rng = np.random.default_rng(seed)
     points = rng.integers(-3, 4, (n, dim))  # many ties and copies
     ids = rng.permutation(1000)[:n]
-    tree = topk.Tree.build(points, ids, leaf=3)
+    tree = topk.Tree.build(points, ids, ids + 5000, leaf=3)
     vectors = dict(zip(ids.tolist(), points.astype(np.int64), strict=True))
-    got = tree.search(points, ids, np.full(n, -np.inf), k)
+    got = tree.search(points, ids + 5000, np.full(n, -np.inf), k)
     want = plain_top(vectors, vectors, k)
     for i, best in zip(ids.tolist(), got, strict=True):
         assert [(-v, s) for s, v in best] == [want[i, r + 1] for r in range(len(best))] and len(best) == min(k, n - 1)
@@ -39,7 +39,7 @@ def test_tree_search_equals_brute_force(n, dim, k, seed):
 
 def test_boxes_are_tight_and_halves_even():
     rng = np.random.default_rng(5)
-    t = topk.Tree.build(rng.integers(-99, 99, (1000, 5)), np.arange(1000), leaf=16)
+    t = topk.Tree.build(rng.integers(-99, 99, (1000, 5)), np.arange(1000), np.arange(1000), leaf=16)
     for i in range(len(t.start)):
         own = t.points[t.start[i] : t.end[i]]
         assert (own.min(axis=0) == t.low[i]).all() and (own.max(axis=0) == t.high[i]).all()
@@ -51,26 +51,61 @@ def test_boxes_are_tight_and_halves_even():
 def test_a_floor_leaves_out_only_worse_rows():
     rng = np.random.default_rng(6)
     points, ids = rng.integers(-50, 50, (500, 8)), np.arange(500)
-    t = topk.Tree.build(points, ids, leaf=16)
+    t = topk.Tree.build(points, ids, ids, leaf=16)
     free = t.search(points[:20], ids[:20], np.full(20, -np.inf), 5)
     floor = np.array([b[2][0] for b in free], dtype=float)
     for a, b in zip(free, t.search(points[:20], ids[:20], floor, 5), strict=True):
         assert a == b or b[: len(a)] == a[: len(b)] and a[2] in b
 
 
+SCHEMA = "vec_id long, embedding array<float>, rank int, score long, shard string, dim string"
+
+
 def test_several_shards_and_blocks_and_odd_rows(spark):
     rng = np.random.default_rng(7)
     rows = [(i, [float(x) for x in rng.integers(-9, 9, 6) / 4]) for i in range(300)]
     rows += [(1000 + i, [0.25] * 6) for i in range(80)]  # one common vector
     bad = [(2000, None), (2001, []), (2002, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (2003, [float("nan")] * 6), (2004, [float("inf")] * 6), (None, [1.0] * 6), (2050, [1.0, 2.0]), (2051, [2.0, 2.0]), (2100, [5.0])]
-    schema = "vec_id long, embedding array<float>, rank int, score long, shard string, dim string"
-    df = spark.createDataFrame([(*r, 1, 2, "s", "d") for r in [*rows, *bad, rows[0], rows[50]]], schema)
+    df = spark.createDataFrame([(*r, 1, 2, "s", "d") for r in [*rows, *bad]], SCHEMA)
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=64, block_rows=4).collect()}
     vectors = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(np.int64) for i, v in [*rows, bad[6], bad[7], bad[8]]}
     assert got == plain_top(vectors, [i for i in vectors if i % 50 == 0], 5)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_rows_with_one_id_all_count_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in rng.integers(-9, 9, 4) / 4]) for i in rng.integers(0, 60, 200)]
+    rows += rows[:30] + [(0, [1.0] * 4)] * 3 + [(None, [9.0] * 4), (50, None), (1, [2.0, 2.0])]
+    df = spark.createDataFrame([(*r, 1, 2, "s", "d") for r in rows], SCHEMA)
+    df.write.parquet(f"{tmp_path}/e")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = sorted(c.execute(queries.OP7_SQL).fetchall())
+    assert sum(w[0] == 0 for w in want) > 15
+    for shard in (16, 8192):
+        got = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=shard, block_rows=3)
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_regions_are_skipped_by_their_boxes(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g * 400 + i, [float(x) for x in (np.eye(8)[g] * 40 + rng.normal(size=8)) / 8]) for g in range(8) for i in range(400)]
+    df = spark.createDataFrame([(*r, 1, 2, "s", "d") for r in rows], SCHEMA)
+    clean = topk._usable(df, F.col("vec_id") % 50 == 0, "vec_id", "embedding")
+    trees = topk.build_index(clean, shard_rows=100)
+    boxes = topk.region_boxes(trees)
+    assert len(boxes[8].names) >= 16 and boxes[8].trees.sum() == trees.count()
+    asked = clean.where("asks").select("row", "id", "v", "dim", F.lit(0).cast("long").alias("block"), F.lit(1_000_000.0).alias("floor"))
+    pairs, whole = topk.visits(asked, boxes, False).count(), asked.count() * len(boxes[8].names)
+    assert asked.count() <= pairs < whole / 4  # boxes far from a query are not visited
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=100).collect()}
+    vectors = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(np.int64) for i, v in rows}
+    assert got == plain_top(vectors, [i for i in vectors if i % 50 == 0], 5)
+
+
 # ---------------------------------------------------------------- chat repair
 
 

@@ -1,13 +1,15 @@
 """Exact top-k search by integer inner product with a KD-tree on each shard.
 
-Vectors are dealt to shards of bounded size; each shard's tree (median splits, tight boxes) is one written row. Queries
-travel in blocks. Every block first searches one shard, whose kth score is handed on as the bound with which it then
-searches all the others, best boxes first; a box is left out only where its bound shows that it holds no better row.
+Median splits learnt from a bounded sample cut the space into regions; each region's rows are dealt to shards of bounded
+size, and each shard's tree (median splits, tight boxes) is one written row. A query first searches one tree of its most
+promising region. Its kth score is handed on as the bound with which it then visits the trees of the other regions, only
+those whose box may hold a row as good; within a tree boxes are opened best first.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +22,12 @@ from tidemark.llm.common import staged
 SCALE = 256
 LEAF = 128
 SHARD_ROWS = 8192
-BLOCK_ROWS = 512
+#: Queries that meet a tree in one group; a tree travels once for each so many queries.
+BLOCK_ROWS = 16_384
+#: Regions, about, at most, over all vector lengths, and rows of the sample from which their splits are learnt. Every row is
+#: routed and indexed; the sample decides only where regions end.
+REGIONS = 1024
+SAMPLE_ROWS = 20_000
 #: Integers up to which float64 products are exact.
 EXACT = 1 << 53
 
@@ -41,6 +48,7 @@ class Tree:
 
     points: np.ndarray
     ids: np.ndarray
+    rows: np.ndarray
     start: np.ndarray
     end: np.ndarray
     left: np.ndarray
@@ -49,9 +57,9 @@ class Tree:
     first: np.ndarray
 
     @staticmethod
-    def build(points: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> Tree:
-        order = np.argsort(ids, kind="stable")
-        points, ids = points[order], ids[order]
+    def build(points: np.ndarray, ids: np.ndarray, rows: np.ndarray, leaf: int = LEAF) -> Tree:
+        order = np.lexsort((rows, ids))
+        points, ids, rows = points[order], ids[order], rows[order]
         at = np.arange(len(ids))
         start, end, left, low, high, first = [0], [len(ids)], [0], [], [], []
         node = 0
@@ -71,10 +79,10 @@ class Tree:
                 end += [middle, b]
                 left += [0, 0]
             node += 1
-        return Tree(points[at], ids[at], np.array(start), np.array(end), np.array(left), np.array(low), np.array(high), np.array(first))
+        return Tree(points[at], ids[at], rows[at], np.array(start), np.array(end), np.array(left), np.array(low), np.array(high), np.array(first))
 
     def search(self, queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-        """Per query at most k (score, -id), best first, of points that are not the query's own row and score at least ``floor``."""
+        """Per query at most k (score, -id), best first, of points that are not the query's ``own`` row and score at least ``floor``."""
         big = float(np.abs(queries).max(initial=0)) * float(max(np.abs(self.low).max(), np.abs(self.high).max())) * queries.shape[1]
         kind = np.float64 if big < EXACT else np.int64
         q, points = queries.astype(kind), self.points.astype(kind)
@@ -102,7 +110,7 @@ class Tree:
                 if len(good) > 4 * k:
                     kth = np.partition(scores[good], len(good) - k - 1)[len(good) - k - 1]
                     good = good[scores[good] >= kth]
-                for s, v in sorted(((int(scores[j]), -int(self.ids[a + j])) for j in good if self.ids[a + j] != own[i]), reverse=True)[:k]:
+                for s, v in sorted(((int(scores[j]), -int(self.ids[a + j])) for j in good if self.rows[a + j] != own[i]), reverse=True)[:k]:
                     if len(best) < k:
                         heapq.heappush(best, (s, v))
                     elif (s, v) > best[0]:
@@ -113,7 +121,7 @@ class Tree:
         return out
 
 
-_TREE = ("points", "ids", "start", "end", "left", "low", "high", "first")
+_TREE = ("points", "ids", "rows", "start", "end", "left", "low", "high", "first")
 
 
 def _pack(tree: Tree) -> dict:
@@ -128,78 +136,187 @@ def _unpack(row: pd.Series, dim: int) -> Tree:
     return Tree(**got | {name: got[name].reshape(-1, dim) for name in ("points", "low", "high")})
 
 
+# ---------------------------------------------------------------- regions
+
+
+@dataclass
+class Cuts:
+    """A tree of median splits: node i sends points with ``axis`` at most ``value`` to ``left``, others to left + 1; leaves have a region."""
+
+    axis: np.ndarray
+    value: np.ndarray
+    left: np.ndarray
+    region: np.ndarray
+
+    @staticmethod
+    def learn(points: np.ndarray, regions: int) -> Cuts:
+        axis, value, left, region = [0], [0], [0], [-1]
+        todo, found = [(0, points, regions)], 0
+        while todo:
+            node, own, n = todo.pop()
+            spread = own.max(axis=0).astype(np.float64) - own.min(axis=0) if len(own) else np.zeros(1)
+            if n < 2 or len(own) < 2 or spread.max() == 0:
+                region[node], found = found, found + 1
+                continue
+            at = int(np.argmax(spread))
+            column = np.sort(own[:, at])
+            cut = column[(len(column) - 1) // 2]
+            if cut == column[-1]:
+                cut = column[np.searchsorted(column, cut) - 1]
+            axis[node], value[node], left[node] = at, int(cut), len(axis)
+            low = own[:, at] <= cut
+            for part, share in ((own[low], n // 2), (own[~low], n - n // 2)):
+                todo.append((len(axis), part, share))
+                for column_, x in ((axis, 0), (value, 0), (left, 0), (region, -1)):
+                    column_.append(x)
+        return Cuts(np.array(axis), np.array(value), np.array(left), np.array(region))
+
+    def route(self, points: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(points), np.int64)
+        while (open_ := self.left[node] > 0).any():
+            right = points[np.arange(len(points)), self.axis[node]] > self.value[node]
+            node = np.where(open_, self.left[node] + right, node)
+        return self.region[node]
+
+
+@dataclass
+class Regions:
+    """Regions of one vector length: names, how many trees each has, and tight boxes."""
+
+    names: np.ndarray
+    trees: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """No row of a region has a higher inner product with a query; rounding is added, not lost."""
+        q, low, high = queries.astype(np.float64), self.low.astype(np.float64), self.high.astype(np.float64)
+        size = np.abs(q) @ np.maximum(np.abs(low), np.abs(high)).T
+        return np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T + size * 1e-12
+
+
 # ---------------------------------------------------------------- jobs
 
 
-def _once(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors, ids) in the order of ids. Of rows that share an id the smallest vector counts; a hash of the id brings them together."""
-    points, ids = np.stack(rows["v"].to_numpy()).astype(np.int64), rows["id"].to_numpy(np.int64)
-    order = np.lexsort((*points.T[::-1], ids))
-    points, ids = points[order], ids[order]
-    new = np.r_[True, ids[1:] != ids[:-1]]
-    return points[new], ids[new]
+def _usable(vectors: DataFrame, is_query: Column, id_col: str, vector_col: str) -> DataFrame:
+    """(row, id, v, dim, asks) of every usable row; ``row`` tells rows with the same id and vector apart."""
+    rows = vectors.select(F.col(id_col).alias("id"), quantised(F.col(vector_col)).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    return staged(rows.select(F.monotonically_increasing_id().alias("row"), F.col("id").cast("long").alias("id"), "v", F.size("v").alias("dim"), "asks"), "topk-vectors")
+
 
+def _points(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(np.int64)
 
-def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
-    """One row for each shard: (dim, shard, shards, tree). Every usable row is indexed; vectors of different lengths get shards of their own.
 
-    A shard gets about ``shard_rows`` rows by a hash of the id and its vector, so copies of one vector are spread as any
-    others.
+def build_index(clean: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF, regions: int = REGIONS) -> DataFrame:
+    """One row for each tree: (dim, region, tree, its arrays). Every row of ``clean`` is indexed once; vectors of different
+    lengths get regions of their own. A region with more rows than ``shard_rows``, such as one common vector's, has several
+    trees, over which its rows are dealt by a hash of the row.
     """
-    clean = staged(vectors.select(F.col(id_col).alias("id"), quantised(F.col(vector_col)).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()), "topk-vectors")
-    sizes = clean.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / shard_rows).cast("long").alias("shards"))
-    sizes = staged(sizes, "topk-sizes")
-    dealt = clean.withColumn("dim", F.size("v")).join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")))
-    schema = "dim int, shard long, shards long, " + ", ".join(f"{n} binary" for n in _TREE) + ", wide boolean"
+    sizes = {r["dim"]: r["n"] for r in clean.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    rate = int(min(1.0, SAMPLE_ROWS / max(1, total)) * 1_000_000)
+    drawn: dict[int, list] = {}
+    for r in clean.where(F.pmod(F.xxhash64("row", F.lit(2)), F.lit(1_000_000)) < rate).select("dim", "v").toLocalIterator():
+        drawn.setdefault(r["dim"], []).append(r["v"])
+    cuts = {d: Cuts.learn(np.array(sorted(drawn[d]), dtype=np.int64), min(-(-n // shard_rows), -(-regions * n // total))) for d, n in sizes.items() if d in drawn}
+    shared = clean.sparkSession.sparkContext.broadcast(cuts)
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, own in batch.groupby("dim"):
+                region = shared.value[dim].route(_points(own["v"])) if dim in shared.value else np.zeros(len(own), np.int64)
+                yield pd.DataFrame({"row": own["row"], "id": own["id"], "v": own["v"], "dim": own["dim"], "region": region})
+
+    routed = staged(clean.select("row", "id", "v", "dim").mapInPandas(route, "row long, id long, v array<long>, dim int, region long"), "topk-routed")
+    counts = routed.groupBy(F.col("dim").alias("d"), F.col("region").alias("g")).agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("trees"))
+    counts = staged(counts, "topk-sizes")
+    dealt = routed.join(counts, (F.col("dim") == F.col("d")) & (F.col("region") == F.col("g"))).withColumn("tree", F.pmod(F.xxhash64("row"), F.col("trees")))
+    schema = "dim int, region long, tree long, box_low array<long>, box_high array<long>, " + ", ".join(f"{n} binary" for n in _TREE) + ", wide boolean"
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        points, ids = _once(rows)
-        tree = Tree.build(points, ids, leaf)
-        return pd.DataFrame([{"dim": key[0], "shard": key[1], "shards": int(rows["shards"].iloc[0])} | _pack(tree)])
+        tree = Tree.build(_points(rows["v"]), rows["id"].to_numpy(np.int64), rows["row"].to_numpy(np.int64), leaf)
+        box = {"box_low": tree.low[0].tolist(), "box_high": tree.high[0].tolist()}
+        return pd.DataFrame([{"dim": key[0], "region": key[1], "tree": key[2]} | box | _pack(tree)])
 
-    return staged(dealt.groupBy("dim", "shard").applyInPandas(run, schema), "topk-trees")
+    return staged(dealt.groupBy("dim", "region", "tree").applyInPandas(run, schema), "topk-trees")
 
 
-def _search(pairs: DataFrame, trees: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """(query_id, vec_id, score) of each (query block, tree) that meet on ``keys``; a group is one block and one tree."""
-    schema = "query_id long, vec_id long, score long"
+def region_boxes(trees: DataFrame) -> dict[int, Regions]:
+    """The boxes of all regions, at most about REGIONS of them, on the driver."""
+    corner = F.posexplode(F.arrays_zip("box_low", "box_high")).alias("at", "x")
+    corners = trees.select("dim", "region", corner).groupBy("dim", "region", "at").agg(F.min("x.box_low").alias("low"), F.max("x.box_high").alias("high"))
+    boxes = corners.groupBy("dim", "region").agg(F.sort_array(F.collect_list(F.struct("at", "low", "high"))).alias("box"))
+    counts = trees.groupBy("dim", "region").agg(F.count("*").alias("trees"))
+    out: dict[int, list] = {}
+    for r in boxes.join(counts, ["dim", "region"]).collect():
+        out.setdefault(r["dim"], []).append((r["region"], r["trees"], [c["low"] for c in r["box"]], [c["high"] for c in r["box"]]))
+    return {d: Regions(*(np.array(x) for x in zip(*sorted(rows), strict=True))) for d, rows in out.items()}
 
-    def run(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(own):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        q, ids = _once(queries)
-        floor = queries.groupby("id")["floor"].first().to_numpy(np.float64)
-        got = _unpack(own.iloc[0], q.shape[1]).search(q, ids, floor, k)
-        rows = [(int(i), -v, s) for i, best in zip(ids, got, strict=True) for s, v in best]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    return pairs.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInPandas(run, schema)
+def _search(asked: DataFrame, trees: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(row, query_id, vec_id, score) of each (query, tree) that meet on dim, region and tree; a group is one tree and one block of queries."""
+    keys = ["dim", "region", "tree", "block"]
+    schema = "row long, query_id long, vec_id long, score long"
+    spread = trees.drop("box_low", "box_high").join(blocks.withColumnRenamed("dim", "of"), F.col("dim") == F.col("of")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("of", "blocks")
 
+    def run(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(own):
+            return pd.DataFrame({c: [] for c in ("row", "query_id", "vec_id", "score")}).astype("int64")
+        q, row, ids = _points(queries["v"]), queries["row"].to_numpy(np.int64), queries["id"].to_numpy(np.int64)
+        got = _unpack(own.iloc[0], q.shape[1]).search(q, row, queries["floor"].to_numpy(np.float64), k)
+        rows = [(int(r), int(i), -v, s) for r, i, best in zip(row, ids, got, strict=True) for s, v in best]
+        return pd.DataFrame(rows, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
+
+    return asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def visits(queries: DataFrame, regions: dict[int, Regions], nearest: bool) -> DataFrame:
+    """(row, id, v, dim, region, trees, floor) of the regions that each query visits: the one with the highest bound, or all whose bound reaches its floor."""
+    shared = queries.sparkSession.sparkContext.broadcast(regions)
+    step = 256
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, whole in batch.groupby("dim"):
+                known = shared.value[dim]
+                for a in range(0, len(whole), step):
+                    own = whole.iloc[a : a + step]
+                    bounds = known.bounds(_points(own["v"]))
+                    if nearest:
+                        at, region = np.arange(len(own)), bounds.argmax(axis=1)
+                    else:
+                        at, region = np.nonzero(bounds >= own["floor"].to_numpy(np.float64)[:, None])
+                    out = own.iloc[at].reset_index(drop=True)
+                    yield out.assign(region=known.names[region], trees=known.trees[region])[["row", "id", "v", "dim", "block", "floor", "region", "trees"]]
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return queries.mapInPandas(run, "row long, id long, v array<long>, dim int, block long, floor double, region long, trees long")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, regions: int = REGIONS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of highest integer inner product with each query row, ties to the smaller id.
 
-    Candidates are all other rows with a vector of the same length; unusable vectors take no part and queries without any
-    candidate have no row. Rows of one length that share an id are one row. Queries meet every shard in blocks of about ``block_rows``.
+    Candidates are all other rows with a vector of the same length, rows with the same id or the same vector among them: only
+    the query's own row is left out. Rows with a null id or an unusable vector take no part, queries without any candidate
+    have no row, and each of several query rows with one id has its own ranks.
     """
-    trees = build_index(vectors, id_col, vector_col, shard_rows)
-    queries = vectors.where(is_query).select(F.col(id_col).alias("id"), quantised(F.col(vector_col)).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    counts = queries.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("q")).select("dim", F.ceil(F.col("q") / block_rows).cast("long").alias("blocks"))
-    plan = staged(trees.select("dim", "shards").distinct().join(counts, "dim"), "topk-plan")
-    blocks = queries.withColumn("dim", F.size("v")).join(plan, "dim").withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("blocks")))
-    blocks = staged(blocks.withColumn("home", F.pmod("block", F.col("shards"))), "topk-queries")
-    spread = trees.drop("shards").join(plan, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keys = ["dim", "shard", "block"]
-    none = F.lit(float("-inf")).alias("floor")
-    near = _search(blocks.select("id", "v", "dim", "block", F.col("home").alias("shard"), none), spread.where(F.col("shard") == F.pmod("block", F.col("shards"))), keys, k)
-    near = staged(near, "topk-home")
-    kth = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("floor"))
-    bounded = blocks.join(staged(kth, "topk-bounds").withColumnRenamed("query_id", "id"), "id", "left").fillna(float("-inf"), ["floor"])
-    others = bounded.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).where(F.col("shard") != F.col("home"))
-    far = _search(others.select("id", "v", "dim", "block", "shard", "floor"), spread.where(F.col("shard") != F.pmod("block", F.col("shards"))), keys, k)
-    return _best(near.unionByName(far), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    clean = _usable(vectors, is_query, id_col, vector_col)
+    trees = build_index(clean, shard_rows, regions=regions)
+    boxes = region_boxes(trees)
+    asks = clean.where("asks")
+    blocks = staged(asks.groupBy("dim").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks")), "topk-blocks")
+    none = float("-inf")
+    queries = asks.select("row", "id", "v", "dim").join(blocks.withColumnRenamed("dim", "of"), F.col("dim") == F.col("of"))
+    queries = staged(queries.select("row", "id", "v", "dim", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).alias("block"), F.lit(none).alias("floor")), "topk-queries")
+    home = staged(visits(queries, boxes, True).withColumn("tree", F.pmod(F.xxhash64("row", F.lit(3)), F.col("trees"))), "topk-homes")
+    near = staged(_search(home, trees, blocks, k), "topk-near")
+    kth = near.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(none).alias("kth"))
+    kth = staged(home.select("row", F.col("region").alias("home_region"), F.col("tree").alias("home_tree")).join(kth, "row", "left").withColumnRenamed("row", "of"), "topk-bounds")
+    bounded = queries.drop("floor").join(kth, F.col("row") == F.col("of")).select("row", "id", "v", "dim", "block", F.coalesce("kth", F.lit(none)).alias("floor"))
+    others = visits(bounded, boxes, False).withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)))
+    others = others.join(kth.select("of", "home_region", "home_tree"), F.col("row") == F.col("of")).where((F.col("region") != F.col("home_region")) | (F.col("tree") != F.col("home_tree")))
+    far = _search(others.select("row", "id", "v", "dim", "region", "tree", "block", "floor"), trees, blocks, k)
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+    best = near.unionByName(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
