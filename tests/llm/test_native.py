@@ -114,12 +114,25 @@ def test_lines_equal_brute_force(spark):
 def test_line_dedup_of_repeated_and_null_ids_and_nothing(spark):
     line = "one and the same long line of text"
     got = line_dedup.dedup_lines(docs(spark, [(1, line, "s"), (1, line, "s"), (2, line, "s")])).collect()
-    assert sorted((r["doc_id"], r["line_dedup"]["text"]) for r in got) == [(1, ""), (1, ""), (2, line)]
+    assert sorted((r["doc_id"], r["line_dedup"]["text"]) for r in got) == [(1, line), (1, line), (2, line)]
+    got = line_dedup.dedup_lines(docs(spark, [(1, line, "s"), (1, f"x\n{line}\n{line}", "s"), (1, line, "s"), (2, f"{line}\ny", "s"), (3, line, "s")])).collect()
+    assert sorted((r["doc_id"], r["line_dedup"]["text"], r["line_dedup"]["n_dropped"]) for r in got) == [(1, "", 1), (1, "", 1), (1, "x", 2), (2, "y", 1), (3, line, 0)]
     nulls = line_dedup.dedup_lines(docs(spark, [(None, line, "s"), (None, line, "s"), (5, line, "s")])).collect()
     assert sorted((str(r["doc_id"]), r["line_dedup"]["text"]) for r in nulls) == [("5", line), ("None", ""), ("None", "")]
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_long_texts_of_shared_lines_take_linear_time(spark):
+    import time
+
+    lines = [f"boilerplate line number {i} of all texts" for i in range(40_000)]
+    texts = [(i, "\n".join(x for k, x in enumerate(lines) if k % 5 or i == 9) + f"\nown {i}") for i in (1, 2, 3, 9)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["line_dedup"] for r in line_dedup.dedup_lines(docs(spark, [(i, t, "s") for i, t in texts])).collect()}
+    assert {i: r["text"] for i, r in got.items()} == {1: "own 1", 2: "own 2", 3: "own 3", 9: texts[3][1]} and got[1]["n_dropped"] == 32_000
+    assert time.perf_counter() - began < 60
+
+
 def test_kept_text_digest(spark):
     got = queries.op10_line_dedup(spark, SF).collect()
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]

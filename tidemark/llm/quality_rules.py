@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK_CLASS, words
+from tidemark.llm.common import BLANK_CLASS, bound, words
 
 #: Rows of the sample on which costs and selectivities are measured.
 SAMPLE_ROWS = 300
@@ -99,11 +99,6 @@ def text_rules(text: Column) -> list[Rule]:
     ]
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once. A plain column could be inlined into a lambda and computed for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _repeated_words(w: Column) -> Column:
     """Words covered by windows that occur twice or more: windows are hashed and sorted with their places, equal neighbours marked."""
     window = F.transform(

@@ -142,20 +142,21 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), by_id=True)
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("line_dedup.text", 256).alias("kept_sha256"))
 
 
 OP10_SQL = r"""
-WITH ls AS (
-  SELECT doc_id, i, l, translate(trim(l, E' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+ls AS (
+  SELECT r, doc_id, i, l, translate(trim(l, E' \t\n\x0b\f\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM d)
 ),
-hot AS (SELECT k, max(doc_id) AS keeper FROM ls WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-marked AS (SELECT ls.*, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM ls LEFT JOIN hot USING (k))
+hot AS (SELECT k, max(doc_id) AS keeper FROM ls WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'row ' || r)) >= 3),
+marked AS (SELECT ls.*, hot.k IS NOT NULL AND (keeper IS NULL OR doc_id IS NULL OR keeper <> doc_id) AS gone FROM ls LEFT JOIN hot USING (k))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """
 
 QUERIES = {
