@@ -86,8 +86,23 @@ def test_affirmation_needs_one_mention_without_denial(spark):
 
 def test_masking_and_links_and_particles(spark):
     df = spark.createDataFrame([("call 010-1234-5678 or me@x.org  now", "HTTPS://m.Blog.org/a/?q=1", "물", "차")], "t string, u string, a string, b string")
-    r = df.select(tx.mask_personal(F.col("t")), tx.link_key(F.col("u")), tx.particle(F.col("a"), "을", "를"), tx.particle(F.col("b"), "을", "를")).first()
-    assert tuple(r) == ("call 010-****-**** or now", "blog.org/a", "을", "를")
+    r = df.select(tx.without_contacts(F.col("t")), tx.link_key(F.col("u")), tx.particle(F.col("a"), "을", "를"), tx.particle(F.col("b"), "을", "를")).first()
+    assert tuple(r) == ("call [tel] or now", "blog.org/a", "을", "를")
+
+
+def test_numbers_of_each_kind_and_none_of_other_digits(spark):
+    kept = ["2024-12-31", "12345678901", "opened 1999 and 2001", "a@ b", "3.5 of 5", "no. 0101234567890", None, ""]
+    gone = ["010 1234 5678", "01012345678", "0507-123-4567", "02-123-4567", "031.1234.5678", "1588 123 4567"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*kept, *gone])], "i int, t string").orderBy("i")
+    got = [r[0] for r in df.select(tx.without_contacts(F.col("t"))).collect()]
+    assert got == [t or "" for t in kept] + ["[tel]"] * len(gone)
+
+
+def test_best_sentence_by_weights(spark):
+    texts = ["Plain opening. Rich coffee here! Later coffee too.", "Cut coffee title...\nA whole one.", "tiny", None, "x" * 200, "mail me@a.b about coffee now. Other."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    got = [r[0] for r in df.select(tx.best_sentence(F.col("t"), {"coffee": 2, "later": -1})).collect()]
+    assert got == ["Rich coffee here!", "A whole one.", "tiny", "", "x" * 90 + "…", "mail about coffee now."]
 
 
 def test_near_join_equals_all_pairs(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,18 +25,41 @@ def strip_markup(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
 
-def mask_personal(text: Column) -> Column:
-    """E-mail addresses and handles removed, telephone numbers starred."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^ \t\r\n]*@[^ \t\r\n]+", "")
-    out = F.regexp_replace(out, r"01[0-9][-. ]?[0-9]{3,4}[-. ]?[0-9]{4}", "010-****-****")
-    out = F.regexp_replace(out, r"\b050[0-9][-. ]?[0-9]{3,4}[-. ]?[0-9]{3,4}\b", "0507-****-****")
-    out = F.regexp_replace(out, r"\b0(2|[3-6][0-9])[-. ]?[0-9]{3,4}[-. ]?[0-9]{4}\b", "***-****-****")
-    out = F.regexp_replace(out, r"\b[0-9]{2,4}[-. ][0-9]{3,4}[-. ][0-9]{4}\b", "***-****-****")
-    return F.trim(F.regexp_replace(out, r"[ \t\r\n]{2,}", " "))
+@dataclass(frozen=True)
+class Numbers:
+    """A kind of telephone number: how it begins, how many digits its other groups have, and whether blanks, dots or hyphens must part them."""
+
+    begins: tuple[str, ...]
+    groups: tuple[tuple[int, int], ...]
+    parted: bool = False
+
+    def pattern(self) -> str:
+        mark = "[-. ]" if self.parted else "[-. ]?"
+        return f"(?:{'|'.join(self.begins)})" + "".join(f"{mark}[0-9]{{{low},{high}}}" for low, high in self.groups)
+
+
+#: The numbering plan: mobile, forwarding and area numbers, and any other number written in three parts.
+PLAN = (
+    Numbers(("01[0-9]",), ((3, 4), (4, 4))),
+    Numbers(("050[0-9]",), ((3, 4), (3, 4))),
+    Numbers(("02", "0[3-6][0-9]"), ((3, 4), (4, 4))),
+    Numbers(("[0-9]{2,4}",), ((3, 4), (4, 4)), parted=True),
+)
+
+
+def number_pattern(plan: tuple[Numbers, ...] = PLAN) -> str:
+    """One pattern for all kinds of a plan; it takes whole runs of digits only."""
+    return r"\b(?:" + "|".join(kind.pattern() for kind in plan) + r")\b"
+
+
+def without_contacts(text: Column, plan: tuple[Numbers, ...] = PLAN, mark: str = "[tel]") -> Column:
+    """The words of a text, single-spaced, without mail addresses and handles, every telephone number replaced by ``mark``."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\r\n]+"), lambda w: (w != "") & ~F.rlike(w, F.lit("@.")))
+    return F.regexp_replace(F.array_join(words, " "), number_pattern(plan), mark)
 
 
 def text_key(text: Column, chars: int = 60) -> Column:
-    """Lower case without blanks, cut: the key by which copies of a text are recognised."""
+    """Lower case without blanks, cut: the key by which copies of a text are recognised. Its length is a fixed value: other keys would tell other copies apart."""
     return F.substring(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\r\n]+", ""), 1, chars)
 
 
@@ -43,13 +68,27 @@ def normal_name(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(name, F.lit("")), r"[^\p{L}\p{N}]", ""))
 
 
-def best_sentence(text: Column, terms: str, name: str = "", most: int = 90) -> Column:
-    """The sentence that says most: four points for a term, two for the name; the first one wins ties; cut with an ellipsis."""
-    pieces = F.filter(F.transform(F.split(mask_personal(text), r"(?<=[.!?])[ \t\r\n]+|\n+"), F.trim), lambda s: F.char_length(s) >= 5)
-    points = lambda s: F.when(F.rlike(F.lower(s), F.lit(terms)), 4).otherwise(0) + (F.when(F.contains(F.lower(s), F.lit(name.lower())), 2).otherwise(0) if name else 0)
-    ranked = F.transform(pieces, lambda s, i: F.struct(points(s).alias("p"), (-i).alias("i"), s.alias("s")))
-    best = F.coalesce(F.array_max(ranked)["s"], mask_personal(text))
-    return F.when(F.char_length(best) <= most, best).otherwise(F.concat(F.substring(best, 1, most), F.lit("…")))
+def sentences(text: Column, shortest: int = 5) -> Column:
+    """The sentences of a text, in order: lines, cut after closing marks that a blank follows; shorter ones are left out."""
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?…])[ \t\r]+", "$1\n"), "\n")
+    return F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", "")), lambda x: F.char_length(x) >= shortest)
+
+
+def best_sentence(text: Column, weights: dict[str, int], most: int = 90, plan: tuple[Numbers, ...] = PLAN) -> Column:
+    """The sentence with the highest sum of ``weights`` over the patterns that it holds in lower case, the earlier one at ties.
+
+    Sentences that their source cut off (they end in dots) give way to whole ones. Contacts are taken out, and what is
+    longer than ``most`` ends in an ellipsis. A text without a sentence is its own.
+    """
+    cut_off = lambda s: F.rlike(s, F.lit(r"(?:\.{3}|…)$"))
+
+    def rank(s: Column, i: Column) -> Column:
+        points = sum((F.when(F.rlike(F.lower(s), F.lit(p)), n).otherwise(0) for p, n in weights.items()), F.lit(0))
+        return F.struct((~cut_off(s)).alias("whole"), points.alias("points"), (-i).alias("early"), s.alias("sentence"))
+
+    best = F.array_max(F.transform(sentences(text), rank))["sentence"]
+    shown = without_contacts(F.coalesce(best, text), plan)
+    return F.when(F.char_length(shown) <= most, shown).otherwise(F.concat(F.left(shown, F.lit(most)), F.lit("…")))
 
 
 def keyword_count(text: Column, words: tuple[str, ...]) -> Column:
@@ -77,5 +116,5 @@ def affirmed(text: Column, words: tuple[str, ...], denial: str, before: int = 14
 
 def particle(word: Column, after_consonant: str, after_vowel: str) -> Column:
     """A Korean particle by the final consonant of a word; words that do not end in a syllable take the vowel form."""
-    code = F.ascii(F.right(word, F.lit(1)))
+    code = F.ascii(F.right(word, F.lit(1)))  # fixed values: Hangul syllables lie at AC00-D7A3 in groups of 28 finals
     return F.when(code.between(0xAC00, 0xD7A3) & ((code - 0xAC00) % 28 != 0), after_consonant).otherwise(after_vowel)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as tx
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,6 +29,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sql_without_contacts(text: str) -> str:
+    """``without_contacts`` in DuckDB."""
+    words = rf"list_filter(regexp_split_to_array(coalesce({text}, ''), '[ \t\r\n]+'), lambda w: w <> '' AND NOT regexp_matches(w, '@.'))"
+    return f"regexp_replace(array_to_string({words}, ' '), '{tx.number_pattern()}', '[tel]', 'g')"
+
+
 SOURCES = ("direct", "direct", "semrush", "direct", "instagram", "direct", "naver", "spam")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import geo, vectors
 from tidemark.functions import text as tx
 from tidemark.operators import market, matching, quality, ranking, search
-from tidemark.plans.base import AXES, PLACES, SCORES, axis_scores, load, places, query
+from tidemark.plans.base import AXES, PLACES, SCORES, axis_scores, load, places, query, sql_without_contacts
 
 # ---------------------------------------------------------------- ranking
 
@@ -434,9 +434,12 @@ def rounding(spark, sf):
 
 @query(
     "best_sentences",
-    r"""WITH m AS (SELECT item_id, trim(regexp_replace(text, '[ \t\r\n]{2,}', ' ', 'g')) AS t FROM benchmark), s AS (SELECT item_id, t, list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: length(x) >= 5) AS s FROM m),
-    p AS (SELECT item_id, t, unnest(s) AS q, unnest(range(len(s))) AS i FROM s), b AS (SELECT item_id, arg_max(q, (CASE WHEN contains(lower(q), 'tion') THEN 4 ELSE 0 END + CASE WHEN contains(lower(q), 'the') THEN 2 ELSE 0 END, -i)) AS q FROM p GROUP BY 1)
-    SELECT item_id, CASE WHEN length(q) <= 90 THEN q ELSE left(q, 90) || '…' END AS quote FROM b""",
+    r"""WITH s AS (SELECT item_id, text, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?…])[ \t\r]+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: length(x) >= 5) AS s FROM benchmark),
+    p AS (SELECT item_id, unnest(s) AS q, unnest(range(len(s))) AS i FROM s),
+    b AS (SELECT item_id, arg_max(q, (NOT regexp_matches(q, '(?:\.{3}|…)$'), CASE WHEN contains(lower(q), 'tion') THEN 3 ELSE 0 END + CASE WHEN contains(lower(q), 'the ') THEN 1 ELSE 0 END - CASE WHEN contains(lower(q), 'license') THEN 5 ELSE 0 END, -i)) AS q FROM p GROUP BY 1),
+    """
+    + f"""m AS (SELECT item_id, {sql_without_contacts('coalesce(q, text)')} AS q FROM s LEFT JOIN b USING (item_id))
+    SELECT item_id, CASE WHEN length(q) <= 90 THEN q ELSE left(q, 90) || '…' END AS quote FROM m""",
 )
 def best_sentences(spark, sf):
-    return load(spark, sf, "benchmark").select("item_id", tx.best_sentence(F.col("text"), "tion", "the").alias("quote"))
+    return load(spark, sf, "benchmark").select("item_id", tx.best_sentence(F.col("text"), {"tion": 3, "the ": 1, "license": -5}).alias("quote"))

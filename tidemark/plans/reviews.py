@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions import vectors
 from tidemark.operators import reviews as rv
-from tidemark.plans.base import AXES, LONG_SCORES, PLACES, SCORES, axis_scores, load, places, query
+from tidemark.plans.base import AXES, LONG_SCORES, PLACES, SCORES, axis_scores, load, places, query, sql_without_contacts
 
 AS_OF = "2024-07-01"
 BASE_DAY = "2020-01-01"
@@ -300,13 +300,9 @@ def plain_text(spark, sf):
     return load(spark, sf, "pages").select("page_id", F.md5(tx.strip_markup(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query(
-    "masked_text",
-    r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[^ \t\r\n]*@[^ \t\r\n]+', '', 'g'), '01[0-9][-. ]?[0-9]{3,4}[-. ]?[0-9]{4}', '010-****-****', 'g'),
-    '\b050[0-9][-. ]?[0-9]{3,4}[-. ]?[0-9]{3,4}\b', '0507-****-****', 'g'), '\b0(?:2|[3-6][0-9])[-. ]?[0-9]{3,4}[-. ]?[0-9]{4}\b', '***-****-****', 'g'), '\b[0-9]{2,4}[-. ][0-9]{3,4}[-. ][0-9]{4}\b', '***-****-****', 'g'), '[ \t\r\n]{2,}', ' ', 'g'))) AS digest FROM documents""",
-)
+@query("masked_text", f"SELECT doc_id, md5({sql_without_contacts('text')}) AS digest FROM documents")
 def masked_text(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", F.md5(tx.mask_personal(F.col("text")).cast("binary")).alias("digest"))
+    return load(spark, sf, "documents").select("doc_id", F.md5(tx.without_contacts(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query(
