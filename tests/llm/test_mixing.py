@@ -47,6 +47,16 @@ def test_bounded_mixture_loses_no_mass(spark, given, shares):
         assert all(got[k] == pytest.approx(want[k], rel=0.01) for k in want), (m, got, want)
 
 
+def test_rounds_stop_at_the_residual_and_a_given_topic_counts(spark, given):
+    table = mixing.cells(given, topic=F.substring("doc_id", -1, 1))
+    assert {r["topic"] for r in table.collect()} == set("0123456789")
+    fit = mixing.bounded_rake(mixing.staged(table, "test-cells"), KEEP)
+    assert mixing.residual(fit) <= mixing.TOLERANCE
+    rows = mixing.mix(given, keep_share=KEEP, topic=F.substring("doc_id", -1, 1)).select("mixing.*").collect()
+    assert {r["topic"] for r in rows} == set("0123456789") and sum(r["prob"] for r in rows) == pytest.approx(KEEP * len(rows), rel=1e-6)
+    assert mixing.bounded_rake(mixing.staged(table, "test-cells"), KEEP, rounds=1).count() == table.count()
+
+
 def test_copies_meet_the_targets_of_the_plain_fit(spark, given):
     rows = mixing.mix(given, keep_share=KEEP, bounded=False).select("mixing.*").collect()
     assert max(r["copies"] for r in rows) > 1 and all(r["sampled"] == (r["copies"] > 0) and r["prob"] <= 1 for r in rows)

@@ -14,13 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, words
-
-ROUNDS = 12
+from tidemark.llm.common import discard, staged, words
+
+#: Most rounds of raking, and the residual at which it stops: the largest difference of a group from its goal, as a share of
+#: the corpus. It is looked at after every CHECK_ROUNDS.
+ROUNDS = 40
+TOLERANCE = 1e-7
+CHECK_ROUNDS = 4
+#: Cells up to which the cell table is one partition, whose windows need no shuffle; a larger one is shuffled by group.
+ONE_PARTITION = 100_000
 MARGINS = ("source", "lang", "topic")
 #: Target shares by margin are natural shares raised to this power and normalised: small groups gain.
 FLATTEN = 0.7
-#: Share of the corpus tokens that the mixture keeps; without ``bounded``, before probabilities are capped at one.
+#: Share of the corpus tokens that the mixture keeps.
 KEEP_SHARE = 0.5
 SALT = "mix-1"
 
@@ -37,13 +43,13 @@ def topic_of(text: Column) -> Column:
     )
 
 
-def cells(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def cells(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
     """(source, lang, topic, tokens, docs). Null source or language counts as the group ``unknown``; a text has one token at least."""
     return (
         docs.select(
             F.coalesce(F.col(source_col).cast("string"), F.lit("unknown")).alias("source"),
             F.coalesce(F.col(lang_col).cast("string"), F.lit("unknown")).alias("lang"),
-            topic_of(F.col(text_col)).alias("topic"),
+            (topic_of(F.col(text_col)) if topic is None else topic).alias("topic"),
             F.greatest(F.size(words(F.col(text_col))), F.lit(1)).cast("long").alias("tokens"),
         )
         .groupBy(*MARGINS)
@@ -59,7 +65,7 @@ def targets(cell_table: DataFrame, margin: str, power: float = FLATTEN) -> DataF
     return raised.crossJoin(F.broadcast(total)).select(margin, (F.col("p") / F.col("whole")).alias("share"))
 
 
-def rake(cell_table: DataFrame, shares: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, margins: tuple[str, ...] = MARGINS) -> DataFrame:
+def rake(cell_table: DataFrame, shares: dict[str, DataFrame] | None = None, rounds: int = 12, margins: tuple[str, ...] = MARGINS) -> DataFrame:
     """Cells with ``weight``: fitted token weights that sum to about the corpus and meet the margins in turn.
 
     ``shares`` maps a margin to a table (margin, share); a margin that it lacks gets ``targets``. Groups without a target
@@ -108,29 +114,47 @@ def feasible(raked: DataFrame, margin: str, bound: str = "bound") -> DataFrame:
     return _filled(one, "all", "held", "goal", "sum").select(margin, F.least("held", "goal").alias(f"goal_{margin}"))
 
 
-def bounded_rake(cell_table: DataFrame, keep_share: float, shares: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, margins: tuple[str, ...] = MARGINS) -> DataFrame:
+def residual(raked: DataFrame, margins: tuple[str, ...] = MARGINS) -> float:
+    """The largest difference between what a group gives and its goal, as a share of the corpus."""
+    worst = [raked.groupBy(m).agg((F.abs(F.sum(F.least("bound", "free")) - F.first(f"goal_{m}")) / F.first("corpus")).alias("off")).agg(F.max("off").alias("off")) for m in margins]
+    rows = worst[0]
+    for other in worst[1:]:
+        rows = rows.unionByName(other)
+    return rows.agg(F.coalesce(F.max("off"), F.lit(0.0)).alias("off")).first()["off"]
+
+
+def bounded_rake(
+    cell_table: DataFrame, keep_share: float, shares: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, margins: tuple[str, ...] = MARGINS, tolerance: float = TOLERANCE
+) -> DataFrame:
     """As ``rake``, with no weight over tokens / ``keep_share``: every inclusion probability is one at most and no mass is lost.
 
     Where a group holds less than its target at this share, all of it is kept and the other groups share the rest
-    (``feasible``). The last margin is met exactly, the others as far as the cells allow.
+    (``feasible``). Rounds stop once ``residual`` is within ``tolerance``, or after ``rounds`` where the cells cannot meet all
+    goals together; the last margin is met exactly in any case.
     """
     shares = shares or {}
     total = cell_table.agg(F.sum("tokens").cast("double").alias("corpus"))
-    out = cell_table.crossJoin(F.broadcast(total))
+    out = cell_table.crossJoin(F.broadcast(total))  # one row
     for m in margins:
         out = out.join(shares.get(m, targets(cell_table, m)).withColumnRenamed("share", f"share_{m}"), m, "left")
     out = out.fillna(0.0, [f"share_{m}" for m in margins])
     wanted = F.least(*[F.col(f"share_{m}") for m in margins], F.lit(1.0)) > 0
     tokens = F.when(wanted, F.col("tokens").cast("double")).otherwise(0.0)
     out = staged(out.withColumn("bound", tokens / F.lit(keep_share)).withColumn("free", tokens), "mix-cells")
+    small = out.count() <= ONE_PARTITION
+    near = lambda df: df.coalesce(1) if small else df
     for m in margins:
-        out = out.join(staged(feasible(out, m), "mix-goals"), m)
+        out = out.join(staged(feasible(near(out), m), "mix-goals"), m)
     out = staged(out, "mix-bounds")
-    for i in range(rounds):
-        for m in margins:
-            out = _filled(out, m, "bound", "free", f"goal_{m}")
-        if i % 2 == 1 and i + 1 < rounds:
-            out = staged(out, "mix-rake")
+    for done in range(0, rounds, CHECK_ROUNDS):
+        before, now = out, near(out)
+        for _ in range(min(CHECK_ROUNDS, rounds - done)):
+            for m in margins:
+                now = _filled(now, m, "bound", "free", f"goal_{m}")
+        out = staged(now, "mix-rake")
+        discard(before)
+        if residual(near(out), margins) <= tolerance:
+            break
     return out.withColumn("weight", F.least("bound", "free"))
 
 
@@ -154,27 +178,31 @@ def mix(
     lang_col: str = "lang",
     shares: dict[str, DataFrame] | None = None,
     keep_share: float = KEEP_SHARE,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
     out: str = "mixing",
     bounded: bool = True,
+    topic: Column | None = None,
 ) -> DataFrame:
     """``docs`` with a struct column ``out`` (source, lang, topic, prob, sampled, copies); filter on its ``sampled`` for the sample.
 
     With ``bounded`` each document is wanted once at most (``bounded_rake``) and ``copies`` is 0 or 1. Without it weights
     follow ``rake``: ``copies`` is the whole part of what the fit wants and a draw for the rest, so repeating each document
     so often meets the targets; ``sampled`` alone, once each, loses what cells want over one.
-    Null groups are ``unknown``, empty texts form a topic of their own, rows with the same id are drawn alike, and an
+    ``topic`` is the topic of a document, a column of strings, where there is one; else the form of the text stands for it
+    (``topic_of``). Null groups are ``unknown``, empty texts form a topic of their own, rows with the same id are drawn alike, and an
     empty table gives an empty result. Cell probabilities are a written table: the optimizer broadcasts them only where
     their measured size is under the session's threshold. An input column named as ``out`` is replaced.
     """
     docs = docs.drop(out)
-    table = staged(cells(docs, text_col, source_col, lang_col), "mix-sums")
-    raked = bounded_rake(table, keep_share, shares, rounds) if bounded else rake(table, shares, rounds)
+    topic = topic_of(F.col(text_col)) if topic is None else F.coalesce(topic.cast("string"), F.lit("unknown"))
+    table = staged(cells(docs, text_col, source_col, lang_col, topic), "mix-sums")
+    limit = {} if rounds is None else {"rounds": rounds}
+    raked = bounded_rake(table, keep_share, shares, **limit) if bounded else rake(table, shares, **limit)
     prob = staged(probabilities(raked, keep_share), "mix-prob").select(*[F.col(m).alias(f"__cell_{m}") for m in MARGINS], F.col("prob").alias("__cell_prob"), F.col("times").alias("__cell_times"))
     group = F.struct(
         F.coalesce(F.col(source_col).cast("string"), F.lit("unknown")).alias("source"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("unknown")).alias("lang"),
-        topic_of(F.col(text_col)).alias("topic"),
+        topic.alias("topic"),
     )
     keyed = docs.select(*[F.col(c) for c in docs.columns], group.alias("__cell"))
     joined = keyed.join(prob, [F.col(f"__cell.{m}") == F.col(f"__cell_{m}") for m in MARGINS], "left")

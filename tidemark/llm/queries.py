@@ -76,24 +76,42 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"), bounded=False)  # its SQL fixes least(1, .) of the plain fit
+    out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("mixing.topic").alias("topic"), F.round("mixing.prob", 6).alias("prob"), F.col("mixing.sampled").alias("sampled"))
 
 
+def _sql_filled(source: str, group: str, bound: str, value: str, goal: str, keep: str) -> str:
+    """``value`` of a subquery scaled in each group so that the sum of least(bound, value) is the goal; columns ``keep`` and value."""
+    return f"""SELECT {keep}, CASE WHEN reach IS NULL THEN 0.0 ELSE {value} * greatest(CASE WHEN open > 0 THEN rest / open END, lowest) END AS {value} FROM (
+      SELECT *, {goal} - coalesce(sum(CASE WHEN filled THEN {bound} END) OVER (PARTITION BY {group}), 0) AS rest,
+             sum(CASE WHEN reach IS NOT NULL AND NOT filled THEN {value} END) OVER (PARTITION BY {group}) AS open, max(CASE WHEN filled THEN reach END) OVER (PARTITION BY {group}) AS lowest
+      FROM (SELECT *, reach IS NOT NULL AND sum_b + reach * (sum(CASE WHEN reach IS NULL THEN 0 ELSE {value} END) OVER (PARTITION BY {group}) - sum_v) <= {goal} AS filled
+        FROM (SELECT *, sum(CASE WHEN reach IS NULL THEN 0 ELSE {bound} END) OVER (PARTITION BY {group} ORDER BY reach) AS sum_b,
+                     sum(CASE WHEN reach IS NULL THEN 0 ELSE {value} END) OVER (PARTITION BY {group} ORDER BY reach) AS sum_v
+          FROM (SELECT *, CASE WHEN {bound} > 0 AND {value} > 0 THEN {bound} / {value} END AS reach FROM ({source})))))"""
+
+
 def _op6_sql() -> str:
+    margins, keys = mixing.MARGINS, ", ".join(mixing.MARGINS)
     shares = ",\n".join(
-        f"share_{m} AS (SELECT {m}, pow(t, {mixing.FLATTEN}) / sum(pow(t, {mixing.FLATTEN})) OVER () AS share_{m} FROM (SELECT {m}, sum(tokens)::DOUBLE AS t FROM cells GROUP BY {m}))"
-        for m in mixing.MARGINS
+        f"share_{m} AS (SELECT {m}, corpus * pow(t, {mixing.FLATTEN}) / sum(pow(t, {mixing.FLATTEN})) OVER () AS goal, t / {mixing.KEEP_SHARE} AS held FROM (SELECT {m}, any_value(corpus) AS corpus, sum(tokens) AS t FROM cells GROUP BY {m}))"
+        for m in margins
     )
-    steps, last = [], "start"
-    for i in range(mixing.ROUNDS):
-        for m in mixing.MARGINS:
-            now = f"r{i}_{m}"
-            steps.append(f"{now} AS (SELECT * REPLACE (weight * share_{m} * corpus / sum(weight) OVER (PARTITION BY {m}) AS weight) FROM {last})")
-            last = now
+    goals = ",\n".join(
+        f"goal_{m} AS (SELECT {m}, least(held, goal) AS goal_{m} FROM ("
+        + _sql_filled(f"SELECT *, 1 AS one, least(sum(goal) OVER (), sum(held) OVER ()) AS whole FROM share_{m}", "one", "held", "goal", "whole", f"{m}, held")
+        + "))"
+        for m in margins
+    )
+    columns = f"{keys}, tokens, corpus, bound, " + ", ".join(f"goal_{m}" for m in margins)
+    one_round = "SELECT * FROM fit WHERE more"
+    for m in margins:
+        one_round = _sql_filled(one_round, m, "bound", "free", f"goal_{m}", f"n, {columns}")
+    off = "greatest(" + ", ".join(f"abs(sum(least(bound, free)) OVER (PARTITION BY {m}) - goal_{m}) / corpus" for m in margins) + ")"
     draw = f"('0x' || substr(md5('{mixing.SALT}' || doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE / {float(1 << 48)!r}"
+    prob = f"least(1.0, {mixing.KEEP_SHARE} * least(bound, free) / last.tokens)"
     return rf"""
-WITH docs AS (
+WITH RECURSIVE docs AS (
   SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang,
          CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN contains(text, ' | ') THEN 'table'
               WHEN length(text) < 80 * (length(text) - length(replace(text, chr(10), '')) + 1) THEN 'lines'
@@ -101,13 +119,19 @@ WITH docs AS (
          greatest(len({_WORDS}), 1)::BIGINT AS tokens
   FROM documents
 ),
-cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL),
+cells AS (SELECT {keys}, sum(tokens)::DOUBLE AS tokens, sum(sum(tokens)) OVER ()::DOUBLE AS corpus FROM docs GROUP BY {keys}),
 {shares},
-start AS (SELECT *, tokens AS weight, sum(tokens) OVER () AS corpus FROM cells JOIN share_source USING (source) JOIN share_lang USING (lang) JOIN share_topic USING (topic)),
-{", ".join(steps)}
-SELECT doc_id, docs.topic AS topic, round(least(1.0, {mixing.KEEP_SHARE} * weight / {last}.tokens), 6) AS prob,
-       {draw} < least(1.0, {mixing.KEEP_SHARE} * weight / {last}.tokens) AS sampled
-FROM docs JOIN {last} USING (source, lang, topic)
+{goals},
+start AS (SELECT {keys}, tokens, corpus, tokens / {mixing.KEEP_SHARE} AS bound, {", ".join(f"goal_{m}" for m in margins)}, tokens AS free FROM cells {" ".join(f"JOIN goal_{m} USING ({m})" for m in margins)}),
+fit AS (
+  SELECT 0 AS n, {columns}, free, true AS more FROM start
+  UNION ALL
+  SELECT n + 1, {columns}, free, n + 1 < {mixing.ROUNDS} AND ((n + 1) % {mixing.CHECK_ROUNDS} <> 0 OR max(off) OVER () > {mixing.TOLERANCE!r}) AS more
+  FROM (SELECT *, {off} AS off FROM ({one_round}))
+),
+last AS (SELECT * FROM fit WHERE NOT more)
+SELECT doc_id, docs.topic AS topic, round({prob}, 6) AS prob, {draw} < {prob} AS sampled
+FROM docs JOIN last USING ({keys})
 """
 
 
