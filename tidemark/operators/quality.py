@@ -4,21 +4,27 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLES = 6
 
 
-def run_checks(checks: list[tuple[str, str, DataFrame, str]]) -> DataFrame:
-    """(check, level, failures, samples, passed) for checks (name, level, failing rows, key column).
+def failing(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
+    """(check, k) of the rows that fail: all row checks of one table in one pass over it."""
+    names = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]), lambda x: x.isNotNull())
+    return df.select(F.explode(names).alias("check"), F.col(key).cast("string").alias("k"))
 
-    Counting and the sample are one aggregate: the smallest keys, kept by ``min`` over slices of a bounded sort in each task.
+
+def run_checks(spark: SparkSession, levels: dict[str, str], *parts: DataFrame) -> DataFrame:
+    """(check, level, failures, samples, passed) of the named checks from parts (check, k) of failing rows.
+
+    One aggregate gives both counts and samples: the smallest key of each of 256 slices by a hash of the key, of which the
+    smallest few are shown. So a task keeps 256 keys of a check at most, however many rows fail.
     """
-    parts = []
-    for name, level, bad, key in checks:
-        keys = bad.select(F.col(key).cast("string").alias("k"))
-        n = keys.agg(F.count("*").alias("failures"))
-        few = keys.orderBy("k").limit(SAMPLES).agg(F.array_join(F.sort_array(F.collect_list("k")), ",").alias("samples"))
-        parts.append(n.crossJoin(F.broadcast(few)).select(F.lit(name).alias("check"), F.lit(level).alias("level"), "failures", "samples", (F.col("failures") == 0).alias("passed")))
-    return reduce(DataFrame.unionByName, parts)
+    named = spark.createDataFrame([(n, None) for n in levels], "check string, k string")
+    slices = reduce(DataFrame.unionByName, parts, named).groupBy("check", F.substring(F.md5(F.col("k").cast("binary")), 1, 2).alias("slice")).agg(F.count("k").alias("n"), F.min("k").alias("k"))
+    shown = F.array_join(F.slice(F.sort_array(F.collect_list("k")), 1, SAMPLES), ",")
+    level = F.create_map(*[F.lit(x) for pair in levels.items() for x in pair])
+    out = slices.groupBy("check").agg(F.sum("n").alias("failures"), shown.alias("samples"))
+    return out.select("check", level[F.col("check")].alias("level"), "failures", "samples", (F.col("failures") == 0).alias("passed"))

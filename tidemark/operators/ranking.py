@@ -36,16 +36,27 @@ def round_robin(df: DataFrame, group: Column, order: list[Column], group_order:
     return ranked.withColumn("seat", F.pmod(group_order - F.lit(slot), groups)).orderBy("turn", "seat").limit(cap)
 
 
-def rotate(df: DataFrame, key: str, offset: int, cap: int) -> DataFrame:
-    """A pool in the order of its key, started ``offset`` places on, cut to ``cap``; adds ``place``.
+def rotate(df: DataFrame, key: str, offset: int, cap: int, slices: int = 1024) -> DataFrame:
+    """A pool in the order of its whole-number ``key``, started ``offset`` places on, cut to ``cap``; adds ``place``.
 
-    The pool is numbered by counting smaller keys of a bounded list, so give this a pool, not a table.
+    Rows are counted in slices of the key's range, which tells the slices that hold the wanted places; only their rows are
+    numbered, each slice on its own. The driver gets the counts of ``slices`` slices.
     """
-    n = df.count()
-    if not n:
-        return df.withColumn("place", F.lit(0))
-    numbered = df.withColumn("place", F.pmod(F.row_number().over(Window.orderBy(key)) - 1 - F.lit(offset), F.lit(n)))
-    return numbered.where(F.col("place") < cap)
+    span = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if span["low"] is None:
+        return df.withColumn("place", F.lit(0).cast("long"))
+    width = max(1, -(-(span["high"] - span["low"] + 1) // slices))
+    sliced = df.withColumn("__slice", F.floor((F.col(key) - F.lit(span["low"])) / width).cast("long"))
+    counts = sorted((r["__slice"], r["count"]) for r in sliced.groupBy("__slice").count().collect() if r["__slice"] is not None)
+    n, before, held = sum(c for _, c in counts), 0, []
+    for number, count in counts:
+        first = (before - offset) % n
+        if first < cap or first + count > n:  # the slice begins within the wanted places, or runs over the end into them
+            held.append((number, before))
+        before += count
+    starts = F.create_map(*[F.lit(x) for pair in held for x in pair])
+    numbered = sliced.where(F.col("__slice").isin([h for h, _ in held])).withColumn("__at", F.row_number().over(Window.partitionBy("__slice").orderBy(key)) - 1)
+    return numbered.withColumn("place", F.pmod(starts[F.col("__slice")] + F.col("__at") - F.lit(offset), F.lit(n))).where(F.col("place") < cap).drop("__slice", "__at")
 
 
 def slot_of(epoch_ms: int, hours: int = 12, zone_hours: int = 9) -> int:

@@ -146,8 +146,10 @@ def axis_profile(df: DataFrame, axes: list[str], least: int = 8) -> DataFrame:
     """
     pairs = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(i).alias("no"), F.col("scores")[a].alias("raw")) for i, a in enumerate(axes)])
     long = df.where(F.col("count") >= least).select("id", "count", F.explode(pairs).alias("p")).select("id", "p.*", F.round(F.col("p.raw") / F.col("count"), 9).alias("rate"))
-    by = Window.partitionBy("axis")
-    long = long.withColumn("mean", F.avg("rate").over(by)).withColumn("share_at_most", F.cume_dist().over(by.orderBy("rate")))
+    values = long.groupBy("axis", "rate").agg(F.count("*").alias("n"))  # ratios of small whole numbers: few values however many rows
+    upto, whole = F.sum("n").over(Window.partitionBy("axis").orderBy("rate")), Window.partitionBy("axis")
+    spread = values.select("axis", "rate", (upto / F.sum("n").over(whole)).alias("share_at_most"), (F.sum(F.col("rate") * F.col("n")).over(whole) / F.sum("n").over(whole)).alias("mean"))
+    long = long.join(spread, ["axis", "rate"])
     mult = F.round(F.when(F.col("mean") > 0, F.col("rate") / F.col("mean")).when(F.col("rate") > 0, 99.0).otherwise(0.0), 6)
     long = long.withColumn("mult", mult)
     strong, weak = (F.col("mult") >= 1.3) & (F.col("raw") >= 2), F.col("mult") <= 0.6
@@ -164,23 +166,25 @@ def campaign_clusters(df: DataFrame, owner: str, least: int = 5, rate: float = 0
     smaller set, is exact without forming any pair of texts: for one word pair the texts that hold it are counted by the size
     of their sets, and each text of size s adds 1/s for every one of a larger set.
     """
-    days = df.where(F.col("day").isNotNull()).groupBy(owner, "day").agg(F.count("*").alias("n"))
+    personally = F.sum(F.col("personal").cast("int")).alias("p")
+    days = df.where(F.col("day").isNotNull()).groupBy(owner, "day").agg(F.count("*").alias("n"), personally, F.count("personal").alias("known"))
     number = F.datediff("day", F.lit("1970-01-01").cast("date"))
-    near = F.sum("n").over(Window.partitionBy(owner).orderBy(number).rangeBetween(-1, 1))
-    dated = F.sum("n").over(Window.partitionBy(owner))
-    best = days.withColumn("near", near).withColumn("dated", dated).groupBy(owner).agg(F.max_by("day", F.struct("near", -number)).alias("cluster_day"), F.max("near").alias("cluster_n"), F.first("dated").alias("dated"))
-    best = best.withColumn("cluster_rate", F.col("cluster_n") / F.col("dated")).where((F.col("cluster_n") >= least) & (F.col("cluster_rate") >= rate))
-    members = df.join(best.select(owner, "cluster_day"), owner).where(F.abs(F.datediff("day", "cluster_day")) <= 1)
+    three, all_days = Window.partitionBy(owner).orderBy(number).rangeBetween(-1, 1), Window.partitionBy(owner)
+    best = days.select(owner, "day", *[F.sum(c).over(three).alias(c) for c in ("n", "p", "known")], F.sum("n").over(all_days).alias("dated"))
+    best = best.groupBy(owner).agg(F.max_by(F.struct("day", "n", "p", "known", "dated"), F.struct("n", -number)).alias("b")).select(
+        owner, F.col("b.day").alias("cluster_day"), F.col("b.n").alias("cluster_n"), (F.col("b.n") / F.col("b.dated")).alias("cluster_rate"), (F.col("b.p") / F.col("b.known")).alias("personal_rate")
+    )
+    best = best.where((F.col("cluster_n") >= least) & (F.col("cluster_rate") >= rate))
+    members = df.select(owner, "day", "text").join(best.select(owner, "cluster_day"), owner).where(F.abs(F.datediff("day", "cluster_day")) <= 1)
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}\s]", " "), r"\s+"), lambda w: w != "")
-    # the words are bound in a lambda, so that no rewrite of the plan computes them anew for each place
-    bound = F.transform(F.array(words), lambda ws: F.array_distinct(F.transform(F.when(F.size(ws) > 1, F.sequence(F.lit(1), F.size(ws) - 1)), lambda i: F.concat(F.get(ws, i - 1), F.lit(" "), F.get(ws, i)))))
+    # word pairs as 64-bit hashes; the words are bound in a lambda, so that no rewrite of the plan computes them anew for each place
+    bound = F.transform(F.array(words), lambda ws: F.array_distinct(F.transform(F.when(F.size(ws) > 1, F.sequence(F.lit(1), F.size(ws) - 1)), lambda i: F.xxhash64(F.get(ws, i - 1), F.get(ws, i)))))
     grams = members.select(owner, F.get(bound, F.lit(0)).alias("g")).select(owner, F.size("g").alias("size"), F.explode("g").alias("g"))
     sizes = grams.groupBy(owner, "g", "size").agg(F.count("*").alias("c"))
     larger = F.coalesce(F.sum("c").over(Window.partitionBy(owner, "g").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     added = (F.col("c") * (F.col("c") - 1) / 2 + F.col("c") * larger) / F.col("size")
     shared = sizes.select(owner, added.alias("added")).groupBy(owner).agg(F.sum("added").alias("shared"))
-    people = members.groupBy(owner).agg(F.avg(F.col("personal").cast("double")).alias("personal_rate"))
-    out = best.join(people, owner).join(shared, owner, "left")
+    out = best.join(shared, owner, "left")
     score = F.coalesce("shared", F.lit(0.0)) / (F.col("cluster_n") * (F.col("cluster_n") - 1) / 2)
     suspect = (F.col("personal_rate") < personal) & ((F.col("template_score") >= template) | (F.col("cluster_rate") >= burst))
     return out.withColumn("template_score", score).withColumn("suspect", suspect).select(owner, "cluster_day", "cluster_n", "cluster_rate", "personal_rate", "template_score", "suspect")

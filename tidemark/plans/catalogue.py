@@ -353,25 +353,49 @@ def catalogue_cleaning(spark, sf):
 # ---------------------------------------------------------------- data quality and scalars
 
 
+_CHECKS = {
+    "published_has_reviews": "fail", "order_total_positive": "fail", "line_has_order": "fail", "repeated_names": "warn", "negative_balance": "warn", "place_in_country": "fail", "grade_known": "fail",
+    "price_per_size": "warn", "discount_range": "fail", "ship_after_order": "fail", "return_flag_known": "fail", "order_priority_known": "warn", "supplier_nation_known": "fail", "shipped_before_receipt": "warn",
+}
+
+
 @query(
     "quality_suite",
-    f"""WITH {PLACES}, bad AS (SELECT 'published_has_reviews' AS "check", 'fail' AS level, id::VARCHAR AS k FROM places WHERE grade <> 'candidate' AND "count" < 3 UNION ALL SELECT 'order_total_positive', 'fail', o_orderkey::VARCHAR FROM orders WHERE o_totalprice <= 0
-      UNION ALL SELECT 'line_has_order', 'fail', l_orderkey::VARCHAR FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'repeated_names', 'warn', name FROM (SELECT name FROM places GROUP BY name HAVING count(*) > 110)
-      UNION ALL SELECT 'negative_balance', 'warn', s_suppkey::VARCHAR FROM supplier WHERE s_acctbal < 500),
-    names("check", level) AS (VALUES ('published_has_reviews', 'fail'), ('order_total_positive', 'fail'), ('line_has_order', 'fail'), ('repeated_names', 'warn'), ('negative_balance', 'warn')),
-    r AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY k) AS rn FROM bad)
-    SELECT n."check", n.level, count(r.k) AS failures, coalesce(string_agg(r.k, ',' ORDER BY r.k) FILTER (WHERE rn <= 6), '') AS samples, count(r.k) = 0 AS passed FROM names n LEFT JOIN r ON r."check" = n."check" GROUP BY ALL""",
+    f"""WITH {PLACES}, bad("check", k) AS (SELECT 'published_has_reviews', id::VARCHAR FROM places WHERE grade <> 'candidate' AND "count" < 3
+      UNION ALL SELECT 'place_in_country', id::VARCHAR FROM places WHERE NOT (lat BETWEEN 33 AND 39 AND lng BETWEEN 124 AND 132) UNION ALL SELECT 'grade_known', id::VARCHAR FROM places WHERE grade NOT IN ('verified', 'reference', 'candidate')
+      UNION ALL SELECT 'price_per_size', id::VARCHAR FROM places WHERE price > 1500 AND "count" < 5 UNION ALL SELECT 'order_total_positive', o_orderkey::VARCHAR FROM orders WHERE o_totalprice <= 0
+      UNION ALL SELECT 'order_priority_known', o_orderkey::VARCHAR FROM orders WHERE o_orderpriority IS NULL OR o_orderpriority NOT LIKE '_-%' UNION ALL SELECT 'line_has_order', l_orderkey::VARCHAR FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL
+      UNION ALL SELECT 'ship_after_order', l_orderkey::VARCHAR FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate UNION ALL SELECT 'discount_range', l_orderkey::VARCHAR FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.1
+      UNION ALL SELECT 'return_flag_known', l_orderkey::VARCHAR FROM lineitem WHERE l_returnflag NOT IN ('A', 'N', 'R') UNION ALL SELECT 'shipped_before_receipt', l_orderkey::VARCHAR FROM lineitem WHERE l_quantity > 49 AND l_tax > 0.07
+      UNION ALL SELECT 'repeated_names', name FROM (SELECT name FROM places GROUP BY name HAVING count(*) > 110) UNION ALL SELECT 'negative_balance', s_suppkey::VARCHAR FROM supplier WHERE s_acctbal < 500
+      UNION ALL SELECT 'supplier_nation_known', s_suppkey::VARCHAR FROM supplier WHERE s_nationkey NOT BETWEEN 0 AND 24),
+    names("check", level) AS (VALUES {", ".join(f"('{n}', '{v}')" for n, v in _CHECKS.items())}),
+    slices AS (SELECT "check", substr(md5(k), 1, 2) AS slice, count(*) AS n, min(k) AS k FROM bad GROUP BY 1, 2), few AS (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY k) AS rn FROM slices)
+    SELECT n."check", n.level, coalesce(sum(f.n), 0)::BIGINT AS failures, coalesce(string_agg(f.k, ',' ORDER BY f.k) FILTER (WHERE rn <= 6), '') AS samples, count(f.k) = 0 AS passed FROM names n LEFT JOIN few f ON f."check" = n."check" GROUP BY n."check", n.level""",
 )
 def quality_suite(spark, sf):
-    p, o, l, s = places(spark, sf), load(spark, sf, "orders"), load(spark, sf, "lineitem"), load(spark, sf, "supplier")  # noqa: E741
+    """Fourteen checks, each table read once for all of its row checks (orders twice: alone, and beside their lines)."""
+    p, o, s = places(spark, sf), load(spark, sf, "orders"), load(spark, sf, "supplier")
+    l = load(spark, sf, "lineitem").join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"), "left")  # noqa: E741
     return quality.run_checks(
-        [
-            ("published_has_reviews", "fail", p.where("grade <> 'candidate' AND `count` < 3"), "id"),
-            ("order_total_positive", "fail", o.where("o_totalprice <= 0"), "o_orderkey"),
-            ("line_has_order", "fail", l.join(o, l.l_orderkey == o.o_orderkey, "left_anti"), "l_orderkey"),
-            ("repeated_names", "warn", p.groupBy("name").count().where("count > 110"), "name"),
-            ("negative_balance", "warn", s.where("s_acctbal < 500"), "s_suppkey"),
-        ]
+        spark,
+        _CHECKS,
+        quality.failing(p, "id", {
+            "published_has_reviews": F.expr("grade <> 'candidate' AND `count` < 3"),
+            "place_in_country": F.expr("NOT (lat BETWEEN 33 AND 39 AND lng BETWEEN 124 AND 132)"),
+            "grade_known": F.expr("grade NOT IN ('verified', 'reference', 'candidate')"),
+            "price_per_size": F.expr("price > 1500 AND `count` < 5"),
+        }),
+        quality.failing(o, "o_orderkey", {"order_total_positive": F.expr("o_totalprice <= 0"), "order_priority_known": F.expr("o_orderpriority IS NULL OR o_orderpriority NOT LIKE '_-%'")}),
+        quality.failing(l, "l_orderkey", {
+            "line_has_order": F.expr("o_orderkey IS NULL"),
+            "ship_after_order": F.expr("l_shipdate < o_orderdate"),
+            "discount_range": F.expr("NOT l_discount BETWEEN 0 AND 0.1"),
+            "return_flag_known": F.expr("l_returnflag NOT IN ('A', 'N', 'R')"),
+            "shipped_before_receipt": F.expr("l_quantity > 49 AND l_tax > 0.07"),
+        }),
+        quality.failing(p.groupBy("name").count(), "name", {"repeated_names": F.expr("`count` > 110")}),
+        quality.failing(s, "s_suppkey", {"negative_balance": F.expr("s_acctbal < 500"), "supplier_nation_known": F.expr("s_nationkey NOT BETWEEN 0 AND 24")}),
     )
 
 

@@ -157,10 +157,9 @@ def null_aware_not_in(spark, sf):
     SELECT id, len(list_filter(dates, lambda x: x >= TIMESTAMP '2000-01-01'))::INTEGER AS r_late, len(list_filter(dates, lambda x: x >= TIMESTAMP '1998-01-01'))::INTEGER AS r_mid FROM d""",
 )
 def lateral_counts(spark, sf):
-    """Counts over a nested array without exploding it."""
-    d = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list("o_orderdate").alias("dates"))
-    n = lambda day: F.size(F.filter("dates", lambda x: x >= F.lit(day).cast("timestamp")))
-    return d.select("id", n("2000-01-01").alias("r_late"), n("1998-01-01").alias("r_mid"))
+    """Several conditional counts of a group's rows in one aggregate, with nothing collected."""
+    since = lambda day: F.count_if(F.col("o_orderdate") >= F.lit(day).cast("timestamp")).cast("int")
+    return load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(since("2000-01-01").alias("r_late"), since("1998-01-01").alias("r_mid"))
 
 
 @query(
@@ -514,9 +513,10 @@ def standout_lift(spark, sf):
 
 @query("nth_back", "SELECT o_custkey AS id, coalesce(max(o_totalprice) FILTER (WHERE rn = 8), max(o_totalprice) FILTER (WHERE rn = n)) AS back7 FROM (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)) GROUP BY 1")
 def nth_back(spark, sf):
-    """The value seven rows before the latest, or the oldest one."""
-    at = F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", F.col("o_totalprice").alias("v"))), asc=False)
-    return load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(at.alias("a")).select("id", F.element_at("a", F.least(F.size("a"), F.lit(8)))["v"].alias("back7"))
+    """The value seven rows before the latest, or the oldest one: eight rows of a group at most leave a task."""
+    recent = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    last = load(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice").withColumn("rn", recent).where("rn <= 8")
+    return last.groupBy(F.col("o_custkey").alias("id")).agg(F.max_by("o_totalprice", "rn").alias("back7"))
 
 
 # ---------------------------------------------------------------- order, sets, snapshots

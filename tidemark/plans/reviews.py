@@ -356,7 +356,9 @@ def taste_neighbours(spark, sf):
     SELECT id, floor(v / 1000 + 0.5)::BIGINT AS band FROM k WHERE n >= 3 AND rn = n // 2 + 1""",
 )
 def price_bands(spark, sf):
+    """The upper median from counts by value, of which a supplier has 10,001 at most."""
     v = F.floor(F.col("l_extendedprice") / 10)
-    prices = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), v.alias("v")).where("v BETWEEN 3000 AND 13000")
-    own = prices.groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("a")).where("size(a) >= 3")
-    return own.select("id", F.floor(F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int")) / 1000 + 0.5).alias("band"))
+    counts = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("id"), v.alias("v")).where("v BETWEEN 3000 AND 13000").groupBy("id", "v").count()
+    so_far, whole = F.sum("count").over(Window.partitionBy("id").orderBy("v")), F.sum("count").over(Window.partitionBy("id"))
+    reached = counts.withColumn("upto", so_far).withColumn("n", whole).where("n >= 3 AND upto >= floor(n / 2) + 1")
+    return reached.groupBy("id").agg(F.floor(F.min("v") / 1000 + 0.5).alias("band"))
