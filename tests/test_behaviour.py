@@ -1,6 +1,7 @@
 """Behaviour of operators on small fixtures: merges, guards, grades, rotation, text rules, geometry."""
 
 import datetime as dt
+import json
 import math
 
 import pytest
@@ -186,3 +187,44 @@ def test_points_in_polygons_of_a_file(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"features": [{"properties": {"name": "sq"}, "geometry": {"type": "Polygon", "coordinates": [[[0.2, 0.2], [2.5, 0.2], [2.5, 2.5], [0.2, 2.5], [0.2, 0.2]]]}}]}')
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 1.0), (3, 2.4, 2.4)], "id int, lat double, lng double")
     assert rows(geo.inside(points, files.polygon_edges(spark, f"{tmp_path}/p.json", "name")), "id", "polygon") == [(1, "sq"), (3, "sq")]
+
+
+def test_multipolygons_holes_and_other_shapes(spark, tmp_path):
+    ring = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    shape = lambda name, kind, c: {"properties": {"name": name, "gu": "g"}, "geometry": None if kind is None else {"type": kind, "coordinates": c}}
+    features = [shape("two", "MultiPolygon", [[ring(0, 1)], [ring(5, 6)]]), shape("holed", "Polygon", [ring(2, 4), ring(2.5, 3.5)]), shape("none", None, None)]
+    (tmp_path / "m.json").write_text(json.dumps({"features": features}))
+    edges = files.polygon_edges(spark, f"{tmp_path}/m.json", "name", "gu")
+    points = spark.createDataFrame([(1, 0.5, 0.5, "g"), (2, 5.5, 5.5, "g"), (3, 3.0, 3.0, "g"), (4, 2.2, 2.2, "g"), (5, 9.0, 9.0, "g"), (6, 9.0, 9.0, "h")], "id int, lat double, lng double, gu string")
+    assert rows(geo.inside(points, edges, cell=0.3), "id", "polygon") == [(1, "two"), (2, "two"), (4, "holed")]
+    assert rows(geo.inside_or_nearest(points, edges, "gu"), "id", "polygon", "found") == [(1, "two", "inside"), (2, "two", "inside"), (3, "two", "nearest"), (4, "holed", "inside"), (5, "two", "nearest")]
+    (tmp_path / "l.json").write_text(json.dumps({"features": [shape("line", "LineString", [[0, 0], [1, 1]])]}))
+    with pytest.raises(Exception, match="not a polygon: LineString"):
+        files.polygon_edges(spark, f"{tmp_path}/l.json", "name").count()
+
+
+def test_sessions_run_on_over_buckets(spark):
+    moment = lambda minutes: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+    at = [0, 25, 55, 58, 61, 90, 121, 300, 329, 359, 389, 419, 1000, 1000, 1030, 1061]
+    log = spark.createDataFrame([(k, moment(m)) for k in ("a", "b") for m in at if k == "a" or m != 58], "who string, ts timestamp")
+    def plain(minutes):
+        out = []
+        for m in sorted(minutes):
+            if out and m - out[-1][1] <= 30:
+                out[-1][1:] = [m, out[-1][2] + 1]
+            else:
+                out.append([m, m, 1])
+        return [(moment(a), moment(b), n) for a, b, n in out]
+
+    assert rows(traffic.sessions(log.where("who = 'a'")), "start", "end", "events") == plain(at)
+    got = rows(traffic.sessions(log, by=["who"], bucket_minutes=7), "who", "start", "end", "events")
+    assert got == [("a", *x) for x in plain(at)] + [("b", *x) for x in plain([m for m in at if m != 58])]
+
+
+def test_rotation_wraps_round_the_pool(spark):
+    keys = [5, 9, 10, 11, 40, 41, 999, 1000, 5000, 100_000]
+    pool = spark.createDataFrame([(k,) for k in keys], "id long")
+    for offset in (0, 3, 9, 10, 27):
+        got = [r["id"] for r in ranking.rotate(pool, "id", offset, 4, slices=8).orderBy("place").collect()]
+        assert got == [(keys * 2)[(offset % 10) + i] for i in range(4)]
+    assert ranking.rotate(pool.limit(0), "id", 3, 4).count() == 0

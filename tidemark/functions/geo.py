@@ -47,15 +47,40 @@ def near_join(left: DataFrame, right: DataFrame, radius_m: float, left_at: tuple
     return l.join(r, ["__y", "__x"]).withColumn(distance, F.sqrt(m2)).where(F.col(distance) <= radius_m).drop("__y", "__x")
 
 
-def inside(points: DataFrame, edges: DataFrame, at: tuple[str, str] = ("lat", "lng"), key: str = "id", polygon: str = "polygon") -> DataFrame:
-    """(key, polygon): the polygons that hold each point, by the parity of edges crossed to the east.
+def shapes(edges: DataFrame, *columns: str, polygon: str = "polygon") -> DataFrame:
+    """(polygon, columns..., sides, low_y, high_y, low_x, high_x): one row for each polygon of an edge table (polygon, y1, x1, y2, x2)."""
+    sides = F.collect_list(F.struct("y1", "x1", "y2", "x2")).alias("sides")
+    return edges.groupBy(polygon, *columns).agg(
+        sides, F.min(F.least("y1", "y2")).alias("low_y"), F.max(F.greatest("y1", "y2")).alias("high_y"), F.min(F.least("x1", "x2")).alias("low_x"), F.max(F.greatest("x1", "x2")).alias("high_x")
+    )
 
-    ``edges`` has (polygon, y1, x1, y2, x2), one row for each side of each ring. Points meet an edge only in the one-degree
-    bands of latitude that it spans, so the join is an equi-join.
+
+def inside(points: DataFrame, edges: DataFrame, at: tuple[str, str] = ("lat", "lng"), key: str = "id", polygon: str = "polygon", cell: float = 0.05) -> DataFrame:
+    """(key, polygon): the polygons that hold each point, by the parity of sides crossed to the east.
+
+    Points and the boxes of polygons meet on grid cells of ``cell`` degrees, about the size of a polygon; only polygons whose
+    box holds a point are tested against their sides, which travel as one array for each polygon.
     """
     y, x = F.col(at[0]), F.col(at[1])
-    band = F.explode(F.sequence(F.floor(F.least("y1", "y2")).cast("int"), F.floor(F.greatest("y1", "y2")).cast("int")))
-    p = points.withColumn("__band", F.floor(y).cast("int"))
-    crosses = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    met = p.join(edges.withColumn("__band", band), "__band").where(crosses)
-    return met.groupBy(key, polygon).agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, polygon)
+    number = lambda c: F.floor(c / F.lit(cell)).cast("long")
+    whole = shapes(edges, polygon=polygon)
+    boxes = whole.drop("sides").withColumn("__y", F.explode(F.sequence(number(F.col("low_y")), number(F.col("high_y")))))
+    boxes = boxes.withColumn("__x", F.explode(F.sequence(number(F.col("low_x")), number(F.col("high_x")))))
+    placed = points.select(F.col(key), y.alias(at[0]), x.alias(at[1])).withColumn("__y", number(y)).withColumn("__x", number(x))
+    near = placed.join(boxes, ["__y", "__x"]).where(y.between(F.col("low_y"), F.col("high_y")) & x.between(F.col("low_x"), F.col("high_x"))).select(key, *at, polygon)
+
+    def crossed(s: Column) -> Column:
+        return ((s["y1"] > y) != (s["y2"] > y)) & (x < (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"])
+
+    return near.join(whole.select(polygon, "sides"), polygon).where(F.size(F.filter("sides", crossed)) % 2 == 1).select(key, polygon)
+
+
+def inside_or_nearest(points: DataFrame, edges: DataFrame, district: str, at: tuple[str, str] = ("lat", "lng"), key: str = "id", polygon: str = "polygon", cell: float = 0.05) -> DataFrame:
+    """(key, polygon, found): the smallest polygon name that holds a point, else the one of its ``district`` whose box centre
+    is nearest. ``edges`` has the district of each polygon as well; points of a district without polygons have no row."""
+    held = inside(points, edges, at, key, polygon, cell).groupBy(key).agg(F.min(polygon).alias(polygon)).withColumn("found", F.lit("inside"))
+    centres = shapes(edges, district, polygon=polygon).select(district, polygon, ((F.col("low_y") + F.col("high_y")) / 2).alias("cy"), ((F.col("low_x") + F.col("high_x")) / 2).alias("cx"))
+    far = F.pow(F.col("cx") - F.col(at[1]), 2) + F.pow(F.col("cy") - F.col(at[0]), 2)
+    lost = points.join(held.select(key), key, "left_anti").join(centres, district)
+    nearest = lost.groupBy(key).agg(F.min_by(polygon, F.struct(far, F.col(polygon))).alias(polygon)).withColumn("found", F.lit("nearest"))
+    return held.unionByName(nearest)

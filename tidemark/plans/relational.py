@@ -212,6 +212,23 @@ def point_in_polygon(spark, sf):
     return geo.inside(places(spark, sf).select("id", "lat", "lng"), edges)
 
 
+_DISTRICTS = {1: 0, 2: 1, 3: 1}
+_MORE_EDGES = [(_DISTRICTS[k], k, *r) for k, *r in [*_EDGES, (3, 37.0, 126.5, 37.0, 126.6), (3, 37.0, 126.6, 37.05, 126.55), (3, 37.05, 126.55, 37.0, 126.5)]]
+
+
+@query(
+    "polygon_or_nearest",
+    f"""WITH {PLACES}, e(district, polygon, y1, x1, y2, x2) AS (VALUES {", ".join(f"({d}, {k}, {', '.join(f'{v}::DOUBLE' for v in r)})" for d, k, *r in _MORE_EDGES)}),
+    held AS (SELECT id, min(polygon) AS polygon FROM (SELECT id, polygon FROM places JOIN e ON (y1 > lat) <> (y2 > lat) AND lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1) GROUP BY 1),
+    c AS (SELECT district, polygon, (min(least(y1, y2)) + max(greatest(y1, y2))) / 2 AS cy, (min(least(x1, x2)) + max(greatest(x1, x2))) / 2 AS cx FROM e GROUP BY 1, 2),
+    n AS (SELECT id, polygon, row_number() OVER (PARTITION BY id ORDER BY power(cx - lng, 2) + power(cy - lat, 2), polygon) AS rn FROM places JOIN c ON district = id % 2 WHERE id NOT IN (SELECT id FROM held))
+    SELECT id, polygon, 'inside' AS found FROM held UNION ALL SELECT id, polygon, 'nearest' FROM n WHERE rn = 1""",
+)
+def polygon_or_nearest(spark, sf):
+    edges = spark.createDataFrame(_MORE_EDGES, "district int, polygon int, y1 double, x1 double, y2 double, x2 double")
+    return geo.inside_or_nearest(places(spark, sf).select("id", "lat", "lng", (F.col("id") % 2).cast("int").alias("district")), edges, "district")
+
+
 @query(
     "latest_as_of",
     """SELECT o_custkey AS id, o_totalprice AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderdate <= TIMESTAMP '1999-06-30') WHERE rn = 1""",
