@@ -197,7 +197,7 @@ def test_multipolygons_holes_and_other_shapes(spark, tmp_path):
     edges = files.polygon_edges(spark, f"{tmp_path}/m.json", "name", "gu")
     points = spark.createDataFrame([(1, 0.5, 0.5, "g"), (2, 5.5, 5.5, "g"), (3, 3.0, 3.0, "g"), (4, 2.2, 2.2, "g"), (5, 9.0, 9.0, "g"), (6, 9.0, 9.0, "h")], "id int, lat double, lng double, gu string")
     assert rows(geo.inside(points, edges, cell=0.3), "id", "polygon") == [(1, "two"), (2, "two"), (4, "holed")]
-    assert rows(geo.inside_or_nearest(points, edges, "gu"), "id", "polygon", "found") == [(1, "two", "inside"), (2, "two", "inside"), (3, "two", "nearest"), (4, "holed", "inside"), (5, "two", "nearest")]
+    assert rows(geo.inside_or_nearest(points, edges, "gu"), "id", "polygon", "found") == [(1, "two", "inside"), (2, "two", "inside"), (3, "holed", "nearest"), (4, "holed", "inside"), (5, "two", "nearest")]
     (tmp_path / "l.json").write_text(json.dumps({"features": [shape("line", "LineString", [[0, 0], [1, 1]])]}))
     with pytest.raises(Exception, match="not a polygon: LineString"):
         files.polygon_edges(spark, f"{tmp_path}/l.json", "name").count()
