@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import vectors
+from tidemark.functions import geo, vectors
 
 #: Weights of the fields in the lexical score, grade bonus, fusion constant and similarity floor.
 FIELD_WEIGHTS = {"name": 4.0, "identity": 2.5, "signature": 2.0, "note": 2.0, "vibe": 2.0, "uses": 1.5, "beans": 1.5, "area": 1.0}
@@ -98,3 +98,34 @@ def name_boost(df: DataFrame, query: str) -> Column:
     key = F.lower(F.regexp_replace("name", r"[^\p{L}\p{N}]", ""))
     q = "".join(c for c in query.lower() if c.isalnum())
     return F.when(key == q, 9999).when(key.startswith(q), 500).when(key.contains(q), 100).otherwise(0)
+
+
+def collapsed(found: DataFrame, name: str, order: list[str], metres: float, at: tuple[str, str] = ("lat", "lng")) -> DataFrame:
+    """``found`` without places near one of the same name that comes before them in ``order`` and stays itself.
+
+    A name's matches are gone through in order as one array: this is for the matches of a search, not for a whole table.
+    """
+    columns = [*order, *[c for c in found.columns if c not in (*order, name)]]
+    sorted_ = F.sort_array(F.collect_list(F.struct(*columns))).alias("__rows")
+    groups = found.groupBy(name).agg(sorted_)
+    row = groups.schema["__rows"].dataType.simpleString()
+
+    def step(kept: Column, x: Column) -> Column:
+        near = F.exists(kept, lambda k: geo.planar_m2(k[at[0]], k[at[1]], x[at[0]], x[at[1]]) < metres * metres)
+        return F.when(near, kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.aggregate("__rows", F.array().cast(row), step)
+    return groups.select(name, F.explode(kept).alias("r")).select(name, "r.*")
+
+
+def filled(stages: list[tuple[DataFrame, list[Column]]], key: str, cap: int) -> DataFrame:
+    """(key, stage, rank) of at most ``cap`` rows: the first stage's in its order, then what later ones add.
+
+    Each stage gives its first ``cap`` rows at most, so the rest of the work is small however much a stage matches.
+    """
+    parts = []
+    for i, (df, order) in enumerate(stages):
+        head = df.orderBy(*order).limit(cap)
+        parts.append(head.select(key, F.lit(i).alias("stage"), F.row_number().over(Window.orderBy(*order)).alias("rank")))
+    first = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.min(F.struct("stage", "rank")).alias("k"))
+    return first.orderBy("k", key).limit(cap).select(key, "k.*")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,17 @@ ORIGINS = "origin string, point_diff int, tariff double, note string"
 FLAVOURS = "origin_key string, flavors string"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path for files of a job: under ``spark.checkpoint.dir``, which driver and executors share; without it, where
+    everything runs in one JVM, in a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A parquet table; only the named columns are read."""
     df = spark.read.parquet(path)
@@ -61,6 +76,11 @@ def write_sorted_csv(df: DataFrame, path: str, order: str) -> None:
     df.coalesce(1).sortWithinPartitions(order).write.mode("overwrite").csv(path, header=True)
 
 
+def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
+    """Delimited text with a header in each of its files; quotes inside values are doubled, empty text and null stay apart."""
+    df.write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', emptyValue='""', nullValue="")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

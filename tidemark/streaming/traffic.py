@@ -41,10 +41,16 @@ def first_touch(visits: DataFrame) -> DataFrame:
     return visits.groupBy("anon_id").agg(F.min_by("src", "ts").alias("first_src"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("visits"))
 
 
-def limited(visits: DataFrame, most: int = 5, seconds: int = 60) -> DataFrame:
-    """(anon_id, ts, allowed): a fixed-window rate limiter with custom state; a window opens with its first event."""
+def limited(visits: DataFrame, most: int = 5, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
+    """(anon_id, ts, allowed): a fixed-window rate limiter with custom state; a window opens with its first event.
+
+    A visitor's state goes once the watermark has passed the end of its window.
+    """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         opened, n = state.get if state.exists else (None, 0)
         for batch in batches:
             batch, allowed = batch.sort_values("ts"), []
@@ -55,6 +61,8 @@ def limited(visits: DataFrame, most: int = 5, seconds: int = 60) -> DataFrame:
                 n += 1
                 allowed.append(n <= most)
             yield pd.DataFrame({"anon_id": key[0], "ts": batch["ts"].to_numpy(), "allowed": allowed})
-        state.update((opened, n))
+        if opened is not None:
+            state.update((opened, n))
+            state.setTimeoutTimestamp(max(int((opened + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
 
-    return visits.groupBy("anon_id").applyInPandasWithState(step, "anon_id long, ts timestamp, allowed boolean", "opened double, n long", "append", GroupStateTimeout.NoTimeout)
+    return visits.withWatermark("ts", late).groupBy("anon_id").applyInPandasWithState(step, "anon_id long, ts timestamp, allowed boolean", "opened double, n long", "append", GroupStateTimeout.EventTimeTimeout)
