@@ -70,11 +70,13 @@ def ingest_matches(old: DataFrame, new: DataFrame, cell: float = 0.0005, least:
 def rivals_in_text(texts: DataFrame, names: DataFrame, least: int = 4, most_places: int = 8) -> DataFrame:
     """(id, rival): other places whose core name occurs in a text; names of chains with over ``most_places`` places do not count.
 
-    The text is cut into pieces as long as each name of the dictionary, whose lengths are few; pieces meet names by equality.
+    Each place of a text gives one row: as many characters as the longest name has. Its first ``least`` characters meet the
+    names that begin with them, and the rest is compared. So rows grow with the texts alone, not with the dictionary.
     """
     core = names.select(F.col("id").alias("rival"), normal_name(F.col("name")).alias("core")).where(F.char_length("core") >= least)
-    chains = core.groupBy("core").agg(F.count("*").alias("n"), F.min("rival").alias("rival")).where(F.col("n") <= most_places)
-    lengths = sorted(r["k"] for r in chains.select(F.char_length("core").alias("k")).distinct().collect())
-    flat = texts.select("id", "place", normal_name(F.col("text")).alias("t"))
-    pieces = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("t", F.lit(f"(?=(.{{{k}}}))"), F.lit(1)) for k in lengths]))) if lengths else F.array().cast("array<string>")
-    return flat.select("id", "place", F.explode(pieces).alias("core")).join(chains.select("core", "rival"), "core").where("rival <> place").select("id", "rival")
+    chains = core.groupBy("core").agg(F.count("*").alias("n"), F.min("rival").alias("rival")).where(F.col("n") <= most_places).withColumn("probe", F.left("core", F.lit(least)))
+    longest = chains.agg(F.max(F.char_length("core"))).first()[0] or least
+    flat = texts.select("id", "place", normal_name(F.col("text")).alias("t")).where(F.char_length("t") >= least)
+    starts = F.sequence(F.lit(1), F.char_length("t") - F.lit(least - 1))
+    pieces = flat.select("id", "place", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("t", i, F.lit(longest))))).alias("piece")).withColumn("probe", F.left("piece", F.lit(least)))
+    return pieces.join(chains, "probe").where(F.col("piece").startswith(F.col("core")) & (F.col("rival") != F.col("place"))).select("id", "rival").distinct()
