@@ -113,3 +113,44 @@ def test_query_equals_brute_force(spark):
     want = plain_components(fps)
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op3_simhash(spark, SF).collect()}
     assert got == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
+
+
+def test_large_keys_are_split_and_lose_no_link():
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fps = [int(base[rng.integers(6)]) for _ in range(900)]
+    for i, x in enumerate(fps):
+        for bit in rng.choice(40, rng.integers(0, 9), replace=False):
+            x ^= 1 << int(bit)
+        fps[i] = x
+    fps = np.unique(np.array(fps, dtype=np.uint64))
+
+    def groups(pairs):
+        root = list(range(len(fps)))
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(len(fps))]
+
+    whole, split = simhash.forest(fps, block=10_000), simhash.forest(fps, block=16)
+    assert all(int(fps[a] ^ fps[b]).bit_count() <= simhash.MAX_BITS for a, b in split)
+    assert groups(split) == groups(whole) and len(set(groups(whole))) > 6
+
+
+def test_a_run_over_many_batches_is_one_run():
+    import pyarrow as pa
+
+    k = np.array([1, 1, 2, 2, 2, 2, 2, 2, 3, 3], dtype=np.int64)
+    f = np.arange(10, dtype=np.int64)
+    want = None
+    for size in (10, 1, 3):
+        parts = [pa.RecordBatch.from_arrays([pa.array(k[i : i + size]), pa.array(f[i : i + size])], names=["key", "fp"]) for i in range(0, 10, size)]
+        got = sorted((a, b) for batch in simhash._links(iter(parts)) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        want = want or got
+        assert got == want and len(got) == 7

@@ -32,6 +32,8 @@ SEED = 42
 MAX_BITS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _BLOCK = 1 << 14
+#: Fingerprints of one key that are compared with each other directly; more are split further.
+FOREST_ROWS = 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -136,8 +138,28 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out).view(np.int64), np.concatenate(rows)
 
 
-def forest(fps: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Index pairs of a spanning forest of the links among fingerprints, by breadth-first search over those not yet reached."""
+def forest(fps: np.ndarray, most: int = MAX_BITS, block: int = FOREST_ROWS) -> list[tuple[int, int]]:
+    """Index pairs of true links among distinct fingerprints that connect all that links connect.
+
+    Up to ``block`` fingerprints this is a spanning forest, by breadth-first search over those not yet reached. More of them
+    are split by the pigeonhole principle: the bits in which they vary are dealt to one part more than bits may differ, so
+    linked fingerprints agree in a part; each part's groups of equal values are searched on their own, again split if large.
+    """
+    if len(fps) > block:
+        varying = np.flatnonzero([bool(np.bitwise_or.reduce(fps ^ fps[0]) >> np.uint64(i) & np.uint64(1)) for i in range(64)])
+        if len(varying) <= most:
+            return [(0, i) for i in range(1, len(fps))]  # all of them are linked
+        found = set()
+        for part in np.array_split(varying, most + 1):
+            mask = np.uint64(sum(1 << int(i) for i in part))
+            order = np.argsort(fps & mask, kind="stable")
+            value = (fps & mask)[order]
+            edges = np.flatnonzero(np.r_[True, value[1:] != value[:-1], True])
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if y - x > 1:
+                    own = order[x:y]
+                    found.update((int(own[p]), int(own[q])) for p, q in forest(fps[own], most, block))
+        return sorted(found)
     left, out = np.arange(len(fps)), []
     while len(left):
         queue, left = [int(left[0])], left[1:]
@@ -154,7 +176,7 @@ def forest(fps: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, int]]:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning links of each run of equal keys in sorted (key, fp) batches; the last run of a batch waits for the next."""
-    rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []  # the pieces of a run that may go on, joined once it has ended
 
     def found(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch | None:
         if len(k) < 2:
@@ -174,16 +196,21 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
+    def ended(*more: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch | None:
+        pieces = [*waiting, *more]
+        waiting.clear()
+        return found(np.concatenate([k for k, _ in pieces]), np.concatenate([f for _, f in pieces])) if pieces else None
+
     for batch in batches:
-        k = np.concatenate([rest_k, batch.column(0).to_numpy(zero_copy_only=False)])
-        f = np.concatenate([rest_f, batch.column(1).to_numpy(zero_copy_only=False)])
+        k, f = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(k):
             continue
         cut = int(np.searchsorted(k, k[-1]))
-        if (got := found(k[:cut], f[:cut])) is not None:
-            yield got
-        rest_k, rest_f = k[cut:], f[cut:]
-    if (got := found(rest_k, rest_f)) is not None:
+        if cut or (waiting and waiting[-1][0][-1] != k[0]):
+            if (got := ended((k[:cut], f[:cut]))) is not None:
+                yield got
+        waiting.append((k[cut:], f[cut:]))
+    if (got := ended()) is not None:
         yield got
 
 
