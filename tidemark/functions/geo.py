@@ -58,28 +58,31 @@ def shapes(edges: DataFrame, *columns: str, polygon: str = "polygon") -> DataFra
 def inside(points: DataFrame, edges: DataFrame, at: tuple[str, str] = ("lat", "lng"), key: str = "id", polygon: str = "polygon", cell: float = 0.05) -> DataFrame:
     """(key, polygon): the polygons that hold each point, by the parity of sides crossed to the east.
 
-    Points and the boxes of polygons meet on grid cells of ``cell`` degrees, about the size of a polygon; only polygons whose
+    A column ``part`` of the edges tells the parts of a polygon apart, each with a box of its own. Points and boxes meet on grid cells of ``cell`` degrees, about the size of a polygon; only polygons whose
     box holds a point are tested against their sides, which travel as one array for each polygon.
     """
     y, x = F.col(at[0]), F.col(at[1])
     number = lambda c: F.floor(c / F.lit(cell)).cast("long")
-    whole = shapes(edges, polygon=polygon)
+    by = [polygon, *(c for c in ("part",) if c in edges.columns)]
+    whole = shapes(edges, *by[1:], polygon=polygon)
     boxes = whole.drop("sides").withColumn("__y", F.explode(F.sequence(number(F.col("low_y")), number(F.col("high_y")))))
     boxes = boxes.withColumn("__x", F.explode(F.sequence(number(F.col("low_x")), number(F.col("high_x")))))
     placed = points.select(F.col(key), y.alias(at[0]), x.alias(at[1])).withColumn("__y", number(y)).withColumn("__x", number(x))
-    near = placed.join(boxes, ["__y", "__x"]).where(y.between(F.col("low_y"), F.col("high_y")) & x.between(F.col("low_x"), F.col("high_x"))).select(key, *at, polygon)
+    near = placed.join(boxes, ["__y", "__x"]).where(y.between(F.col("low_y"), F.col("high_y")) & x.between(F.col("low_x"), F.col("high_x"))).select(key, *at, *by)
 
     def crossed(s: Column) -> Column:
         return ((s["y1"] > y) != (s["y2"] > y)) & (x < (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"])
 
-    return near.join(whole.select(polygon, "sides"), polygon).where(F.size(F.filter("sides", crossed)) % 2 == 1).select(key, polygon)
+    held = near.join(whole.select(*by, "sides"), by).where(F.size(F.filter("sides", crossed)) % 2 == 1).select(key, polygon)
+    return held.distinct() if len(by) > 1 else held
 
 
 def inside_or_nearest(points: DataFrame, edges: DataFrame, district: str, at: tuple[str, str] = ("lat", "lng"), key: str = "id", polygon: str = "polygon", cell: float = 0.05) -> DataFrame:
-    """(key, polygon, found): the smallest polygon name that holds a point, else the one of its ``district`` whose box centre
-    is nearest. ``edges`` has the district of each polygon as well; points of a district without polygons have no row."""
+    """(key, polygon, found): the smallest polygon name that holds a point, else the one of its ``district`` with a box
+    (of a part, where edges have parts) whose centre is nearest. ``edges`` has the district of each polygon as well; points of a district without polygons have no row."""
     held = inside(points, edges, at, key, polygon, cell).groupBy(key).agg(F.min(polygon).alias(polygon)).withColumn("found", F.lit("inside"))
-    centres = shapes(edges, district, polygon=polygon).select(district, polygon, ((F.col("low_y") + F.col("high_y")) / 2).alias("cy"), ((F.col("low_x") + F.col("high_x")) / 2).alias("cx"))
+    parts = [c for c in ("part",) if c in edges.columns]
+    centres = shapes(edges, district, *parts, polygon=polygon).select(district, polygon, ((F.col("low_y") + F.col("high_y")) / 2).alias("cy"), ((F.col("low_x") + F.col("high_x")) / 2).alias("cx"))
     far = F.pow(F.col("cx") - F.col(at[1]), 2) + F.pow(F.col("cy") - F.col(at[0]), 2)
     lost = points.join(held.select(key), key, "left_anti").join(centres, district)
     nearest = lost.groupBy(key).agg(F.min_by(polygon, F.struct(far, F.col(polygon))).alias(polygon)).withColumn("found", F.lit("nearest"))

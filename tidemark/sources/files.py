@@ -56,7 +56,7 @@ RINGS = "array<array<array<double>>>"
 
 
 def polygon_edges(spark: SparkSession, path: str, name: str, *more: str) -> DataFrame:
-    """(polygon, more..., y1, x1, y2, x2) of the polygons of a GeoJSON file; ``name`` is the property that names them, ``more`` are others to keep.
+    """(polygon, part, more..., y1, x1, y2, x2) of the polygons of a GeoJSON file; ``name`` is the property that names them, ``more`` are others to keep.
 
     All rings of a Polygon or MultiPolygon count, so that the parity of crossed sides leaves holes out. Features without
     geometry have no row; a geometry of another type is an error.
@@ -66,9 +66,9 @@ def polygon_edges(spark: SparkSession, path: str, name: str, *more: str) -> Data
     parts = F.when(kind == "Polygon", F.array(F.from_json(text, RINGS))).when(kind == "MultiPolygon", F.from_json(text, f"array<{RINGS}>"))
     parts = parts.otherwise(F.raise_error(F.concat(F.lit("not a polygon: "), F.coalesce(kind, F.lit("no type")))).cast(f"array<{RINGS}>"))
     names = [F.col("f.properties")[name].alias("polygon"), *[F.col("f.properties")[m].alias(m) for m in more]]
-    rings = doc.select(*names, F.explode(F.flatten(parts)).alias("r"))
+    rings = doc.select(*names, F.posexplode(parts).alias("part", "p")).select("polygon", "part", *more, F.explode("p").alias("r"))
     sides = F.transform(F.sequence(F.lit(0), F.size("r") - 2), lambda i: F.struct(F.get("r", i)[1].alias("y1"), F.get("r", i)[0].alias("x1"), F.get("r", i + 1)[1].alias("y2"), F.get("r", i + 1)[0].alias("x2")))
-    return rings.where("size(r) > 1").select("polygon", *more, F.explode(sides).alias("s")).select("polygon", *more, "s.*")
+    return rings.where("size(r) > 1").select("polygon", "part", *more, F.explode(sides).alias("s")).select("polygon", "part", *more, "s.*")
 
 
 def write_sorted_csv(df: DataFrame, path: str, order: str) -> None:
