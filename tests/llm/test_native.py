@@ -68,8 +68,8 @@ def test_order_follows_rejections_per_cost_and_never_changes_verdicts(spark):
     rules = {k: quality_rules.Rule(k, F.lit(True)) for k in "abc"}
     m = [quality_rules.Measured(rules["a"], 1.0, 0.5), quality_rules.Measured(rules["b"], 0.1, 0.2), quality_rules.Measured(rules["c"], 0.2, 0.0)]
     assert [x.rule.name for x in sorted(m, key=lambda x: -x.gain)] == ["b", "a", "c"]
-    df = spark.createDataFrame([("a!! b",), ("fine words here",)], "text string")
-    own = quality_rules.text_rules(F.col("text"))
+    df = quality_rules.metrics_of(spark.createDataFrame([(1, "a!! b"), (2, "fine words here")], "doc_id long, text string"))
+    own = quality_rules.text_rules()
     for order in (own, own[::-1]):
         got = [r[0] for r in df.orderBy("text").select(quality_rules.cascade(order).isNull()).collect()]
         assert got == [False, True]

@@ -1,6 +1,6 @@
 """Rule-based quality filter as a short-circuit cascade, with DataFrame functions only.
 
-Every rule is a Boolean expression over the text. Its cost and its rejection rate are measured on a bounded sample; the
+Every rule is a Boolean expression over a text and its metrics. Its cost and its rejection rate are measured on a bounded sample; the
 rules then run in the order of rejections per cost, each one only on rows that no earlier rule rejected.
 """
 
@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BLANK_CLASS, bound, words
+from tidemark.llm.common import BLANK_CLASS, bound, discard, staged, words
 
-#: Rows of the sample on which costs and selectivities are measured.
+#: Rows, about, of the sample on which costs and selectivities are measured.
 SAMPLE_ROWS = 300
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -61,16 +61,19 @@ def measure(sample: DataFrame, rules: list[Rule]) -> list[Measured]:
     return out
 
 
-def ordered(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
-    """Rules in the order in which they should run. At most ``sample_rows`` texts reach the driver; the order never changes a verdict."""
-    rows = docs.select(text_col).take(sample_rows)
-    if not rows:
-        return [Measured(r, 1.0, 0.0) for r in rules]
-    sample = docs.sparkSession.createDataFrame(rows, docs.select(text_col).schema).persist()
-    try:
-        return sorted(measure(sample, rules), key=lambda m: (-m.gain, m.rule.name))
-    finally:
-        sample.unpersist()
+def ordered(docs: DataFrame, rules: Callable[[], list[Rule]], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
+    """The rules of ``metrics_of`` rows in the order in which they should run; the order never changes a verdict.
+
+    About ``sample_rows`` rows are drawn by a hash of their id and written with their metrics; the rules are timed on that
+    table, so no text reaches the driver.
+    """
+    n = docs.count()
+    rate = int(min(1.0, sample_rows / max(1, n)) * 1_000_000)
+    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < rate)
+    sample = staged(metrics_of(drawn, id_col, text_col), "rules-sample")
+    measured = sorted(measure(sample, rules()), key=lambda m: (-m.gain, m.rule.name))
+    discard(sample)
+    return measured
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -83,19 +86,15 @@ def cascade(rules: list[Rule]) -> Column:
     return out
 
 
-def text_rules(text: Column) -> list[Rule]:
-    """Default rules over a text, with whole-number comparisons. Each can be evaluated alone."""
-    n_words = F.size(words(text))
-    letters = F.regexp_count(text, F.lit("[A-Za-z]"))
-    capitals = F.regexp_count(text, F.lit("[A-Z]"))
-    lines = F.split(text, "\n")
-    filled = F.filter(lines, lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
+def text_rules() -> list[Rule]:
+    """Default rules over ``metrics_of`` rows, with whole-number comparisons: what the metrics hold is not counted again."""
+    text, n_words = F.col("text"), F.col("n_words")
     return [
-        Rule("symbols", 10 * F.regexp_count(text, F.lit(SYMBOLS)) > n_words),
-        Rule("shouting", 10 * capitals > 4 * letters),
+        Rule("symbols", 10 * F.col("n_symbols") > n_words),
+        Rule("shouting", 10 * F.regexp_count(text, F.lit("[A-Z]")) > 4 * F.regexp_count(text, F.lit("[A-Za-z]"))),
         Rule("exclamations", 10 * F.regexp_count(text, F.lit("!")) > 2 * n_words),
-        Rule("word_length", F.length(F.array_join(words(text), "")) > 20 * n_words),
-        Rule("repeated_lines", 10 * (F.size(filled) - F.size(F.array_distinct(filled))) > 3 * F.size(filled)),
+        Rule("word_length", F.col("word_chars") > 20 * n_words),
+        Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
     ]
 
 
@@ -119,23 +118,18 @@ def _repeated_words(w: Column) -> Column:
     return covered
 
 
-def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of every whole text; null text counts as empty.
+def metrics_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_lines (lines with a word) of every whole
+    text; null text counts as empty.
 
     Time is n log n and memory linear in a text, also where a later filter makes Spark compute a metric twice.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
     counts = bound(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated_words(w).alias("n_repeat_words")))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", counts.alias("c")).select(
-        "id",
-        "text",
-        "c.n_words",
-        "c.word_chars",
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        bound(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-        "c.n_repeat_words",
-    )
+    shared = bound(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    cells = F.struct(counts.alias("c"), shared.alias("l"), F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text")).select("id", "text", cells.alias("m")).select("id", "text", "m.c.n_words", "m.c.word_chars", "m.n_symbols", "m.l.n_dup_lines", "m.c.n_repeat_words", "m.l.n_lines")
 
 
 def base_failed() -> Column:
@@ -146,14 +140,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """id, base metrics, base_failed, rejected_by and kept of every document.
 
     ``rejected_by`` is ``base`` or the first rule of the measured order that fired; which rule is named may depend on the
-    order, ``kept`` does not. Null and blank texts have no words and fail the base. Repeated rows are judged each.
+    order, ``kept`` does not. The base comes first: its counts are part of the result, so it costs nothing more. Null and
+    blank texts have no words and fail the base. Repeated rows are judged each.
     """
-    order = [m.rule for m in ordered(docs, text_rules(F.col(text_col)), text_col, sample_rows)]
-    names = {r.name: r for r in text_rules(F.col("text"))}
-    rules = [Rule("base", base_failed()), *[names[r.name] for r in order]]
-    return base_metrics(docs, id_col, text_col).select(
-        "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), cascade(rules).alias("rejected_by")
-    ).withColumn("kept", F.col("rejected_by").isNull())
+    rules = [Rule("base", base_failed()), *[m.rule for m in ordered(docs, text_rules, id_col, text_col, sample_rows)]]
+    columns = [F.col(c) for c in ("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return metrics_of(docs, id_col, text_col).select(*columns, base_failed().alias("base_failed"), cascade(rules).alias("rejected_by")).withColumn("kept", F.col("rejected_by").isNull())
 
 
-__all__ = ["BLANK_CLASS", "Measured", "Rule", "base_failed", "base_metrics", "cascade", "judge", "measure", "ordered", "text_rules"]
+__all__ = ["BLANK_CLASS", "Measured", "Rule", "base_failed", "cascade", "judge", "measure", "metrics_of", "ordered", "text_rules"]
