@@ -131,11 +131,6 @@ def filled(stages: list[tuple[DataFrame, list[Column]]], key: str, cap: int) ->
     return first.orderBy("k", key).limit(cap).select(key, "k.*")
 
 
-def occurrences(text: Column, term: str) -> Column:
-    """How often a term occurs in a text, without overlaps."""
-    return ((F.char_length(text) - F.char_length(F.replace(text, F.lit(term), F.lit("")))) / len(term)).cast("int")
-
-
 def with_bonuses(terms: Column, concept: Column, facets: list[Column], concept_points: int = 6, facet_points: int = 14, most: int = 28) -> Column:
     """A lexical score with its bonuses: once for the concept of a search, and for each of its facets, up to ``most``."""
     met = sum((f.cast("int") for f in facets), F.lit(0))
