@@ -40,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Folders written by ``staged`` that nothing has removed yet.
 _written: list[str] = []
+_at_exit: list = []
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -50,6 +51,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _at_exit:  # registered here, so that it comes before the end of the JVM
+        _at_exit.append(atexit.register(_clear_at_exit))
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -75,7 +78,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-@atexit.register
 def _clear_at_exit() -> None:
     spark = SparkSession._instantiatedSession
     if spark is not None and spark.sparkContext._jsc is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import discard, staged
 
 MAX_ROUNDS = 60
 
@@ -22,11 +22,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     state = None
     for k in range(1, max_rounds + 1):
         both = now.select(F.col("u").alias("n"), F.col("v").alias("m")).unionByName(now.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        least = staged(both.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("r")), f"cc-large-{k}")
-        large = staged(both.where(F.col("m") > F.col("n")).join(least, "n").select(F.col("m").alias("u"), F.col("r").alias("v")).distinct(), f"cc-hung-{k}")
+        before, smallest = now, staged(both.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("r")), f"cc-large-{k}")
+        large = staged(both.where(F.col("m") > F.col("n")).join(smallest, "n").select(F.col("m").alias("u"), F.col("r").alias("v")).distinct(), f"cc-hung-{k}")
         least = staged(large.groupBy("u").agg(F.min("v").alias("r")), f"cc-small-{k}")
         moved = large.join(least, "u").where(F.col("v") != F.col("r")).select(F.col("v").alias("u"), F.col("r").alias("v"))
         now = staged(moved.unionByName(least.select("u", F.col("r").alias("v"))).distinct(), f"cc-{k}")
+        for table in (before, smallest, large, least):
+            discard(table)
         got = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if (got["n"], got["s"]) == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
