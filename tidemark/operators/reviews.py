@@ -177,9 +177,12 @@ def campaign_clusters(df: DataFrame, owner: str, least: int = 5, rate: float = 0
     best = best.where((F.col("cluster_n") >= least) & (F.col("cluster_rate") >= rate))
     members = df.select(owner, "day", "text").join(best.select(owner, "cluster_day"), owner).where(F.abs(F.datediff("day", "cluster_day")) <= 1)
     words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}\s]", " "), r"\s+"), lambda w: w != "")
-    # word pairs as 64-bit hashes; the words are bound in a lambda, so that no rewrite of the plan computes them anew for each place
-    bound = F.transform(F.array(words), lambda ws: F.array_distinct(F.transform(F.when(F.size(ws) > 1, F.sequence(F.lit(1), F.size(ws) - 1)), lambda i: F.xxhash64(F.get(ws, i - 1), F.get(ws, i)))))
-    grams = members.select(owner, F.get(bound, F.lit(0)).alias("g")).select(owner, F.size("g").alias("size"), F.explode("g").alias("g"))
+    # word pairs as 64-bit hashes. Words and pairs are bound in lambdas, and the generator is an outer one, for which no filter
+    # on its input is inferred: so no rewrite of the plan computes them a second time.
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    pairs = lambda ws: F.array_distinct(F.transform(F.when(F.size(ws) > 1, F.sequence(F.lit(1), F.size(ws) - 1)), lambda i: F.xxhash64(F.get(ws, i - 1), F.get(ws, i))))
+    sized = once(once(words, pairs), lambda g: F.transform(g, lambda x: F.struct(F.size(g).alias("size"), x.alias("g"))))
+    grams = members.select(owner, F.explode_outer(sized).alias("p")).where("p IS NOT NULL").select(owner, "p.size", "p.g")
     sizes = grams.groupBy(owner, "g", "size").agg(F.count("*").alias("c"))
     larger = F.coalesce(F.sum("c").over(Window.partitionBy(owner, "g").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     added = (F.col("c") * (F.col("c") - 1) / 2 + F.col("c") * larger) / F.col("size")
