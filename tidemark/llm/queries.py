@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, topk, toxicity
+from tidemark.llm import chat_format, collocations, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, spelling, substrings, topk, toxicity
 from tidemark.llm.common import split_remainder, table
 
 #: The vocabulary of the packing query.
@@ -183,6 +183,88 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT
 FROM marked GROUP BY r, doc_id
 """
 
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: CRC-32 of a list of bytes: one step of the reflected polynomial for each bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b:
+    list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP11_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT id, w, count(*) AS c FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]{{{spelling.MIN_LETTERS},}}')), '{spelling.UPPER}', '{spelling.LOWER}') AS w
+    FROM documents) GROUP BY ALL
+),
+hashed AS (
+  SELECT w, c, {_CRC} AS h
+  FROM (SELECT w, c, list_transform(flatten(list_transform(string_split(id || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)), lambda x: x::BIGINT) AS bytes FROM runs)
+),
+cut AS (SELECT CASE WHEN h % {spelling.SLIP} = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, c FROM hashed),
+words AS (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= {spelling.MIN_LETTERS} GROUP BY word HAVING sum(c) >= {spelling.MIN_COUNT}),
+keys AS (
+  SELECT DISTINCT word, n, k FROM (
+    SELECT word, n, word AS k FROM words
+    UNION ALL SELECT word, n, substr(word, 1, i) || substr(word, i + 2) FROM (SELECT word, n, unnest(range(0, length(word)))::INT AS i FROM words))
+),
+near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM keys a JOIN keys b USING (k) 
+         WHERE a.word <> b.word AND (length(a.word) <> length(b.word) OR len(list_filter(list_zip(string_split(a.word, ''), string_split(b.word, '')), lambda z: z[1] <> z[2])) = 1)),
+best AS (SELECT word, any_value(n) AS n, count(*) AS n_near, max(other_n) AS top, min(CASE WHEN rk = 1 THEN other END) AS other
+         FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS rk FROM near) GROUP BY word),
+forms AS (SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN top >= {spelling.TIMES} * words.n THEN other END AS form, CASE WHEN top >= {spelling.TIMES} * words.n THEN top END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, form AS root, 1 AS step FROM forms WHERE form IS NOT NULL UNION ALL SELECT walk.word, forms.form, step + 1 FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, max_by(root, step) AS root FROM walk GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n::BIGINT AS form_n FROM forms LEFT JOIN ends USING (word)
+"""
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+win AS (SELECT r, i, array_to_string(list_slice(ws, i, i + {substrings.WINDOW - 1}), ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - {substrings.WINDOW - 2})) AS i FROM d WHERE len(ws) >= {substrings.WINDOW})),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT r, i + k AS p FROM twice, range({substrings.WINDOW}) AS t(k)),
+w AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (SELECT w.r, count(*) AS n, string_agg(word, ' ' ORDER BY w.p) AS t FROM w ANTI JOIN gone ON w.r = gone.r AND w.p = gone.p GROUP BY w.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def _op13_sql() -> str:
+    most, joined = collocations.MAX_WORDS, lambda a, b: f"array_to_string(list_slice(ws, {a}, {b}), ' ')"
+    grams = " UNION ALL ".join(f"SELECT lang, {n} AS words, unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: {joined('i', f'i + {n - 1}')})) AS phrase FROM pieces WHERE len(ws) >= {n}" for n in range(1, most + 1))
+    inner = " UNION ALL ".join(f"SELECT lang, {joined(a, a + n - 1)} AS phrase, a FROM cand WHERE words > {n} AND {a + n - 1} <= words" for n in range(2, most) for a in range(1, most - n + 2))
+    cuts = " UNION ALL ".join(f"SELECT lang, phrase, a, {k} AS k, {joined(1, k)} AS x, {joined(k + 1, 'words')} AS y FROM left_over WHERE words > {k}" for k in range(1, most))
+    return rf"""
+WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(unnest(string_split_regex(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '[.,;:!?\x0A-\x0D]')), '[\x20\x09]'), lambda x: x <> '') AS ws
+  FROM (SELECT coalesce(lang, '{collocations.NO_LANG}') AS lang, text FROM documents)
+),
+counts AS (SELECT lang, words, phrase, count(*) AS f FROM ({grams}) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE words = 1 GROUP BY lang),
+cand AS (SELECT lang, words, phrase, string_split(phrase, ' ') AS ws, f AS a FROM counts WHERE words > 1 AND f >= {collocations.MIN_COUNT}),
+longer AS (SELECT lang, phrase, max(a) AS most FROM ({inner}) GROUP BY ALL),
+left_over AS (SELECT cand.* FROM cand LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most::HUGEINT < {collocations.COVERED} * a::HUGEINT),
+scored AS (
+  SELECT lang, c.phrase, a, k, p.f AS l, q.f AS r, (({collocations.SCALE}::HUGEINT * a) // (p.f + q.f)::HUGEINT)::BIGINT AS score
+  FROM ({cuts}) c JOIN counts p USING (lang) JOIN counts q USING (lang) WHERE p.phrase = c.x AND q.phrase = c.y
+),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored) WHERE nth = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -194,5 +276,8 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op6_source_mixing": _op6_sql(), "op7_exact_topk": OP7_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op6_source_mixing": _op6_sql(), "op7_exact_topk": OP7_SQL, "op10_line_dedup": OP10_SQL, "op11_spelling_variants": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_phrase_collocations": _op13_sql()}
