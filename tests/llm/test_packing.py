@@ -1,5 +1,6 @@
 """Packing against the tokenizer itself and the properties of a packing."""
 
+import json
 import zlib
 from collections import defaultdict
 
@@ -8,6 +9,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing, queries
@@ -129,6 +131,32 @@ def test_odd_rows(spark, tokenizer):
     assert packing.pack_documents(spark.createDataFrame([], DOCS), PATH).count() == 0
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_equal_and_null_ids_are_dealt_evenly(spark, hot):
+    schema = "id long, piece int, start long, length long, ids_crc32 long"
+    rows = [(hot if i % 2 or hot is None else i, 0, 0, 50, 0) for i in range(8000)]
+    got = packing.pack(spark.createDataFrame(rows, schema), 100, part_bins=100)
+    parts = [r["n"] for r in got.withColumn("part", F.shiftright("sequence_id", 24)).groupBy("part").agg(F.count("*").alias("n")).collect()]
+    assert sum(parts) == 8000 and len(parts) >= 30 and max(parts) <= 2 * sum(parts) / len(parts)
+
+
+def test_large_ids_beside_null_ids(spark):
+    ids = [None, 1 << 53, (1 << 53) + 1, None, -(1 << 62) - 1]
+    rows = [(i, 0, 0, 10 + k, k) for k, i in enumerate(ids)]
+    got = packing.pack(spark.createDataFrame(rows, "id long, piece int, start long, length long, ids_crc32 long"), 100).collect()
+    assert sorted(((r["id"], r["ids_crc32"]) for r in got), key=lambda x: x[1]) == [(i, k) for k, i in enumerate(ids)]
+
+
+def test_another_vocabulary_encodes_whole_texts(tokenizer):
+    layout = json.loads(open(PATH, encoding="utf-8").read())
+    layout["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    spec = json.dumps(layout)
+    assert packing._word_model(spec, Tokenizer.from_str(spec)) is None
+    assert packing._word_model(json.dumps(json.loads(open(PATH, encoding="utf-8").read())), tokenizer) is not None
+    text = "two words, and more"
+    assert np.frombuffer(packing.encoder(spec)(text), "<u4").tolist() == Tokenizer.from_str(spec).encode(text, add_special_tokens=False).ids
+
+
 def test_sequences_hold_the_tokens(spark, tokenizer):
     docs = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, "x " * 5000)], "doc_id long, text string")
     packed = packing.pack_documents(docs, PATH)

@@ -221,6 +221,18 @@ def test_chats_of_odd_rows(spark):
     assert cf.format_chats(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_large_whole_numbers_beside_nulls(spark):
+    big = 1 << 53
+    rows = [(big, big + 1, "user", "a"), (big, big + 2, "assistant", "b"), (big + 1, big + 1, "user", "c"), (big + 1, None, "user", "d"), (None, big + 3, "user", "e"), (-big - 1, 0, "assistant", "f")]
+    got = cf.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1))
+    assert sorted(((r["conv"], r["turn"]) for r in got.collect()), key=repr) == sorted(((c, t) for c, t, *_ in rows), key=repr)
+    own = defaultdict(list)
+    for c, t, role, text in rows:
+        own[c].append((t is not None, t, role, text))
+    want = {c: plain_render([cf.role_of(x[2]) for x in sorted(v)], [x[3] for x in sorted(v)]) for c, v in own.items()}
+    assert rendered(got) == want
+
+
 def test_query_renders_every_conversation(spark):
     rows = defaultdict(list)
     for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():

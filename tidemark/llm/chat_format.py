@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,45 +122,46 @@ CLOSE = "<|end|>\n"
 
 _CHUNK = "conv {id}, part int, chunk int, turns array<struct<turn:{turn},role:string,text:string>>, trans array<long>"
 _KEYS = ["conv", "part", "chunk"]
+#: Chunks, and turns of rendered chunks, that a task passes on at once.
+_AT_ONCE = 2000
 
 
-def _same(a, b) -> bool:  # noqa: ANN001
-    return a == b or (a is None and b is None)
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted turns (conv, turn, role, text, part) of a partition to chunks of one conversation each, in order.
 
-
-def _chunks(id_type: str, turn_type: str):
-    """Sorted turns of a partition to chunks of one conversation each, in order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[dict] = []
-        size, number, done = 0, 0, []
-
-        def close() -> None:
-            nonlocal held, size, number
-            if held:
-                trans = transfer([role_of(t["role"]) for t in held])
-                done.append({"conv": held[0]["conv"], "part": held[0]["part"], "chunk": number, "turns": [{k: t[k] for k in ("turn", "role", "text")} for t in held], "trans": trans.ravel().tolist()})
-                number += 1
-            held, size = [], 0
-
-        def out() -> pd.DataFrame:
-            frame = pd.DataFrame(done, columns=["conv", "part", "chunk", "turns", "trans"]).astype({"conv": "object"})
-            done.clear()
-            return frame
-
-        for batch in batches:
-            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-                if held and (not _same(held[0]["conv"], row["conv"]) or len(held) >= CHUNK_TURNS or size >= CHUNK_CHARS):
-                    close()
-                held.append(row)
-                size += len(row["text"] or "")
-                if len(done) >= 2000:
-                    yield out()
-        close()
-        if done:
-            yield out()
-
-    return run, _CHUNK.format(id=id_type, turn=turn_type)
+    Values stay Arrow's and Python's own, so whole numbers of any size pass beside nulls.
+    """
+    held: list[dict] = []
+    done: list[dict] = []
+    schema, size, number = None, 0, 0
+
+    def close() -> None:
+        nonlocal held, size, number
+        if held:
+            trans = transfer([role_of(t["role"]) for t in held])
+            done.append({"conv": held[0]["conv"], "part": held[0]["part"], "chunk": number, "turns": [{k: t[k] for k in ("turn", "role", "text")} for t in held], "trans": trans.ravel().tolist()})
+            number += 1
+        held, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        ready = pa.RecordBatch.from_pylist(done, schema=schema)
+        done.clear()
+        return ready
+
+    for batch in batches:
+        if schema is None:
+            own = pa.struct([pa.field(k, batch.schema.field(k).type) for k in ("turn", "role", "text")])
+            schema = pa.schema([("conv", batch.schema.field("conv").type), ("part", pa.int32()), ("chunk", pa.int32()), ("turns", pa.list_(own)), ("trans", pa.list_(pa.int64()))])
+        for row in batch.to_pylist():
+            if held and (held[0]["conv"] != row["conv"] or len(held) >= CHUNK_TURNS or size >= CHUNK_CHARS):
+                close()
+            held.append(row)
+            size += len(row["text"] or "")
+            if len(done) >= _AT_ONCE:
+                yield out()
+    close()
+    if done:
+        yield out()
 
 
 def _ends(summary: DataFrame, id_type: str) -> DataFrame:
@@ -208,8 +210,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     keys = [F.col("conv"), F.col("turn"), F.col("role"), F.xxhash64("text")]
     dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "text").withColumn("part", F.spark_partition_id())
-    run, schema = _chunks(id_type, turn_type)
-    chunks = staged(dealt.mapInPandas(run, schema), "chat-chunks")
+    chunks = staged(dealt.mapInArrow(_chunks, _CHUNK.format(id=id_type, turn=turn_type)), "chat-chunks")
     ends = staged(_ends(chunks.select(*_KEYS, "trans"), id_type), "chat-ends").select(*[F.col(k).alias(f"end_{k}") for k in _KEYS], "first", "last")
     last = staged(chunks.groupBy("conv").agg(F.max(F.struct("part", "chunk")).alias("tail")).select("conv", "tail.part", "tail.chunk"), "chat-tails").select(*[F.col(k).alias(f"tail_{k}") for k in _KEYS])
     placed = chunks.drop("trans").join(ends, F.col("conv").eqNullSafe(F.col("end_conv")) & (F.col("part") == F.col("end_part")) & (F.col("chunk") == F.col("end_chunk")), "left")
@@ -217,12 +218,20 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     placed = placed.select(*_KEYS, "turns", "first", "last", F.col("tail_part").isNotNull().alias("closes"))
     out = f"conv {id_type}, part int, chunk int, pos int, turn {turn_type}, role string, repaired_role string, action string, inserted int, segment string"
 
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = []
-            for conv, part, chunk, own, first, end, closes in batch.astype(object).where(batch.notna(), None).itertuples(index=False):
-                start = START if first is None else int(first)
-                fixed = repair([role_of(t["role"]) for t in own], start, None if end is None else int(end))
+            kinds = [batch.schema.field("conv").type, pa.int32(), pa.int32(), pa.int32(), batch.schema.field("turns").type.value_type.field("turn").type, pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+            names = ["conv", "part", "chunk", "pos", "turn", "role", "repaired_role", "action", "inserted", "segment"]
+            done: list[tuple] = []
+
+            def ready(done=done, kinds=kinds, names=names) -> pa.RecordBatch:
+                columns = zip(*done, strict=True) if done else [()] * len(names)
+                return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=names)
+
+            for row in batch.to_pylist():
+                own, first, end = row["turns"], row["first"], row["last"]
+                start = START if first is None else first
+                fixed = repair([role_of(t["role"]) for t in own], start, end)
                 state = start
                 for pos, (t, (role, action, inserted)) in enumerate(zip(own, fixed, strict=True)):
                     text = t["text"] or ""
@@ -231,10 +240,12 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                     else:
                         segment = (CLOSE if state != START else "") + "".join(header(r) + CLOSE for r in inserted) + header(role) + text
                     state = role
-                    if closes and pos == len(own) - 1:
+                    if row["closes"] and pos == len(own) - 1:
                         segment += CLOSE + "".join(header(r) + CLOSE for r in PATHS[role][ASSISTANT])
-                    done.append((conv, part, chunk, pos, t["turn"], t["role"], NAMES[role], action, len(inserted), segment))
-            frame = pd.DataFrame(done, columns=["conv", "part", "chunk", "pos", "turn", "role", "repaired_role", "action", "inserted", "segment"])
-            yield frame.astype({"conv": object, "turn": object})
+                    done.append((row["conv"], row["part"], row["chunk"], pos, t["turn"], t["role"], NAMES[role], action, len(inserted), segment))
+                if len(done) >= _AT_ONCE:
+                    yield ready()
+                    done.clear()
+            yield ready()
 
-    return placed.mapInPandas(render, out)
+    return placed.mapInArrow(render, out)

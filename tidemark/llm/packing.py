@@ -1,12 +1,13 @@
 """Best-fit packing of tokenised documents into fixed-length sequences, with certified bin counts.
 
-Texts are tokenised where they lie; only (id, piece, length) moves. Pieces are dealt by hash to partitions of bounded
-size, packed there by best-fit decreasing, and each partition's bin count is certified by dual feasible functions.
+Texts are tokenised where they lie; only (id, piece, length) moves. Pieces are numbered as they are written and dealt by a
+hash of that number to partitions of bounded size, whatever their ids, packed there by best-fit decreasing, and each partition's bin count is certified by dual feasible functions.
 Partitions that miss their bound put their loose bins into a common pool, which is dealt anew and packed again.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -61,12 +62,52 @@ class Recent(dict):
         return value
 
 
+def _word_model(spec: str, tokenizer) -> Callable[[str], bytes] | None:  # noqa: ANN001
+    """Ids of a lower-cased Latin word from the vocabulary's merges alone, or None where the vocabulary is laid out otherwise.
+
+    It fits if texts are normalised by NFC, white space and lower case, split at white space and between letters, digits and
+    other characters, and merged byte-wise within a word. Then a word's ids do not depend on what stands around it. Probes
+    of every letter and mark that the short cut takes are compared with the tokenizer.
+    """
+    layout = json.loads(spec)
+    kinds = lambda part, name: [x.get("type") for x in (layout.get(part) or {}).get(name) or []]
+    split = ((layout.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    fits = (
+        kinds("normalizer", "normalizers") == ["NFC", "Replace", "Lowercase"]
+        and kinds("pre_tokenizer", "pretokenizers") == ["Split", "ByteLevel"]
+        and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        and layout.get("post_processor") is None
+        and layout["model"].get("type") == "BPE"
+        and not layout["model"].get("dropout")
+    )
+    if not fits:
+        return None
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    letters = [chr(c) for c in range(0x41, 0x100) if re.fullmatch("[A-Za-zÀ-ÖØ-öø-ÿ]", chr(c))]
+    marks = [chr(c) for c in range(0x21, 0x7F) if _SIMPLE.fullmatch("a" + chr(c)) and not chr(c).isalpha()]
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    written = {ord(c): "".join(x for x, _ in level.pre_tokenize_str(c)) for c in letters}
+    merge = tokenizer.model.tokenize
+
+    def ids(word: str) -> bytes:
+        return array("I", [t.id for t in merge(word.translate(written))]).tobytes()
+
+    whole = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    probes = ["".join(letters[i::k]) for k in (1, 7, 11) for i in range(k)]
+    if any(ids(w.lower()) != whole(w) for w in [*probes, *letters]):
+        return None
+    if any(ids("ab") + whole(m) + ids("cd") != whole(f"ab{m} cd") for m in [*marks, *(a + b for a in marks for b in ".,!)")]):
+        return None
+    return ids
+
+
 def encoder(spec: str) -> Callable[[str], bytes]:
     """Text to little-endian unsigned 32-bit ids, equal to the tokenizer's own ids without special tokens added.
 
-    The vocabulary splits at white space and never joins across it, so the ids of a text are those of its blank-separated
-    chunks in turn; recent chunks, and the lower-cased words in them, are looked up. Texts are cut only at blanks, to bound
-    memory.
+    Where the vocabulary splits at white space and never joins across it (``_word_model`` checks that), the ids of a text are
+    those of its blank-separated chunks in turn; recent chunks, and the lower-cased words in them, are looked up, and texts
+    are cut at blanks to bound memory. Any other vocabulary encodes whole texts.
     """
     known = zlib.crc32(spec.encode())
     if known in _encoders:
@@ -76,7 +117,10 @@ def encoder(spec: str) -> Callable[[str], bytes]:
 
     tokenizer = Tokenizer.from_str(spec)
     raw = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-    words = Recent(raw, WORDS, CHUNK_CHARS)
+    model = _word_model(spec, tokenizer)
+    if model is None:
+        return _encoders.setdefault(known, raw)
+    words = Recent(model, WORDS, CHUNK_CHARS)
 
     def chunk(text: str) -> bytes:
         simple = _SIMPLE.fullmatch(text)
@@ -198,22 +242,26 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PACKED = ", bin long, offset long, fill long, bins long, bound long, part long"
+_COLUMNS = ["row", "id", "piece", "start", "length", "ids_crc32"]
+_PACKED = ["bin", "offset", "fill", "bins", "bound", "part"]
 
 
 def _pack_parts(pieces_: DataFrame, capacity: int, parts: int, salt: int) -> DataFrame:
-    columns = ["id", "piece", "start", "length", "ids_crc32"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces_.select(*columns).schema) + _PACKED
+    """Best-fit decreasing within each of ``parts`` groups; Arrow throughout, so ids of any type and size pass unchanged."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces_.select(*_COLUMNS).schema) + "".join(f", {c} long" for c in _PACKED)
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group[columns].sort_values(["length", "id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], na_position="first")
-        lengths = group["length"].to_numpy(np.int64)
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.select(_COLUMNS).sort_by([("length", "descending"), ("row", "ascending")])
+        lengths = group["length"].to_numpy().astype(np.int64)
         bins, offsets, used = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=used).astype(np.int64)
-        return group.assign(bin=bins, offset=offsets, fill=fill[bins], bins=used, bound=lower_bound(lengths, capacity), part=key[0])
+        n, bound = len(lengths), lower_bound(lengths, capacity)
+        for name, values in zip(_PACKED, (bins, offsets, fill[bins], np.full(n, used), np.full(n, bound), np.full(n, key[0].as_py())), strict=True):
+            group = group.append_column(name, pa.array(values, pa.int64()))
+        return group
 
-    dealt = pieces_.select(*columns, F.pmod(F.xxhash64("id", "piece", F.lit(salt)), F.lit(parts)).alias("part"))
-    return dealt.groupBy("part").applyInPandas(run, schema)
+    dealt = pieces_.select(*_COLUMNS, F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(parts)).alias("deal"))
+    return dealt.groupBy("deal").applyInArrow(run, schema)
 
 
 def _parts(pool: DataFrame, capacity: int, part_bins: int) -> int:
@@ -226,10 +274,12 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, part_bins: int = PART_BIN
 
     Every piece is placed once; sequences are filled from 0 without gaps and never over ``capacity``. Loose bins of
     partitions over their bound are pooled and packed again; a round counts only where it saves bins. Partitions hold a
-    bounded number of pieces on average however many equal ids or lengths there are, as (id, piece) is hashed.
+    bounded number of pieces on average however many ids or lengths are equal or null: pieces are dealt by a number of their
+    own, which is written with them, so a task that runs again deals them alike.
     """
-    parts = _parts(pieces_, capacity, part_bins)
-    now = staged(_pack_parts(pieces_, capacity, parts, 0).withColumn("round", F.lit(0)), "pack-0")
+    numbered = staged(pieces_.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    parts = _parts(numbered, capacity, part_bins)
+    now = staged(_pack_parts(numbered, capacity, parts, 0).withColumn("round", F.lit(0)), "pack-0")
     for k in range(1, rounds + 1):
         loose = (F.col("bins") > F.col("bound")) & (F.col("fill") < F.lit(int(LOOSE * capacity)))
         pool = now.where(loose)
@@ -246,8 +296,8 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, part_bins: int = PART_BIN
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise and pack whole documents; the piece table is written once, so texts are tokenised once."""
-    return pack(staged(pieces(docs, tokenizer_path, id_col, text_col, capacity), "pieces"), capacity)
+    """Tokenise and pack whole documents; ``pack`` writes the pieces first, so texts are tokenised once."""
+    return pack(pieces(docs, tokenizer_path, id_col, text_col, capacity), capacity)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
