@@ -1,9 +1,9 @@
 """Phrase collocations: n-gram counts from word-id suffix arrays of shards, merged by key, and association scores of their cuts.
 
-Texts are read twice. The first time each shard counts words and word pairs from its suffix array, as hashes; what a whole
-language holds often enough marks bits of a filter of fixed size. The second time a shard keeps only words and pairs that
-pass and counts all phrases of what is left. A phrase is no more frequent than its pairs, and equal hashes can only add, so
-the filter loses nothing; counts of the second reading are by phrase and exact.
+Texts are read three times. First each shard counts words from its suffix array, as hashes, then pairs of words that are
+frequent; what a whole language holds often enough marks bits of filters of fixed size. The last time a shard keeps only
+words and pairs that pass and counts all phrases of what is left. A phrase is no more frequent than its words and pairs, and
+equal hashes can only add, so the filters lose nothing; counts of the last reading are by phrase and exact.
 """
 
 from __future__ import annotations
@@ -13,15 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import _power_table, mix64, staged
 
 MAX_WORDS, MIN_COUNT, TOP = 4, 30, 2000
-#: Words of a shard, about: its suffix array and ranks take some 100 bytes each. Bytes of text that are split at once.
-SHARD_WORDS, SLICE = 1 << 21, 1 << 20
-#: Bits of the filter (a power of two): 8 MB for every reader, whatever the corpus holds. Fuller filters let more pass.
+#: Words of a shard, about: its suffix array and ranks take some 150 bytes each. Bytes of text that are split at once.
+SHARD_WORDS, SLICE = 1 << 20, 1 << 20
+#: Bits of each filter (a power of two): 8 MB for every reader, whatever the corpus holds. Fuller filters let more pass.
 FILTER_BITS = 1 << 26
 #: A longer phrase with so many hundredths of its part's count stands for it.
 COVERED = 80
@@ -42,17 +43,18 @@ KINDS = _kinds()
 
 
 def split_slice(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, piece, hash) of each word of lower-cased UTF-8 text; words of one piece have the same number."""
+    """(start, end, follows, hash) of each word of lower-cased UTF-8 text; ``follows``: the next word is in the same piece."""
     data = np.frombuffer(raw, dtype=np.uint8)
     kind = KINDS[data]
     part = np.concatenate(([False], kind == 2, [False]))
     edge = np.flatnonzero(part[1:] != part[:-1])
     starts, ends = edge[::2], edge[1::2]
-    piece = np.cumsum(kind == 1)[starts]
+    piece = np.cumsum(kind == 1, dtype=np.int32)[starts]
+    follows = np.append(piece[1:] == piece[:-1], False)[: len(starts)]
     up, down = _power_table(len(data) + 1, "up"), _power_table(len(data) + 1, "down")
     prefix = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=prefix[1:])
-    return starts, ends, piece, mix64((prefix[ends] - prefix[starts]) * down[starts])
+    return starts.astype(np.int32), ends.astype(np.int32), follows, mix64((prefix[ends] - prefix[starts]) * down[starts])
 
 
 def _cuts(raw: bytes, size: int = SLICE) -> Iterator[bytes]:
@@ -82,56 +84,62 @@ class Shard:
     def add(self, raw: bytes, lang: str) -> None:
         code = self.langs.setdefault(lang, len(self.langs))
         salt = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
-        starts, ends, piece, hashed = split_slice(raw)
+        starts, ends, follows, hashed = split_slice(raw)
         if len(starts):
-            self.parts.append((raw, starts, ends, piece, mix64(hashed ^ salt), code))
+            self.parts.append((raw, starts, ends, follows, mix64(hashed ^ salt), code))
             self.words += len(starts)
 
     def joined(self) -> None:
-        sizes = [len(p[1]) for p in self.parts]
         shift = np.cumsum([0] + [len(p[0]) for p in self.parts])
         self.raw = b"".join(p[0] for p in self.parts)
         self.start = np.concatenate([p[1] + s for p, s in zip(self.parts, shift, strict=False)])
         self.end = np.concatenate([p[2] + s for p, s in zip(self.parts, shift, strict=False)])
+        self.follows = np.concatenate([p[3] for p in self.parts])
         self.hash = np.concatenate([p[4] for p in self.parts])
-        self.lang = np.repeat(np.array([p[5] for p in self.parts], np.int32), sizes)
-        piece = np.concatenate([p[3] for p in self.parts])
-        fresh = np.zeros(len(piece), bool)
-        fresh[np.cumsum([0, *sizes[:-1]])] = True
-        self.follows = np.r_[(piece[1:] == piece[:-1]) & ~fresh[1:], False]  # the next word is in the same piece
+        self.lang = np.repeat(np.array([p[5] for p in self.parts], np.int32), [len(p[1]) for p in self.parts])
         self.parts = []
 
 
 def room_of(follows: np.ndarray, most: int) -> np.ndarray:
     """Words from each place to the end of its piece, itself included, up to ``most``."""
-    room, run = np.ones(len(follows), np.int64), follows
+    room, run = np.ones(len(follows), np.int8), follows
     for _ in range(most - 1):
         room = room + run
         run = np.r_[run[1:], False] & follows
     return room
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank from 1): places sorted by key, and the rank of each place's key among the distinct ones."""
+    order = np.argsort(keys)
+    fresh = np.empty(len(keys), np.int64)
+    fresh[:1] = 1
+    np.not_equal(keys[order[1:]], keys[order[:-1]], out=fresh[1:])
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(fresh)
+    return order, rank
+
+
 def suffix_array(ids: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, lcp): suffixes sorted by their first ``depth`` words (a power of two), by prefix doubling, and how many words
     each shares with the one before it. A suffix ends with its piece."""
+    order = np.argsort(ids) if depth == 1 else None
     ranks, width = {1: ids.astype(np.int64) + 1}, 1
     while width < depth:
         now = ranks[width]
         behind = np.zeros(len(now), np.int64)
         behind[:-width] = np.where(room[:-width] > width, now[width:], 0)
-        _, inverse = np.unique(now * (int(now.max(initial=0)) + 1) + behind, return_inverse=True)
+        order, ranks[2 * width] = ranked(now * (int(now.max(initial=0)) + 1) + behind)
         width *= 2
-        ranks[width] = inverse.reshape(-1) + 1
-    order = np.argsort(ranks[depth], kind="stable")
     a, b = order[:-1], order[1:]
-    lcp = np.zeros(len(a), np.int64)
+    lcp = np.zeros(len(a), np.int8)
     least = np.minimum(room[a], room[b])
     last = len(ids) - 1
     while width:
         rank = ranks[width]
-        lcp += width * ((least >= lcp + width) & (rank[np.minimum(a + lcp, last)] == rank[np.minimum(b + lcp, last)]) & (lcp + width <= depth))
+        lcp += np.int8(width) * ((least >= lcp + width) & (rank[np.minimum(a + lcp, last)] == rank[np.minimum(b + lcp, last)]) & (lcp + width <= depth))
         width //= 2
-    return order, np.r_[0, lcp] if len(order) else lcp
+    return order, np.r_[np.int8(0), lcp] if len(order) else lcp
 
 
 def intervals(order: np.ndarray, lcp: np.ndarray, room: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,17 +187,54 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
         yield shard
 
 
-def _marked(texts: DataFrame, min_count: int, shard_words: int, filter_bits: int) -> np.ndarray:
-    """The filter: bits of all words and pairs whose hashes a language holds ``min_count`` times. It has a fixed size."""
+def _counts(shards: Iterator[Shard], words: int, bits: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, count) of the words, or of the pairs of words that pass ``bits``, of each shard."""
+    for shard in shards:
+        hashed, follows = shard.hash, shard.follows
+        if words == 2:
+            hashed, follows, _ = _kept(shard, bits)
+        if not len(hashed):
+            continue
+        room = room_of(follows, words)
+        ids = ranked(hashed)[1]
+        order, lcp = suffix_array(ids, room, words)
+        places, counts = intervals(order, lcp, room, words)
+        yield (hashed[places] if words == 1 else _pair(hashed, places)).view(np.int64), counts
+
+
+def _kept(shard: Shard, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, follows, place) of the words that pass; a word that does not ends a piece."""
+    kept = np.flatnonzero(_passes(bits, shard.hash))
+    return shard.hash[kept], shard.follows[kept] & np.append(kept[1:] == kept[:-1] + 1, False)[: len(kept)], kept
+
+
+def _merged(counts: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[pa.RecordBatch]:
+    """Counts of several shards added up, about ``most`` rows at once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = 0
+
+    def added() -> pa.RecordBatch:
+        keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.add.reduceat(n, first))], names=["h", "n"])
+
+    for part in counts:
+        held.append(part)
+        rows += len(part[0])
+        if rows >= most:
+            yield added()
+            held, rows = [], 0
+    if rows:
+        yield added()
+
+
+def _marked(texts: DataFrame, words: int, bits: Broadcast | None, min_count: int, shard_words: int, filter_bits: int) -> np.ndarray:
+    """Bits of all words (1) or pairs of words that pass ``bits`` (2) whose hashes a language holds ``min_count`` times, of a fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches, shard_words):
-            room = room_of(shard.follows, 2)
-            _, ids = np.unique(shard.hash, return_inverse=True)
-            order, lcp = suffix_array(ids, room, 2)
-            one, two = intervals(order, lcp, room, 1), intervals(order, lcp, room, 2)
-            keys = np.concatenate([shard.hash[one[0]], _pair(shard.hash, two[0])]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([one[1], two[1]]))], names=["h", "n"])
+        return _merged(_counts(_shards(batches, shard_words), words, bits.value if bits else None), 3 * shard_words)
 
     often = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     bit = F.col("h").bitwiseAND(F.lit(filter_bits - 1))
@@ -213,22 +258,22 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """
     spark = docs.sparkSession
     texts = docs.where(F.length(text_col) > 0).select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"))
-    bits = spark.sparkContext.broadcast(_marked(texts, min_count, shard_words, filter_bits))
+    words_pass = spark.sparkContext.broadcast(_marked(texts, 1, None, min_count, shard_words, filter_bits))
+    pairs_pass = spark.sparkContext.broadcast(_marked(texts, 2, words_pass, min_count, shard_words, filter_bits))
     depth = 1 << (max_words - 1).bit_length()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, shard_words):
             names = np.array(list(shard.langs), dtype=object)
             totals = np.bincount(shard.lang, minlength=len(names))
-            kept = np.flatnonzero(_passes(bits.value, shard.hash))
+            hashed, follows, kept = _kept(shard, words_pass.value)
             lang, phrases, words, counts = [names], [[""] * len(names)], [np.zeros(len(names), np.int32)], [totals]
             if len(kept):
-                hashed, start, end, owner = shard.hash[kept], shard.start[kept], shard.end[kept], shard.lang[kept]
-                follows = shard.follows[kept] & np.r_[kept[1:] == kept[:-1] + 1, False]
+                start, end, owner = shard.start[kept], shard.end[kept], shard.lang[kept]
                 both = np.flatnonzero(follows)
-                follows[both] = _passes(bits.value, _pair(hashed, both))
+                follows[both] = _passes(pairs_pass.value, _pair(hashed, both))
                 room = room_of(follows, depth)
-                _, ids = np.unique(hashed, return_inverse=True)
+                ids = ranked(hashed)[1]
                 order, lcp = suffix_array(ids, room, depth)
                 close = np.r_[(start[1:] == end[:-1] + 1), False]
                 data = np.frombuffer(shard.raw, np.uint8)
