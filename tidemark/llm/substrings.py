@@ -271,8 +271,9 @@ def repeated_places(texts: DataFrame, index: DataFrame, window: int = WINDOW, tr
     zipped = index.select("key", F.explode(F.arrays_zip("grams", "places")).alias("x"))
     suffixes = zipped.select("key", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
     often = suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    # a hot prefix is the skewed side of a plain join, which adaptive execution splits
-    found = suffixes.join(often.select("gram", F.ceil(F.col("n") / tree_rows).cast("int").alias("trees")), "gram")
+    # written first: a hot prefix is then the skewed side of a plain join, which adaptive execution splits
+    often = staged(often.select("gram", F.ceil(F.col("n") / tree_rows).cast("int").alias("trees")), "substring-prefixes")
+    found = suffixes.join(often, "gram")
     wanted = found.groupBy("key").agg(F.collect_set(F.struct("gram", "place", "trees")).alias("anchors"))
     one = texts.groupBy("key").agg(F.first("text").alias("text"))
     cut = one.join(wanted, "key").mapInArrow(_cut(window), "gram long, tree int, trees int, key binary, place long, words binary")
