@@ -1,9 +1,9 @@
 """Phrase collocations: n-gram counts from word-id suffix arrays of shards, merged by key, and association scores of their cuts.
 
-Texts are read three times. First each shard counts words from its suffix array, as hashes, then pairs of words that are
-frequent; what a whole language holds often enough marks bits of filters of fixed size. The last time a shard keeps only
-words and pairs that pass and counts all phrases of what is left. A phrase is no more frequent than its words and pairs, and
-equal hashes can only add, so the filters lose nothing; counts of the last reading are by phrase and exact.
+Texts are read once for each length of phrase and once more. First each shard counts words from its suffix array, as hashes,
+then pairs of words that are frequent, then longer runs whose shorter ones are; what a whole language holds often enough
+marks bits of filters of fixed size. The last time a shard counts the phrases that pass all filters by their text. A phrase
+is no more frequent than its parts, and equal hashes can only add, so the filters lose nothing and the last counts are exact.
 """
 
 from __future__ import annotations
@@ -29,6 +29,10 @@ COVERED = 80
 SCALE = 2_000_000
 NO_LANG = "und"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash by which runs are counted for the filters: equal ones only add, so fewer bits cost time at most.
+_KEY = np.uint64((1 << 40) - 1)
+#: Slices of a language's phrases that are cut to the first ones before they meet.
+SLICES = 64
 
 
 def _kinds() -> np.ndarray:
@@ -151,8 +155,12 @@ def intervals(order: np.ndarray, lcp: np.ndarray, room: np.ndarray, words: int)
     return places[whole], counts[whole]
 
 
-def _pair(hashed: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return mix64(hashed[places] * _FACTOR + hashed[places + 1])
+def _grams(hashed: np.ndarray, places: np.ndarray, words: int) -> np.ndarray:
+    """Hash of the run of so many words at each place."""
+    out = hashed[places]
+    for k in range(1, words):
+        out = mix64(out * _FACTOR + hashed[places + k])
+    return out
 
 
 def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
@@ -187,25 +195,41 @@ def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
         yield shard
 
 
-def _counts(shards: Iterator[Shard], words: int, bits: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash, count) of the words, or of the pairs of words that pass ``bits``, of each shard."""
+def _kept(shard: Shard, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, room, place) of the words that pass the first filter; pieces end where a word or a pair does not pass."""
+    hashed, follows, kept = shard.hash, shard.follows.copy(), np.arange(len(shard.hash))
+    if filters:
+        kept = np.flatnonzero(_passes(filters[0], hashed))
+        hashed, follows = hashed[kept], follows[kept] & np.append(kept[1:] == kept[:-1] + 1, False)[: len(kept)]
+    if len(filters) > 1:
+        both = np.flatnonzero(follows)
+        follows[both] = _passes(filters[1], _grams(hashed, both, 2))
+    return hashed, follows, kept
+
+
+def _wanted(hashed: np.ndarray, places: np.ndarray, words: int, filters: list[np.ndarray]) -> np.ndarray:
+    """Which places may begin a frequent run of so many words: both runs that are one word shorter pass, and where it is there,
+    the run itself."""
+    out = np.ones(len(places), bool)
+    for n in (words - 1, words):
+        if 3 <= n <= len(filters):
+            for shift in range(words - n + 1):
+                out &= _passes(filters[n - 1], _grams(hashed, places + shift, n))
+    return out
+
+
+def _counts(shards: Iterator[Shard], words: int, filters: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, count) of the runs of ``words`` words of each shard whose shorter runs pass ``filters``."""
     for shard in shards:
-        hashed, follows = shard.hash, shard.follows
-        if words == 2:
-            hashed, follows, _ = _kept(shard, bits)
+        hashed, follows, _ = _kept(shard, filters)
         if not len(hashed):
             continue
-        room = room_of(follows, words)
-        ids = ranked(hashed)[1]
-        order, lcp = suffix_array(ids, room, words)
+        depth = 1 << (words - 1).bit_length()
+        room = room_of(follows, depth)
+        order, lcp = suffix_array(ranked(hashed)[1], room, depth)
         places, counts = intervals(order, lcp, room, words)
-        yield (hashed[places] if words == 1 else _pair(hashed, places)).view(np.int64), counts
-
-
-def _kept(shard: Shard, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, follows, place) of the words that pass; a word that does not ends a piece."""
-    kept = np.flatnonzero(_passes(bits, shard.hash))
-    return shard.hash[kept], shard.follows[kept] & np.append(kept[1:] == kept[:-1] + 1, False)[: len(kept)], kept
+        wanted = _wanted(hashed, places, words, filters)
+        yield (_grams(hashed, places[wanted], words) & _KEY).view(np.int64), counts[wanted]
 
 
 def _merged(counts: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[pa.RecordBatch]:
@@ -230,11 +254,11 @@ def _merged(counts: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Itera
         yield added()
 
 
-def _marked(texts: DataFrame, words: int, bits: Broadcast | None, min_count: int, shard_words: int, filter_bits: int) -> np.ndarray:
-    """Bits of all words (1) or pairs of words that pass ``bits`` (2) whose hashes a language holds ``min_count`` times, of a fixed size."""
+def _marked(texts: DataFrame, words: int, filters: list[Broadcast], min_count: int, shard_words: int, filter_bits: int) -> np.ndarray:
+    """Bits of all runs of ``words`` words whose hashes a language holds ``min_count`` times, of a fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _merged(_counts(_shards(batches, shard_words), words, bits.value if bits else None), 3 * shard_words)
+        return _merged(_counts(_shards(batches, shard_words), words, [f.value for f in filters]), 3 * shard_words)
 
     often = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     bit = F.col("h").bitwiseAND(F.lit(filter_bits - 1))
@@ -258,28 +282,29 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """
     spark = docs.sparkSession
     texts = docs.where(F.length(text_col) > 0).select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"))
-    words_pass = spark.sparkContext.broadcast(_marked(texts, 1, None, min_count, shard_words, filter_bits))
-    pairs_pass = spark.sparkContext.broadcast(_marked(texts, 2, words_pass, min_count, shard_words, filter_bits))
+    filters: list[Broadcast] = []
+    for n in range(1, max_words + 1):
+        filters.append(spark.sparkContext.broadcast(_marked(texts, n, filters, min_count, shard_words, filter_bits)))
     depth = 1 << (max_words - 1).bit_length()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, shard_words):
             names = np.array(list(shard.langs), dtype=object)
             totals = np.bincount(shard.lang, minlength=len(names))
-            hashed, follows, kept = _kept(shard, words_pass.value)
+            bits = [f.value for f in filters]
+            hashed, follows, kept = _kept(shard, bits)
             lang, phrases, words, counts = [names], [[""] * len(names)], [np.zeros(len(names), np.int32)], [totals]
             if len(kept):
                 start, end, owner = shard.start[kept], shard.end[kept], shard.lang[kept]
-                both = np.flatnonzero(follows)
-                follows[both] = _passes(pairs_pass.value, _pair(hashed, both))
                 room = room_of(follows, depth)
-                ids = ranked(hashed)[1]
-                order, lcp = suffix_array(ids, room, depth)
+                order, lcp = suffix_array(ranked(hashed)[1], room, depth)
                 close = np.r_[(start[1:] == end[:-1] + 1), False]
                 data = np.frombuffer(shard.raw, np.uint8)
                 close &= data[np.minimum(end, len(data) - 1)] == 0x20  # one space stands behind the word
                 for n in range(1, max_words + 1):
                     places, c = intervals(order, lcp, room, n)
+                    wanted = _wanted(hashed, places, n, bits)
+                    places, c = places[wanted], c[wanted]
                     plain = np.ones(len(places), bool)
                     for k in range(n - 1):
                         plain &= close[places + k]
@@ -325,8 +350,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     cut = cut.join(known.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"]).join(known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     exact = F.expr(f"cast({SCALE} as decimal(38,0)) * cast(a as decimal(19,0)) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
     best = cut.select("lang", "phrase", "a", F.struct(exact.alias("score"), "k", "l", "r").alias("c")).groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min("c").alias("c"))
-    order = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("c.score"), F.desc("a"), F.col("phrase")]
+    sliced = best.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    sliced = sliced.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = sliced.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     totals = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "c.l", "c.r", "n", F.col("c.score").alias("score"))
 
