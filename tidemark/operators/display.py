@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.operators import large_groups
 
 # ---------------------------------------------------------------- predicates
 
@@ -101,13 +102,14 @@ EXPOSURE = ("confident", "own_branch", "same_business", "tier", "not_ad", "not_c
 def exposure_order(df: DataFrame, owner: str, keys: dict[str, Column], last: str) -> DataFrame:
     """``df`` with ``place``: the rank of each text of an owner by EXPOSURE, each key's higher values first, nulls last, then ``last``.
 
-    Texts of other places give way before trust does, and trust before style; the newest comes first among equals.
+    Texts of other places give way before trust does, and trust before style; the newest comes first among equals. An owner may
+    have any number of texts: they are numbered range by range.
     """
     unknown = set(keys) - set(EXPOSURE)
     if unknown:
         raise ValueError(f"no such keys: {sorted(unknown)}")
     order = [keys[k].desc_nulls_last() for k in EXPOSURE if k in keys]
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(*order, last)))
+    return large_groups.row_numbers(df, [owner], [*order, F.col(last)], "place")
 
 
 def sentinel(shown: DataFrame, owner: str, top: int = 6, names: int = 3) -> DataFrame:

@@ -87,13 +87,6 @@ def reserve_recent(df: DataFrame, owner: str, position: str, eligible: Column, n
     return marked.withColumn("new_position", place.cast("int")).drop("__e", "__top", "__pick", "__last")
 
 
-def mid_rank_percentile(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Percentile in the group with ties counted half: (rows below + half of equal rows) / rows."""
-    w, eq = Window.partitionBy(*group), Window.partitionBy(*group, value)
-    below = F.rank().over(w.orderBy(F.col(value).asc_nulls_first())) - 1
-    return df.withColumn("percentile", (below + F.count("*").over(eq) / 2) / F.count("*").over(w))
-
-
 def best_lift(df: DataFrame, group: str, axes: list[str], least_rows: int = 3, least: float = 0.05) -> DataFrame:
     """(best_axis, lift): the axis on which a row exceeds its group's mean most; none in groups under ``least_rows``."""
     w = Window.partitionBy(group)

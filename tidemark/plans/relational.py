@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.operators import merge, ranking
+from tidemark.operators import large_groups, merge, ranking
 from tidemark.plans.base import AXES, LONG_SCORES, PLACES, SCORES, VISITORS, VISITS, axis_scores, load, places, query, visitors, visits
 
 # ---------------------------------------------------------------- predicates
@@ -347,9 +347,10 @@ def one_pass_dashboard(spark, sf):
     """SELECT o_orderpriority AS p, quantile_cont(o_totalprice, 0.99) AS p99, quantile_cont(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END, 0.5) AS median_f, to_timestamp(quantile_disc(epoch(o_orderdate)::BIGINT, 0.5))::TIMESTAMP AS median_date FROM orders GROUP BY 1""",
 )
 def percentiles(spark, sf):
-    load(spark, sf, "orders").createOrReplaceTempView("orders_p")
-    return spark.sql("""SELECT o_orderpriority AS p, percentile_cont(0.99) WITHIN GROUP (ORDER BY o_totalprice) AS p99, percentile_cont(0.5) WITHIN GROUP (ORDER BY o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS median_f,
-        timestamp_seconds(percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_timestamp(o_orderdate))) AS median_date FROM orders_p GROUP BY o_orderpriority""")
+    """Exact quantiles of five large groups by histograms that close in on them."""
+    o = load(spark, sf, "orders").select(F.col("o_orderpriority").alias("p"), "o_totalprice", "o_orderstatus", F.unix_timestamp("o_orderdate").alias("at"))
+    wanted = {"p99": (F.col("o_totalprice"), 0.99, "cont"), "median_f": (F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")), 0.5, "cont"), "at": (F.col("at"), 0.5, "disc")}
+    return large_groups.quantiles(o, ["p"], wanted).select("p", "p99", "median_f", F.timestamp_seconds(F.col("at").cast("long")).alias("median_date"))
 
 
 @query(
@@ -465,8 +466,9 @@ def approximate_distinct_exact(spark, sf):
 
 @query("area_rank", f'WITH {PLACES} SELECT id, rank() OVER (PARTITION BY area ORDER BY "count" DESC, id)::INTEGER AS rank, count(*) OVER (PARTITION BY area) AS peers FROM places')
 def area_rank(spark, sf):
-    w = Window.partitionBy("area")
-    return places(spark, sf).select("id", F.rank().over(w.orderBy(F.col("count").desc(), "id")).alias("rank"), F.count("*").over(w).alias("peers"))
+    """Ranks of any number of places in an area; ids make the order total, so a rank is a row number."""
+    p = places(spark, sf).select("id", "area", "count")
+    return large_groups.row_numbers(p, ["area"], [F.col("count").desc(), F.col("id")], "rank", "peers").select("id", F.col("rank").cast("int").alias("rank"), "peers")
 
 
 @query("top_three_per_area", f'WITH {PLACES} SELECT area, id, rn::INTEGER AS rn FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY "count" DESC, id) AS rn FROM places) WHERE rn <= 3')
@@ -504,8 +506,8 @@ def no_progress_streaks(spark, sf):
     round(cume_dist() OVER (PARTITION BY area ORDER BY "count"), 6) AS at_most FROM places""",
 )
 def mid_rank_percentile(spark, sf):
-    out = ranking.mid_rank_percentile(places(spark, sf), ["area"], "count")
-    return out.select("id", F.round("percentile", 6).alias("percentile"), F.round(F.cume_dist().over(Window.partitionBy("area").orderBy("count")), 6).alias("at_most"))
+    out = large_groups.mid_rank_percentile(places(spark, sf).select("id", "area", "count"), ["area"], "count")
+    return out.select("id", F.round("percentile", 6).alias("percentile"), F.round("at_most", 6).alias("at_most"))
 
 
 _RATE = {a: f'CASE WHEN "count" > 0 THEN s_{a} / "count" ELSE 0 END' for a in AXES}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -15,15 +17,45 @@ ORIGINS = "origin string, point_diff int, tariff double, note string"
 FLAVOURS = "origin_key string, flavors string"
 
 
+#: Scratch folders of this driver that nothing has removed yet.
+_folders: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path for files of a job: under ``spark.checkpoint.dir``, which driver and executors share; without it, where
-    everything runs in one JVM, in a temporary folder."""
+    everything runs in one JVM, in a temporary folder. It is removed by ``drop_scratch`` or at the end of the driver."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(shared)  # one temporary folder for the session
+    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_drop_at_exit)
+    _folders.append(path)
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back: later jobs see one and the same table, also after a lost executor."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the scratch folders of this driver; results that still read them must have been written before."""
+    while _folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _drop_at_exit() -> None:
+    spark = SparkSession._instantiatedSession
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            drop_scratch(spark)
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -86,8 +118,10 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_parts(df: DataFrame, path: str, key: Column, parts: int = 4) -> None:
-    """Parquet in folders ``part=0..parts-1`` by the key's remainder; each row is shuffled once."""
-    df.withColumn("part", F.pmod(key, F.lit(parts)).cast("int")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+    """Parquet in folders ``part=0..parts-1`` by the key's remainder; each row is shuffled once, by a hash of the whole row as
+    well, so a folder is written by as many tasks as its rows need."""
+    keyed = df.withColumn("part", F.pmod(key, F.lit(parts)).cast("int"))
+    keyed.repartition("part", F.xxhash64(*df.columns)).write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def version_of(df: DataFrame, updated: str) -> tuple:
