@@ -21,7 +21,9 @@ from tidemark.llm.common import _power_table, mix64, staged
 
 MAX_WORDS, MIN_COUNT, TOP = 4, 30, 2000
 #: Words of a shard, about: its suffix array and ranks take some 150 bytes each. Bytes of text that are split at once.
-SHARD_WORDS, SLICE = 1 << 20, 1 << 20
+SHARD_WORDS, SLICE = 1 << 19, 1 << 20
+#: Rows of counts that a task adds up before it passes them on.
+MERGED_ROWS = 3 << 19
 #: Bits of each filter (a power of two): 8 MB for every reader, whatever the corpus holds. Fuller filters let more pass.
 FILTER_BITS = 1 << 26
 #: A longer phrase with so many hundredths of its part's count stands for it.
@@ -258,7 +260,7 @@ def _marked(texts: DataFrame, words: int, filters: list[Broadcast], min_count: i
     """Bits of all runs of ``words`` words whose hashes a language holds ``min_count`` times, of a fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _merged(_counts(_shards(batches, shard_words), words, [f.value for f in filters]), 3 * shard_words)
+        return _merged(_counts(_shards(batches, shard_words), words, [f.value for f in filters]), MERGED_ROWS)
 
     often = texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     bit = F.col("h").bitwiseAND(F.lit(filter_bits - 1))
