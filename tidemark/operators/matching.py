@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normal_name
+from tidemark.operators import dictionary
 
 
 def bigrams(name: Column) -> Column:
@@ -70,13 +71,11 @@ def ingest_matches(old: DataFrame, new: DataFrame, cell: float = 0.0005, least:
 def rivals_in_text(texts: DataFrame, names: DataFrame, least: int = 4, most_places: int = 8) -> DataFrame:
     """(id, rival): other places whose core name occurs in a text; names of chains with over ``most_places`` places do not count.
 
-    Each place of a text gives one row: as many characters as the longest name has. Its first ``least`` characters meet the
-    names that begin with them, and the rest is compared. So rows grow with the texts alone, not with the dictionary.
+    ``texts`` has (id, place, text), ids unique. All names are found in one pass over each text by an automaton; of the places
+    of a chain the one with the smallest id stands for it.
     """
-    core = names.select(F.col("id").alias("rival"), normal_name(F.col("name")).alias("core")).where(F.char_length("core") >= least)
-    chains = core.groupBy("core").agg(F.count("*").alias("n"), F.min("rival").alias("rival")).where(F.col("n") <= most_places).withColumn("probe", F.left("core", F.lit(least)))
-    longest = chains.agg(F.max(F.char_length("core"))).first()[0] or least
-    flat = texts.select("id", "place", normal_name(F.col("text")).alias("t")).where(F.char_length("t") >= least)
-    starts = F.sequence(F.lit(1), F.char_length("t") - F.lit(least - 1))
-    pieces = flat.select("id", "place", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("t", i, F.lit(longest))))).alias("piece")).withColumn("probe", F.left("piece", F.lit(least)))
-    return pieces.join(chains, "probe").where(F.col("piece").startswith(F.col("core")) & (F.col("rival") != F.col("place"))).select("id", "rival").distinct()
+    core = names.select(F.col("id").alias("rival"), normal_name(F.col("name")).alias("term")).where(F.char_length("term") >= least)
+    chains = core.groupBy("term").agg(F.count("*").alias("n"), F.min("rival").alias("rival")).where(F.col("n") <= most_places)
+    plain = texts.select("id", "place", normal_name(F.col("text")).alias("t"))
+    hits = dictionary.term_hits(plain, "id", "t", chains)
+    return hits.join(chains.select("term", "rival"), "term").join(plain.select("id", "place"), "id").where(F.col("rival") != F.col("place")).select("id", "rival").distinct()
