@@ -3,8 +3,11 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions import geo
-from tidemark.plans.base import VISITS, load, query, visits
+from tidemark.operators.traffic import SEARCH_ENGINES
+from tidemark.plans.base import VISITORS, VISITS, load, query, visitors, visits
 from tidemark.sources import files
+from tidemark.sources.snapshots import SnapshotTable
+from tidemark.streaming import stateful
 from tidemark.streaming import traffic as stream
 
 # ---------------------------------------------------------------- files
@@ -75,24 +78,45 @@ def geojson_districts(spark, sf):
 # ---------------------------------------------------------------- streams
 
 
-def _stream(spark, sf, make, label, mode="append"):
-    """The rows that a streaming form gives for the whole event log, which arrives in files and is followed by one late
-    event that closes all windows."""
-    source, target = files.scratch(spark, f"{label}-in"), files.scratch(spark, f"{label}-out")
-    log = visits(spark, sf).select("event_id", "anon_id", F.col("ts").cast("timestamp").alias("ts"), "src", "path")
-    log.write.parquet(f"{source}/0")
-    last = log.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("anon_id"), (F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("ts"), F.lit("").alias("src"), F.lit("").alias("path"))
-    live = spark.readStream.schema(log.schema).option("recursiveFileLookup", True).parquet(source)
-    for step in range(2 if mode == "append" else 1):
-        writer = make(live).writeStream.outputMode(mode).option("checkpointLocation", f"{target}-state").trigger(availableNow=True)
-        if mode == "append":
-            q = writer.format("parquet").option("path", target).start()
-        else:  # every batch of updates replaces earlier rows of its keys; one batch has all of them here
-            q = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(target)).start()
+FILES, STATE_PARTITIONS = 4, 8
+
+
+def _arriving(spark, sf, label, columns=("event_id", "anon_id", "ts", "src", "path")):
+    """The event log as a stream of ``FILES`` batches in order of time, and one late event that closes all windows."""
+    source = files.scratch(spark, f"{label}-in")
+    log = visits(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).join(visitors(spark, sf).select("anon_id", "user_agent"), "anon_id", "left").select(*columns)
+    log = files.staged(log, f"{label}-log")
+    span = log.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    width = (span["last"] - span["first"]) / FILES
+    for k in range(FILES):
+        low, high = span["first"] + k * width, span["first"] + (k + 1) * width
+        log.where((F.col("ts") >= F.lit(low)) & ((F.col("ts") < F.lit(high)) | F.lit(k == FILES - 1))).coalesce(1).write.parquet(f"{source}/{k}")
+    ends = {"event_id": F.lit(-1).cast("long"), "anon_id": F.lit(-1).cast("long"), "ts": F.lit(span["last"]) + F.expr("INTERVAL 60 DAYS"), "path": F.lit("/c/end")}
+    spark.range(1).select(*[ends.get(c, F.lit("")).alias(c) for c in columns]).write.parquet(f"{source}/{FILES}")
+    return spark.readStream.schema(log.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+def _run(live, label, mode="append", sink=None):
+    """Run a stream to its end: into a parquet folder, which is returned, or into ``sink``, a function for each batch."""
+    spark = live.sparkSession
+    target = files.scratch(spark, f"{label}-out")
+    # state is in RocksDB; the log of a query is small, so a few state partitions are enough
+    own = {"spark.sql.streaming.stateStore.providerClass": stateful.STORE, "spark.sql.shuffle.partitions": str(STATE_PARTITIONS)}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        writer = live.writeStream.outputMode(mode).option("checkpointLocation", files.scratch(spark, f"{label}-state")).trigger(availableNow=True)
+        q = writer.foreachBatch(sink).start() if sink else writer.format("parquet").option("path", target).start()
         q.awaitTermination()
-        if step == 0 and mode == "append":
-            last.write.parquet(f"{source}/1")
-    return spark.read.parquet(target)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return None if sink else spark.read.schema(live.schema).parquet(target)
+
+
+def _stream(spark, sf, make, label):
+    return _run(make(_arriving(spark, sf, label)), label)
 
 
 @query("stream_sessions", f"""WITH {VISITS}, g AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INTEGER AS fresh FROM visits WINDOW w AS (PARTITION BY anon_id ORDER BY ts)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY anon_id ORDER BY ts) AS run FROM g)
@@ -115,4 +139,26 @@ def stream_distinct(spark, sf):
 
 @query("stream_first_touch", f"WITH {VISITS} SELECT anon_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS visits FROM visits GROUP BY 1")
 def stream_first_touch(spark, sf):
-    return _stream(spark, sf, stream.first_touch, "first", mode="update").select("anon_id", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "visits")
+    """Visitors by state with an age limit; every batch is merged by key into a stored table."""
+    table = SnapshotTable.create(spark, files.scratch(spark, "touches"), stateful.TOUCHES, ["anon_id", "since"], 16)
+    _run(stateful.visitor_touches(_arriving(spark, sf, "touch"), "10 days"), "touch", "update", stateful.into_table(table, "touch"))
+    out = stateful.first_touch_of(table.read()).where("anon_id >= 0")
+    return out.select("anon_id", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "visits")
+
+
+@query("stream_burst_visitors", f"WITH {VISITS}, c AS (SELECT anon_id, date_trunc('minute', ts) AS slot FROM visits WHERE path LIKE '/c/%'), hot AS (SELECT slot FROM c GROUP BY 1 HAVING count(DISTINCT anon_id) >= 2) SELECT DISTINCT anon_id FROM c JOIN hot USING (slot)")
+def stream_burst_visitors(spark, sf):
+    """Visitors of minutes with two visitors or more; the log is thin, so two stand for the usual eight."""
+    return _run(stateful.burst_visitors(_arriving(spark, sf, "burst"), ids=2), "burst").where("anon_id >= 0").select("anon_id").distinct()
+
+
+@query(
+    "stream_day_verdicts",
+    f"""WITH {VISITS}, {VISITORS}, d AS (SELECT anon_id, (ts + INTERVAL 9 HOUR)::DATE AS day, count(*) AS events, bool_or(coalesce(src IN {tuple(SEARCH_ENGINES)!r}, false)) AS s, bool_or(regexp_matches(coalesce(user_agent, ''), '(?i)Mobile|iPhone|Android')) AS m, min(path) AS low, max(path) AS high
+      FROM visits LEFT JOIN visitors USING (anon_id) GROUP BY 1, 2)
+    SELECT anon_id, day, events, NOT (bool_or(s) OVER w OR bool_or(m) OVER w OR min(low) OVER w < max(high) OVER w OR row_number() OVER w > 1) AS bot FROM d WINDOW w AS (PARTITION BY anon_id ORDER BY day)""",
+)
+def stream_day_verdicts(spark, sf):
+    """Verdicts of each visitor and day, half an hour after the day."""
+    live = _arriving(spark, sf, "verdict", ("event_id", "anon_id", "ts", "src", "path", "user_agent"))
+    return _run(stateful.day_verdicts(live, keep_days=60), "verdict").where("anon_id >= 0")
