@@ -67,7 +67,9 @@ def test_metrics_equal_brute_force(spark):
 def test_order_follows_rejections_per_cost_and_never_changes_verdicts(spark):
     rules = {k: quality_rules.Rule(k, F.lit(True)) for k in "abc"}
     m = [quality_rules.Measured(rules["a"], 1.0, 0.5), quality_rules.Measured(rules["b"], 0.1, 0.2), quality_rules.Measured(rules["c"], 0.2, 0.0)]
-    assert [x.rule.name for x in sorted(m, key=lambda x: -x.gain)] == ["b", "a", "c"]
+    assert [x.rule.name for x in quality_rules.by_gain(m)] == ["b", "a", "c"]
+    near = [quality_rules.Measured(rules["a"], 1.0, 0.1), quality_rules.Measured(rules["b"], 1.0, 0.2), quality_rules.Measured(rules["c"], 1.0, 0.9)]
+    assert [x.rule.name for x in quality_rules.by_gain(near)] == ["c", "a", "b"]  # a and b are a tie and stay as given
     df = quality_rules.metrics_of(spark.createDataFrame([(1, "a!! b"), (2, "fine words here")], "doc_id long, text string"))
     own = quality_rules.text_rules()
     for order in (own, own[::-1]):
@@ -77,6 +79,31 @@ def test_order_follows_rejections_per_cost_and_never_changes_verdicts(spark):
     assert {x.rule.name: x.rejected for x in measured}["exclamations"] == 0.5 and all(x.cost > 0 for x in measured)
 
 
+def test_dear_rules_come_late_and_selective_ones_early_in_every_run(spark):
+    """A planted dear rule, a planted selective one and one without rejections: ten measurements give one order."""
+    text, n = F.col("text"), F.col("n_words")
+    planted = lambda: [
+        quality_rules.Rule("dear", (F.regexp_count(text, F.lit("(a|e|i)[a-z]*[xyz]")) + F.regexp_count(text, F.lit("([a-z]+) [A-Z]"))) > n),
+        quality_rules.Rule("never", F.regexp_count(text, F.lit("[A-Z]")) < 0),
+        quality_rules.Rule("selective", n % 2 == 0),
+        quality_rules.Rule("rare", n % 50 == 0),
+    ]
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    orders = [[m.rule.name for m in quality_rules.ordered(d, planted)] for _ in range(10)]
+    assert all(o.index("selective") == 0 and o.index("rare") == 1 for o in orders), orders
+    cost = {m.rule.name: m.cost for m in quality_rules.ordered(d, planted)}
+    assert cost["dear"] > 100 * cost["selective"]
+
+
+def test_the_sample_is_drawn_by_rows(spark, monkeypatch):
+    """Equal ids and rows do not come together: a third of the rows is some third of the sample."""
+    rows = [(7, "one two three")] * 2000 + [(i, "other words here and there") for i in range(100, 4100)]
+    found = []
+    monkeypatch.setattr(quality_rules, "measure", lambda sample, rules: found.extend(r["id"] for r in sample.collect()) or [])
+    quality_rules.ordered(spark.createDataFrame(rows, "doc_id long, text string"), list, sample_rows=300)
+    assert 200 < len(found) < 400 and 50 < found.count(7) < 150
+
+
 def test_clean_documents_are_kept(spark):
     d, l = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))  # noqa: E741
     got = quality_rules.judge(d).join(l, F.col("id") == F.col("doc_id")).where("quality = 1 AND NOT base_failed")

@@ -1,7 +1,8 @@
 """Rule-based quality filter as a short-circuit cascade, with DataFrame functions only.
 
-Every rule is a Boolean expression over a text and its metrics. Its cost and its rejection rate are measured on a bounded sample; the
-rules then run in the order of rejections per cost, each one only on rows that no earlier rule rejected.
+Every rule is a Boolean expression over a text and its metrics. Its rejection rate comes from a bounded sample, its cost from
+timing jobs on it that are long enough for the clock; the rules then run in the order of rejections per cost, each one only on
+rows that no earlier rule rejected.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,11 @@ from tidemark.llm.common import BLANK_CLASS, bound, discard, staged, words
 
 #: Rows, about, of the sample on which costs and selectivities are measured.
 SAMPLE_ROWS = 300
+#: Seconds of a timing job, how many count, rows of one at most, the share of an idle job that is noise, and the ratio of gains
+#: from which on one rule is better than another.
+JOB_SECONDS, RUNS, MOST_ROWS, NOISE, MARGIN = 0.2, 3, 8_000_000, 0.2, 3.0
+#: Rows of the jobs that tell what repeating rows takes.
+IDLE_ROWS = 2_000_000
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
@@ -37,41 +44,72 @@ class Measured:
 
     @property
     def gain(self) -> float:
-        """Expected rejections per second of work; a rule without rejections comes by cost alone."""
-        return (self.rejected + 1e-6) / self.cost
+        """Expected rejections per second of work; half a rejection more than the sample has, as none seen is not none."""
+        return (self.rejected + 0.5 / SAMPLE_ROWS) / self.cost
+
+
+def _seconds(sample: DataFrame, column: Column, repeats: int) -> float:
+    """Wall seconds of one job that evaluates a condition on every row of the sample, ``repeats`` times each."""
+    rows = sample.withColumn("__again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    began = time.perf_counter()
+    rows.agg(F.count_if(column & (F.col("__again") > 0))).collect()
+    return time.perf_counter() - began
+
+
+def idle_cost(sample: DataFrame, rows: int) -> tuple[float, float]:
+    """(seconds of a job, seconds a row) of jobs that only repeat rows."""
+    some, many = 1, max(2, IDLE_ROWS // rows)
+    few = median(_seconds(sample, F.lit(True), some) for _ in range(RUNS))
+    lot = median(_seconds(sample, F.lit(True), many) for _ in range(RUNS))
+    return few, max(lot - few, 1e-4) / (rows * many)
+
+
+def cost_of(sample: DataFrame, rows: int, column: Column, idle: tuple[float, float]) -> float:
+    """Seconds that a condition takes a row: rows are repeated until a job takes ``JOB_SECONDS``; the median of ``RUNS`` such jobs
+    less what they would take without the condition. What is lost in the noise of that counts as a share of it."""
+    repeats = 1
+    while (seconds := _seconds(sample, column, repeats)) < JOB_SECONDS + idle[0] and rows * repeats < MOST_ROWS:
+        repeats = min(max(2 * repeats, int(1.3 * repeats * JOB_SECONDS / max(seconds - idle[0], 1e-3))), 64 * repeats, MOST_ROWS // rows + 1)
+    work = median([seconds, *(_seconds(sample, column, repeats) for _ in range(RUNS - 1))])
+    empty = idle[0] + idle[1] * rows * repeats
+    return max(work - empty, NOISE * empty) / (rows * repeats)
 
 
 def measure(sample: DataFrame, rules: list[Rule]) -> list[Measured]:
-    """Cost (seconds a row, over an empty scan) and rejection rate of each rule on the sample."""
-    rows = max(1, sample.count())
-
-    def timed(column: Column) -> tuple[float, int]:
-        best, got = float("inf"), 0
-        for _ in range(2):
-            began = time.perf_counter()
-            got = sample.select(F.count_if(column).alias("n")).collect()[0]["n"]
-            best = min(best, time.perf_counter() - began)
-        return best, got
-
-    idle, _ = timed(F.lit(False))
-    out = []
-    for rule in rules:
-        seconds, n = timed(rule.reject)
-        out.append(Measured(rule, max(seconds - idle, 1e-5) / rows, n / rows))
+    """Cost (seconds a row) and rejection rate of each rule on the sample. The rates come from one job."""
+    if not rules:
+        return []
+    got = sample.agg(F.count("*"), *[F.count_if(r.reject) for r in rules]).first()
+    rows = max(1, got[0])
+    idle = idle_cost(sample, rows)
+    return [Measured(rule, cost_of(sample, rows, rule.reject, idle), n / rows) for rule, n in zip(rules, got[1:], strict=True)]
+
+
+def by_gain(measured: list[Measured]) -> list[Measured]:
+    """Most rejections per cost first. Rules whose gains are within ``MARGIN`` of the best of them are a tie and keep the order
+    in which they were given, so that what a clock cannot tell apart does not change the order."""
+    out: list[Measured] = []
+    rest = list(measured)
+    while rest:
+        best = max(m.gain for m in rest)
+        tie = [m for m in rest if m.gain * MARGIN >= best]
+        out += tie
+        rest = [m for m in rest if m not in tie]
     return out
 
 
 def ordered(docs: DataFrame, rules: Callable[[], list[Rule]], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Measured]:
     """The rules of ``metrics_of`` rows in the order in which they should run; the order never changes a verdict.
 
-    About ``sample_rows`` rows are drawn by a hash of their id and written with their metrics; the rules are timed on that
-    table, so no text reaches the driver.
+    About ``sample_rows`` rows are drawn, each by itself, so equal ids do not come together; they are written with their
+    metrics and the rules are timed on that table, so no text reaches the driver.
     """
     n = docs.count()
     rate = int(min(1.0, sample_rows / max(1, n)) * 1_000_000)
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < rate)
+    # the row's number only serves the draw; the table that is written holds what was drawn
+    drawn = docs.withColumn("__row", F.monotonically_increasing_id()).where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col), F.length(text_col), F.col("__row")), F.lit(1_000_000)) < rate)
     sample = staged(metrics_of(drawn, id_col, text_col), "rules-sample")
-    measured = sorted(measure(sample, rules()), key=lambda m: (-m.gain, m.rule.name))
+    measured = by_gain(measure(sample, rules()))
     discard(sample)
     return measured
 
