@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import gram_hashes, staged, token_hashes, with_scores
+from tidemark.llm.common import drawn_texts, gram_hashes, staged, token_hashes, with_scores
 
 BITS = 20
 GRAMS = (1, 2, 3)
@@ -108,17 +108,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: list[int], bits:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Callable, id_col: str, text_col: str, rows: int, bits: int = BITS) -> tuple[list, list]:
-    """Vectors and labels of about ``rows`` labelled whole texts, drawn by a hash of the id, in an order that the rows fix.
+    """Vectors and labels of about ``rows`` labelled whole texts, drawn by a hash of id and text, equal ones once, in an order that the rows fix.
 
     N-grams are hashed and counted in the tasks; the driver gets places and counts, not texts.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & learn(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label).cast("int") > 0).cast("int")).alias("label"))
     known = staged(known, "quality-labels")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sizes = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    n = known.count()
-    rate = min(1.0, rows / max(1, n), TRAIN_CHARS / max(1, n * sizes["chars"] / max(1, sizes["n"])))
-    drawn = staged(known.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(rate * 1_000_000)), "quality-sample")
+    drawn = drawn_texts(texts.join(known, "id"), rows, TRAIN_CHARS, 11)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +126,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Callabl
             columns = [pa.array([r[k] for r in out], type=t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], names=["places", "counts", "tokens", "label"])
 
-    got = texts.join(drawn, "id").select("text", "label").mapInArrow(run, "places binary, counts binary, tokens long, label int").toArrow().to_pylist()
+    got = drawn.select("text", "label").mapInArrow(run, "places binary, counts binary, tokens long, label int").toArrow().to_pylist()
     got.sort(key=lambda r: (r["places"], r["counts"], r["label"]))
     return [(np.frombuffer(r["places"], np.int32), np.frombuffer(r["counts"], np.int32), r["tokens"]) for r in got], [r["label"] for r in got]
 

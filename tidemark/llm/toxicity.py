@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import staged, with_scores, word_stems
+from tidemark.llm.common import drawn_texts, staged, with_scores, word_stems
 
 #: Bounds of the training sample, by rows and by characters of all drawn texts: confirmed examples, and unlabelled texts.
 #: Both bound the rate at which rows are drawn; a drawn text counts whole, however long it is.
@@ -190,18 +190,13 @@ def training_features(texts: DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in sorted(found)]
 
 
-def draw_rate(rows: int, chars: int, most_rows: int, most_chars: int = SAMPLE_CHARS) -> int:
-    """Millionths of the rows to draw, so that about ``most_rows`` rows with ``most_chars`` characters come out, whatever their lengths."""
-    return int(min(1.0, most_rows / max(1, rows), most_chars / max(1, chars)) * 1_000_000)
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Callable, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", prior: float | None = None) -> DataFrame:
     """``docs`` with a struct column ``toxicity`` (score, predicted).
 
     Confirmed examples are texts of labelled rows of which ``learn(id)`` holds; unlabelled texts are drawn from all rows of
     which it holds, labels unseen, positives among them as the risk assumes. ``prior`` is the share of toxic texts, by
-    default the share among the learnable labels. Both samples are drawn by a hash of the id, bounded by POSITIVES,
-    UNLABELLED and SAMPLE_CHARS; the driver gets hashes, not texts. Null and empty texts hold no feature and get the
+    default the share among the learnable labels. Both samples are drawn by a hash of id and text, equal rows counting once,
+    and bounded by POSITIVES, UNLABELLED and SAMPLE_CHARS whatever ids repeat; the driver gets hashes, not texts. Null and empty texts hold no feature and get the
     offset's score. Null labels are ignored; several labels of one id count as their maximum. Repeated rows are scored each;
     an input column named ``toxicity`` is replaced.
     """
@@ -209,13 +204,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Callable, label: s
     known = staged(known, "toxicity-labels")
     seen = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learn(F.col("id")))
-    sizes = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    mean_chars = sizes["chars"] / max(1, sizes["n"])
-    drawn = lambda seed, rate: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < rate
-    confirmed = known.where((F.col("label") == 1) & drawn(5, draw_rate(seen["toxic"], int(seen["toxic"] * mean_chars), POSITIVES))).select("id")
-    confirmed = staged(confirmed, "toxicity-confirmed")  # some POSITIVES ids; broadcast only where its written size is under the session's threshold
-    positive = training_features(texts.join(confirmed, "id", "left_semi").select("text"))
-    unlabelled = training_features(texts.where(drawn(6, draw_rate(sizes["n"], sizes["chars"], UNLABELLED))).select("text"))
+    confirmed = texts.join(known.where("label = 1").select("id"), "id", "left_semi")
+    positive = training_features(drawn_texts(confirmed, POSITIVES, SAMPLE_CHARS, 5).select("text"))
+    unlabelled = training_features(drawn_texts(texts, UNLABELLED, SAMPLE_CHARS, 6).select("text"))
     share = prior if prior is not None else seen["toxic"] / max(1, seen["n"])
     model = docs.sparkSession.sparkContext.broadcast(fit(positive, unlabelled, share))
 
