@@ -90,6 +90,18 @@ def test_rows_with_one_id_all_count_as_in_sql(spark, tmp_path):
         assert sorted(tuple(r) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e9])
+def test_wide_numbers_travel_whole(spark, scale):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(np.float32(x * scale)) for x in rng.normal(size=3)]) for i in range(200)]
+    df = spark.createDataFrame([(*r, 1, 2, "s", "d") for r in rows], SCHEMA)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 3, shard_rows=32, block_rows=2).collect()}
+    if scale < 1e9:  # products of larger ones pass 64 bits
+        vectors = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(np.int64) for i, v in rows}
+        assert got == plain_top(vectors, [0, 50, 100, 150], 3)
+    assert [topk._narrow(np.array([x])).itemsize for x in (0, 1 << 15, 1 << 40, -(1 << 15))] == [2, 4, 8, 2]
+
+
 def test_regions_are_skipped_by_their_boxes(spark):
     rng = np.random.default_rng(9)
     rows = [(g * 400 + i, [float(x) for x in (np.eye(8)[g] * 40 + rng.normal(size=8)) / 8]) for g in range(8) for i in range(400)]
@@ -98,8 +110,10 @@ def test_regions_are_skipped_by_their_boxes(spark):
     trees = topk.build_index(clean, shard_rows=100)
     boxes = topk.region_boxes(trees)
     assert len(boxes[8].names) >= 16 and boxes[8].trees.sum() == trees.count()
-    asked = clean.where("asks").select("row", "id", "v", "dim", F.lit(0).cast("long").alias("block"), F.lit(1_000_000.0).alias("floor"))
-    pairs, whole = topk.visits(asked, boxes, False).count(), asked.count() * len(boxes[8].names)
+    asked = clean.where("asks").select("row", "id", "v", "dim", F.lit(0).cast("long").alias("block"), F.lit(1_000_000.0).alias("floor"), F.lit(-1).cast("long").alias("home_region"), F.lit(0).cast("long").alias("home_tree"))
+    sent = topk.visits(asked, boxes, False).select((F.length("rows") / 8).alias("n"), F.length("v").alias("bytes"), "width").collect()
+    pairs, whole = sum(r["n"] for r in sent), asked.count() * trees.count()
+    assert {r["width"] for r in sent} == {2} and sum(r["bytes"] for r in sent) == pairs * 8 * 2  # two bytes for each number
     assert asked.count() <= pairs < 0.75 * whole  # boxes far from a query are not visited
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=100).collect()}
     vectors = {i: np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(np.int64) for i, v in rows}

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import mix64, staged
 
 SCALE = 256
 LEAF = 128
@@ -255,43 +255,93 @@ def region_boxes(trees: DataFrame) -> dict[int, Regions]:
     return {d: Regions(*(np.array(x) for x in zip(*sorted(rows), strict=True))) for d, rows in out.items()}
 
 
+_PACKED = "dim int, block long, region long, tree long, width int, rows binary, ids binary, v binary, floors binary, homes binary"
+
+
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes as they need."""
+    for kind in (np.int16, np.int32):
+        if not v.size or (v.min() >= np.iinfo(kind).min and v.max() <= np.iinfo(kind).max):
+            return v.astype(kind)
+    return v
+
+
 def _search(asked: DataFrame, trees: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """(row, query_id, vec_id, score) of each (query, tree) that meet on dim, region and tree; a group is one tree and one block of queries."""
+    """(row, query_id, vec_id, score) of packed queries (``visits``) in their trees; a group is one tree and one block of queries."""
     keys = ["dim", "region", "tree", "block"]
     schema = "row long, query_id long, vec_id long, score long"
     spread = trees.drop("box_low", "box_high").join(blocks.withColumnRenamed("dim", "of"), F.col("dim") == F.col("of")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("of", "blocks")
 
     def run(queries: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(own):
-            return pd.DataFrame({c: [] for c in ("row", "query_id", "vec_id", "score")}).astype("int64")
-        q, row, ids = _points(queries["v"]), queries["row"].to_numpy(np.int64), queries["id"].to_numpy(np.int64)
-        got = _unpack(own.iloc[0], q.shape[1]).search(q, row, queries["floor"].to_numpy(np.float64), k)
-        rows = [(int(r), int(i), -v, s) for r, i, best in zip(row, ids, got, strict=True) for s, v in best]
+        rows: list[tuple] = []
+        if len(queries) and len(own):
+            tree = _unpack(own.iloc[0], int(queries["dim"].iloc[0]))
+            for p in queries.itertuples():
+                row, ids, homes, floor = (np.frombuffer(x, t) for x, t in ((p.rows, np.int64), (p.ids, np.int64), (p.homes, np.int64), (p.floors, np.float64)))
+                q = np.frombuffer(p.v, f"i{p.width}").reshape(len(row), -1).astype(np.int64)
+                new = homes != p.tree  # a query has been in its first tree
+                if new.any():
+                    got = tree.search(q[new], row[new], floor[new], k)
+                    rows += [(int(r), int(i), -v, s) for r, i, best in zip(row[new], ids[new], got, strict=True) for s, v in best]
         return pd.DataFrame(rows, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
 
     return asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(run, schema)
 
 
 def visits(queries: DataFrame, regions: dict[int, Regions], nearest: bool) -> DataFrame:
-    """(row, id, v, dim, region, trees, floor) of the regions that each query visits: the one with the highest bound, or all whose bound reaches its floor."""
+    """Queries packed by the tree that they visit, one row for each tree and step: of the region with the highest bound one
+    tree, by a hash of the row, or all trees of the regions whose bound reaches the query's floor.
+
+    A vector travels in as few bytes as its numbers need. ``homes`` is a query's first tree where that is in the region of the
+    row, else -1: it is not searched again.
+    """
     shared = queries.sparkSession.sparkContext.broadcast(regions)
-    step = 256
+    step = 1024
+
+    def packed(own: pd.DataFrame, v: np.ndarray, at: np.ndarray, region: int, tree: int, homes: np.ndarray) -> dict:
+        part = own.iloc[at]
+        small = _narrow(v[at])
+        columns = {"rows": part["row"].to_numpy(np.int64), "ids": part["id"].to_numpy(np.int64), "v": small, "floors": part["floor"].to_numpy(np.float64), "homes": homes}
+        return {"dim": v.shape[1], "block": part["block"].iloc[0], "region": region, "tree": tree, "width": small.dtype.itemsize} | {c: np.ascontiguousarray(x).tobytes() for c, x in columns.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for dim, whole in batch.groupby("dim"):
-                known = shared.value[dim]
+            for (dim, _), whole in batch.groupby(["dim", "block"]):
+                known, out = shared.value[dim], []
                 for a in range(0, len(whole), step):
                     own = whole.iloc[a : a + step]
-                    bounds = known.bounds(_points(own["v"]))
+                    v = _points(own["v"])
+                    bounds = known.bounds(v)
                     if nearest:
-                        at, region = np.arange(len(own)), bounds.argmax(axis=1)
-                    else:
-                        at, region = np.nonzero(bounds >= own["floor"].to_numpy(np.float64)[:, None])
-                    out = own.iloc[at].reset_index(drop=True)
-                    yield out.assign(region=known.names[region], trees=known.trees[region])[["row", "id", "v", "dim", "block", "floor", "region", "trees"]]
+                        best = bounds.argmax(axis=1)
+                        tree = (mix64(own["row"].to_numpy(np.int64).view(np.uint64)) % known.trees[best].astype(np.uint64)).astype(np.int64)
+                        for r, t in sorted(set(zip(best.tolist(), tree.tolist(), strict=True))):
+                            at = np.flatnonzero((best == r) & (tree == t))
+                            out.append(packed(own, v, at, int(known.names[r]), t, np.full(len(at), -1)))
+                        continue
+                    reached = bounds >= own["floor"].to_numpy(np.float64)[:, None]
+                    home_region, home_tree = own["home_region"].to_numpy(np.int64), own["home_tree"].to_numpy(np.int64)
+                    for r in np.flatnonzero(reached.any(axis=0)).tolist():
+                        at = np.flatnonzero(reached[:, r])
+                        homes = np.where(home_region[at] == known.names[r], home_tree[at], -1)
+                        for t in range(int(known.trees[r])):
+                            if (homes != t).any():
+                                out.append(packed(own, v, at[homes != t], int(known.names[r]), t, homes[homes != t]))
+                if out:
+                    yield pd.DataFrame(out)
+
+    return queries.mapInPandas(run, _PACKED)
+
+
+def _homes(packed: DataFrame) -> DataFrame:
+    """(of, home_region, home_tree) of packed queries."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p in batch.itertuples():
+                yield pd.DataFrame({"of": np.frombuffer(p.rows, np.int64), "home_region": p.region, "home_tree": p.tree})
 
-    return queries.mapInPandas(run, "row long, id long, v array<long>, dim int, block long, floor double, region long, trees long")
+    return packed.select("rows", "region", "tree").mapInPandas(run, "of long, home_region long, home_tree long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, regions: int = REGIONS) -> DataFrame:
@@ -309,14 +359,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     none = float("-inf")
     queries = asks.select("row", "id", "v", "dim").join(blocks.withColumnRenamed("dim", "of"), F.col("dim") == F.col("of"))
     queries = staged(queries.select("row", "id", "v", "dim", F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).alias("block"), F.lit(none).alias("floor")), "topk-queries")
-    home = staged(visits(queries, boxes, True).withColumn("tree", F.pmod(F.xxhash64("row", F.lit(3)), F.col("trees"))), "topk-homes")
+    home = staged(visits(queries, boxes, True), "topk-homes")
     near = staged(_search(home, trees, blocks, k), "topk-near")
-    kth = near.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(none).alias("kth"))
-    kth = staged(home.select("row", F.col("region").alias("home_region"), F.col("tree").alias("home_tree")).join(kth, "row", "left").withColumnRenamed("row", "of"), "topk-bounds")
-    bounded = queries.drop("floor").join(kth, F.col("row") == F.col("of")).select("row", "id", "v", "dim", "block", F.coalesce("kth", F.lit(none)).alias("floor"))
-    others = visits(bounded, boxes, False).withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("trees") - 1)))
-    others = others.join(kth.select("of", "home_region", "home_tree"), F.col("row") == F.col("of")).where((F.col("region") != F.col("home_region")) | (F.col("tree") != F.col("home_tree")))
-    far = _search(others.select("row", "id", "v", "dim", "region", "tree", "block", "floor"), trees, blocks, k)
+    kth = near.groupBy(F.col("row").alias("found")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(none).alias("kth"))
+    kth = staged(_homes(home).join(kth, F.col("of") == F.col("found"), "left").drop("found"), "topk-bounds")
+    bounded = queries.drop("floor").join(kth, F.col("row") == F.col("of")).select("row", "id", "v", "dim", "block", F.coalesce("kth", F.lit(none)).alias("floor"), "home_region", "home_tree")
+    far = _search(visits(bounded, boxes, False), trees, blocks, k)
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id").asc())
     best = near.unionByName(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
