@@ -137,7 +137,7 @@ def test_sessions_cover_every_event_once(spark):
 def test_source_buckets(spark):
     cases = [("https://m.search.naver.com/x", "", "naver"), ("", "", "direct"), ("https://www.some.org/a", "", "some.org"), ("x", " News ", "news"), (None, None, "direct"), ("nonsense", None, "other")]
     df = spark.createDataFrame([(i, r, u) for i, (r, u, _) in enumerate(cases)], "i int, r string, u string")
-    assert [r[0] for r in df.orderBy("i").select(traffic.source_bucket(F.col("r"), F.col("u"))).collect()] == [w for *_, w in cases]
+    assert [r[0] for r in df.orderBy("i").select(traffic.source_bucket(F.col("r"), F.col("u"), "own.org", "preview.own.net")).collect()] == [w for *_, w in cases]
 
 
 def test_rotation_walks_through_the_pool(spark):
@@ -148,10 +148,29 @@ def test_rotation_walks_through_the_pool(spark):
     assert ranking.slot_of(0) == 0 and ranking.slot_of(15 * 3_600_000) == 2
 
 
+def test_streaks_of_a_hot_key(spark):
+    """A third of all rows under one key: the run since its last break is counted without a window."""
+    v = [("hot", i, "x" if i > 900 or i % 7 else "y") for i in range(2000)] + [(f"k{i % 200}", i, "xy"[i // 200 % 2]) for i in range(4000)] + [(None, 1, "x")]
+    df = spark.createDataFrame(v, "job string, t int, f string").repartition(5)
+    got = {r["job"]: (r["value"], r["repeats"]) for r in ranking.streak(df, "job", ["t"], F.col("f"), 1).collect()}
+    assert got == {"hot": ("x", 2000 - 897), **{f"k{i}": ("y", 1) for i in range(200)}}
+    plan = ranking.streak(df, "job", ["t"], F.col("f"), 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_not_in_is_certain_or_nothing(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    values = lambda *v: spark.createDataFrame([(x,) for x in v], "x int")
+    got = [sorted((r["k"] for r in merge.not_in(df, "k", values(*v), "x").collect()), key=str) for v in ((), (1,), (1, None), (7,))]
+    assert got == [[1, 2, None], [2], [], [1, 2]]
+    plan = merge.not_in(df, "k", values(1), "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "isnull" not in plan.lower().replace("isnotnull", "")
+
+
 def test_streaks_break_on_null(spark):
     v = [("a", 1, "x"), ("a", 2, None), ("a", 3, "x"), ("a", 4, "x"), ("b", 1, "x"), ("b", 2, None)]
     df = spark.createDataFrame(v, "job string, t int, f string")
-    assert rows(ranking.streak(df, "job", [F.desc("t")], F.col("f"), 1), "job", "value", "repeats") == [("a", "x", 2)]
+    assert rows(ranking.streak(df, "job", ["t"], F.col("f"), 1), "job", "value", "repeats") == [("a", "x", 2)]
 
 
 def test_fusion_prefers_rows_high_in_both_lists(spark):

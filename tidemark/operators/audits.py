@@ -82,9 +82,9 @@ def fingerprint(entries: DataFrame, *columns: str) -> DataFrame:
     return entries.agg(F.count("*").alias("rules"), F.md5(F.concat_ws("|", F.count("*"), F.sum(number)).cast("binary")).alias("fingerprint"))
 
 
-def list_changes(before: DataFrame, after: DataFrame, page: str, members: str) -> DataFrame:
-    """(page, member, change) of members that lists on pages gained or lost; each list is an array column."""
-    old, new = (d.select(page, F.explode(members).alias("member")).distinct() for d in (before, after))
+def list_changes(before: DataFrame, after: DataFrame, page: str, member: str) -> DataFrame:
+    """(page, member, change) of members that pages gained or lost; both states are rows of page and member, repeats do not matter."""
+    old, new = (d.select(page, F.col(member).alias("member")).distinct() for d in (before, after))
     gone = old.join(new, [page, "member"], "left_anti").withColumn("change", F.lit("lost"))
     return gone.unionByName(new.join(old, [page, "member"], "left_anti").withColumn("change", F.lit("gained")))
 

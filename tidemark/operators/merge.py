@@ -37,6 +37,17 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
 
 
+def not_in(df: DataFrame, key: str, values: DataFrame, value: str) -> DataFrame:
+    """Rows of ``df`` as SQL's NOT IN gives them: none if the list holds a null, all if it is empty, else those with a key that it
+    does not hold. One aggregate tells which; the rest is a plain anti join, so the list is never sent whole."""
+    got = values.agg(F.count("*").alias("n"), F.count_if(F.col(value).isNull()).alias("nulls")).first()
+    if got["nulls"]:
+        return df.limit(0)
+    if not got["n"]:
+        return df
+    return df.where(F.col(key).isNotNull()).join(values.select(F.col(value).alias("__value")), F.col(key) == F.col("__value"), "left_anti")
+
+
 def update_columns(old: DataFrame, values: DataFrame, keys: list[str], allowed: frozenset[str]) -> DataFrame:
     """Bulk update of derived columns from a table of values; a column outside ``allowed`` is an error."""
     changed = [c for c in values.columns if c not in keys]

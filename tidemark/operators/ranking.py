@@ -96,9 +96,21 @@ def best_lift(df: DataFrame, group: str, axes: list[str], least_rows: int = 3, l
     return df.select("*", F.when(ok, best["axis"]).alias("best_axis"), F.when(ok, best["lift"]).alias("lift"))
 
 
-def streak(df: DataFrame, key: str, at: list[Column], value: Column, least: int) -> DataFrame:
-    """(key, value, repeats): the run of equal values that ends with the latest row of each key; null is a value that breaks a run."""
-    w = Window.partitionBy(key).orderBy(*at)
-    marked = df.withColumn("v", value).withColumn("rn", F.row_number().over(w)).withColumn("latest", F.first("v").over(w))
-    run = marked.withColumn("broke", F.sum(F.when(F.col("v").eqNullSafe(F.col("latest")), 0).otherwise(1)).over(w))
-    return run.where((F.col("broke") == 0) & F.col("latest").isNotNull()).groupBy(key, F.col("latest").alias("value")).agg(F.count("*").alias("repeats")).where(F.col("repeats") >= least)
+def since_last(df: DataFrame, key: str, at: list[str], breaks: Column) -> DataFrame:
+    """The rows of each key that come after its last row that ``breaks``, by the columns ``at``, which should be total.
+
+    Where a key's last break lies is an aggregate, so tasks combine rows before they are shuffled and no task has to hold a
+    key's rows in order. Null keys are left out.
+    """
+    last = df.groupBy(key).agg(F.max(F.when(breaks, F.struct(*at))).alias("__last"))
+    return df.join(last, key).where(F.col("__last").isNull() | (F.struct(*at) > F.col("__last"))).drop("__last")
+
+
+def streak(df: DataFrame, key: str, at: list[str], value: Column, least: int) -> DataFrame:
+    """(key, value, repeats): the run of equal values that ends with the latest row of each key by the columns ``at``; null is a
+    value that breaks a run. Two aggregates and no window: a key may have any number of rows."""
+    marked = df.select(key, *at, value.alias("v"))
+    latest = marked.groupBy(key).agg(F.max_by("v", F.struct(*at)).alias("latest"))
+    met = marked.join(latest.where("latest IS NOT NULL"), key)
+    run = since_last(met, key, at, ~F.col("v").eqNullSafe(F.col("latest")))
+    return run.groupBy(key, F.col("latest").alias("value")).agg(F.count("*").alias("repeats")).where(F.col("repeats") >= least)

@@ -209,8 +209,8 @@ def rules_fingerprint(spark, sf):
     f"""WITH {PLACES}, a AS (SELECT area, id FROM places WHERE "count" >= 20), b AS (SELECT area, id FROM places WHERE "count" >= 23 OR "count" = 3) SELECT area, id AS member, 'lost' AS change FROM a WHERE (area, id) NOT IN (SELECT (area, id) FROM b) UNION ALL SELECT area, id, 'gained' FROM b WHERE (area, id) NOT IN (SELECT (area, id) FROM a)""",
 )
 def list_changes(spark, sf):
-    lists = lambda c: places(spark, sf).where(c).groupBy("area").agg(F.collect_set("id").alias("ids"))
-    return audits.list_changes(lists("`count` >= 20"), lists("`count` >= 23 OR `count` = 3"), "area", "ids")
+    p = places(spark, sf).select("area", "id", "count")
+    return audits.list_changes(p.where("`count` >= 20"), p.where("`count` >= 23 OR `count` = 3"), "area", "id")
 
 
 @query(
@@ -310,8 +310,8 @@ def fallback_fill(spark, sf):
 def vector_top_in_area(spark, sf):
     """The known region's rows are filtered before any similarity is computed, so the cut to 80 is among them alone."""
     e = load(spark, sf, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    near = e.where("label = 3").crossJoin(F.broadcast(q)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 5).alias("sim"))  # one row
+    q = e.where("vec_id = 0").orderBy(F.hash("embedding")).limit(1).select(F.col("embedding").alias("q"))  # one row, whatever ids repeat
+    near = e.where("label = 3").crossJoin(F.broadcast(q)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 5).alias("sim"))
     return near.orderBy(F.desc("sim"), "vec_id").limit(80)
 
 

