@@ -46,6 +46,49 @@ def link_owner(rows: DataFrame, link: str, owner: str, hit: Column, name: str, s
     return each.join(best, link).select(link, owner, (F.col(owner) == -F.col("w.o")).alias("keeps"))
 
 
+def strangers(rows: DataFrame, link: str, owner: str, words: Column) -> DataFrame:
+    """(link, owner) of owners that share a link with others but no distinctive word of a name with any of them.
+
+    ``words`` is an array for each row. Owners are counted by link and word, so a link of very many owners makes no pairs.
+    """
+    known = rows.where(F.col(link).isNotNull()).select(link, owner, words.alias("__words")).distinct()
+    groups = known.groupBy(link).agg(F.count_distinct(owner).alias("n")).where("n > 1").select(link)
+    members = known.join(groups, link)
+    flat = members.select(link, owner, F.explode("__words").alias("word")).distinct()
+    shared = flat.groupBy(link, "word").agg(F.count("*").alias("n")).where("n > 1").select(link, "word")
+    akin = flat.join(shared, [link, "word"]).select(link, owner).distinct()
+    return members.select(link, owner).distinct().join(akin, [link, owner], "left_anti")
+
+
+VERDICT = "struct<i:int,about:boolean,helpful:boolean,listicle:boolean,adStyle:boolean,depth:double>"
+
+
+def verdicts_in(answer: Column) -> Column:
+    """The verdicts that an answer holds, as an array: whole objects in order, whether in a list, alone or in a list that is cut off."""
+    each = F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(r"\{[^{}]*\}"), F.lit(0)), lambda t: F.from_json(t, VERDICT))
+    return F.filter(each, lambda v: v["i"].isNotNull())
+
+
+def decisions(items: DataFrame, answers: DataFrame, batch: str, answer: str) -> DataFrame:
+    """``items`` (batch, i, ...) with decision, depth, ad and listicle from the answer of their batch.
+
+    An item counts if its text is about the place and helpful and no mere list. Items without a verdict stay undecided (null),
+    so that the rules' own verdict holds. Of several verdicts of an item the last counts.
+    """
+    flat = answers.select(batch, F.posexplode(verdicts_in(F.col(answer))).alias("no", "v")).groupBy(batch, F.col("v.i").alias("i")).agg(F.max_by("v", "no").alias("v"))
+    fine = F.coalesce(F.col("v.about"), F.lit(False)) & F.coalesce(F.col("v.helpful"), F.lit(False)) & ~F.coalesce(F.col("v.listicle"), F.lit(False))
+    out = items.join(flat, [batch, "i"], "left")
+    return out.select(*items.columns, F.when(F.col("v").isNotNull(), fine).alias("decision"), F.col("v.depth").alias("depth"), F.col("v.adStyle").alias("ad"), F.col("v.listicle").alias("listicle"))
+
+
+def decision_summary(decided: DataFrame, batch: str) -> DataFrame:
+    """(batch, answered, unanswered, kept, ads, lists, depth) of decided items."""
+    answered = F.col("decision").isNotNull()
+    return decided.groupBy(batch).agg(
+        F.count_if(answered).alias("answered"), F.count_if(~answered).alias("unanswered"), F.count_if("decision").alias("kept"), F.count_if("ad").alias("ads"), F.count_if("listicle").alias("lists"), F.avg("depth").alias("depth")
+    )
+
+
 def to_recheck(current: DataFrame, history: list[DataFrame], key: str, changed: str, passes: Column) -> DataFrame:
     """(key, decided) of excluded rows, decided before the latest change of any policy, that pass now.
 

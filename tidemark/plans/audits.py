@@ -191,6 +191,50 @@ def parsed_verdicts(spark, sf):
     return audits.parsed_verdicts(load(spark, sf, "documents").select("doc_id", answer.alias("answer")), "doc_id", "answer")
 
 
+_BATCH = 12
+_OBJECT = """'{"i":' || doc_id % 12 || ',"about":' || contains(text, 'the ') || ',"helpful":' || (length(text) > 600) || ',"listicle":' || contains(text, ' | ') || ',"adStyle":' || (doc_id % 9 = 0) || ',"depth":' || doc_id % 4 || '}'"""
+_DECIDED = f"""t AS (SELECT doc_id, doc_id // {_BATCH} AS batch, coalesce(text, '') AS text FROM documents),
+  a AS (SELECT batch, left(CASE WHEN batch % 5 = 0 THEN '' ELSE 'Here: [' END || string_agg({_OBJECT}, ', ' ORDER BY doc_id), CASE WHEN batch % 4 = 0 THEN 330 ELSE 100000 END) AS answer FROM t WHERE doc_id % 17 <> 0 GROUP BY 1),
+  o AS (SELECT batch, unnest(regexp_extract_all(answer, '\\{{[^{{}}]*\\}}')) AS o FROM a),
+  d AS (SELECT batch, regexp_extract(o, '"i":([0-9]+)', 1)::INTEGER AS i, contains(o, '"about":true') AND contains(o, '"helpful":true') AND NOT contains(o, '"listicle":true') AS decision, contains(o, '"adStyle":true') AS ad, contains(o, '"listicle":true') AS listicle, regexp_extract(o, '"depth":([0-9]+)', 1)::DOUBLE AS depth FROM o),
+  decided AS (SELECT doc_id, t.batch, decision, ad, listicle, depth FROM t LEFT JOIN d ON d.batch = t.batch AND d.i = doc_id % {_BATCH})"""
+
+
+def _decided(spark, sf):
+    """Documents in batches of twelve with answers about them, some cut off, some without a list, some items left out."""
+    i, text = F.col("doc_id"), F.col("text")
+    t = load(spark, sf, "documents").select("doc_id", F.floor(i / _BATCH).cast("long").alias("batch"), (i % _BATCH).cast("int").alias("i"), F.coalesce("text", F.lit("")).alias("text"))
+    said = lambda name, v: F.concat(F.lit(f',"{name}":'), v.cast("string"))
+    one = F.concat(F.lit('{"i":'), F.col("i"), said("about", text.contains("the ")), said("helpful", F.char_length(text) > 600), said("listicle", text.contains(" | ")), said("adStyle", i % 9 == 0), said("depth", i % 4), F.lit("}"))
+    listed = t.where(i % 17 != 0).groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("doc_id", one.alias("o")))).alias("os"))  # a batch has twelve items
+    answer = F.concat(F.when(F.col("batch") % 5 == 0, "").otherwise("Here: ["), F.array_join(F.transform("os", lambda x: x["o"]), ", "))
+    answers = listed.select("batch", F.when(F.col("batch") % 4 == 0, F.left(answer, F.lit(330))).otherwise(answer).alias("answer"))
+    return audits.decisions(t.drop("text"), answers, "batch", "answer")
+
+
+@query("verdict_decisions", f"WITH {_DECIDED} SELECT doc_id, decision, depth FROM decided")
+def verdict_decisions(spark, sf):
+    return _decided(spark, sf).select("doc_id", "decision", "depth")
+
+
+@query("verdict_summary", f"WITH {_DECIDED} SELECT batch, count(decision) AS answered, count(*) - count(decision) AS unanswered, count(*) FILTER (WHERE decision) AS kept, count(*) FILTER (WHERE ad) AS ads, count(*) FILTER (WHERE listicle) AS lists, round(avg(depth), 6) AS depth FROM decided GROUP BY 1")
+def verdict_summary(spark, sf):
+    return audits.decision_summary(_decided(spark, sf), "batch").withColumn("depth", F.round("depth", 6))
+
+
+@query(
+    "link_strangers",
+    r"""WITH r AS (SELECT DISTINCT 'post/' || (doc_id // 3 % 500) AS link, source AS owner, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t\n]+'), lambda w: w <> '')[1:4] AS ws FROM documents),
+    g AS (SELECT link FROM r GROUP BY 1 HAVING count(DISTINCT owner) > 1), m AS (SELECT r.* FROM r JOIN g USING (link)), f AS (SELECT DISTINCT link, owner, unnest(ws) AS word FROM m), s AS (SELECT link, word FROM f GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT DISTINCT link, owner FROM m WHERE (link, owner) NOT IN (SELECT (link, owner) FROM f JOIN s USING (link, word))""",
+)
+def link_strangers(spark, sf):
+    """Sources that share a link but no word of their titles with any other source of it."""
+    words = F.slice(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \t\n]+"), lambda w: w != ""), 1, 4)
+    r = load(spark, sf, "documents").select(F.concat(F.lit("post/"), (F.floor(F.col("doc_id") / 3) % 500).cast("long")).alias("link"), F.col("source").alias("owner"), words.alias("words"))
+    return audits.strangers(r, "link", "owner", F.col("words"))
+
+
 @query(
     "rule_gaps",
     """WITH w AS (SELECT source, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '(?:^|[^a-z])([a-z]{5,9}ing)', 1))) AS word FROM documents) SELECT word, count(DISTINCT source) AS owners, count(*) AS texts FROM w WHERE word NOT IN ('thating', 'ndering') GROUP BY 1 HAVING count(DISTINCT source) >= 3""",

@@ -76,17 +76,21 @@ def quote_confidence(spark, sf):
 #: A small example of a gazetteer: provinces with their districts, and what addresses of a province begin with.
 GAZETTEER = [("서울", "강남구"), ("서울", "중구"), ("서울", "강동구"), ("부산", "중구"), ("부산", "해운대구"), ("경기", "수원시"), ("경기", "광주시"), ("광주", "북구"), ("전남", "여수시"), ("대구", "북구")]
 PREFIXES = [("서울", "서울"), ("부산", "부산"), ("경기", "경기"), ("광주광역시", "광주"), ("전라남도", "전남"), ("전남", "전남"), ("대구", "대구")]
-ADDRESSES = (
-    "서울특별시 강남구 역삼동 12", "서울 중구 명동2가 3-1", "부산광역시 중구 남포동", "경기도 광주시 오포읍 1", "광주광역시 북구 용봉동 7", "여수시 화양면 22",
-    "강동구 천호동 5", "북구 산격동 1", "서울특별시 서구 없는동", "해운대구 우동, 9", "전라남도 여수시 돌산읍", "no address", "",
-)
-_ADDRESSES = f"addresses AS (SELECT c_custkey AS id, ({list(ADDRESSES)!r})[c_custkey % {len(ADDRESSES)} + 1] AS address FROM customer)"
+#: Parts of addresses: a customer's key and nation choose one of each, so addresses are as many as customers.
+_HEADS = ("서울특별시", "부산광역시", "경기도", "광주광역시", "전라남도", "", "대구광역시", "Seoul", "서울")
+_DISTRICTS = ("강남구", "중구", "강동구", "해운대구", "수원시", "광주시", "북구", "여수시", "서구", "")
+_DONG_NAMES = ("역삼동", "명동2가", "남포동", "오포읍", "용봉동", "화양면", "", "천호1동")
+_PICK = lambda items, n: f"({list(items)!r})[{n} % {len(items)} + 1]"
+_ADDRESSES = f"addresses AS (SELECT c_custkey AS id, trim(concat_ws(' ', {_PICK(_HEADS, 'c_nationkey')}, {_PICK(_DISTRICTS, 'c_custkey')}, {_PICK(_DONG_NAMES, '(c_custkey // 10)')}, c_name)) AS address FROM customer)"
 _PROVINCE = "CASE " + " ".join(f"WHEN starts_with(trim(address), '{p}') THEN '{v}'" for p, v in PREFIXES) + " END"
 
 
 def addresses(spark, sf):
-    at = F.element_at(F.array(*[F.lit(a) for a in ADDRESSES]), (F.col("c_custkey") % len(ADDRESSES) + 1).cast("int"))
-    return load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), at.alias("address"))
+    """(id, address): each customer's own address."""
+    pick = lambda items, n: F.element_at(F.array(*[F.lit(x) for x in items]), (n % len(items) + 1).cast("int"))
+    k = F.col("c_custkey")
+    at = F.trim(F.concat_ws(" ", pick(_HEADS, F.col("c_nationkey")), pick(_DISTRICTS, k), pick(_DONG_NAMES, F.floor(k / 10)), "c_name"))
+    return load(spark, sf, "customer").select(k.alias("id"), at.alias("address"))
 
 
 @query("province_case", f"WITH {_ADDRESSES} SELECT {_PROVINCE} AS province, count(*) AS n FROM addresses GROUP BY 1")
@@ -107,8 +111,8 @@ def address_parts(spark, sf):
 
 
 _KINDS = [("province", {"서울": "서울", "부산": "부산"}), ("district", {"강남구": "강남구", "강남": "강남구", "해운대": "해운대구"}), ("dong", {"역삼": "역삼동", "역삼동": "역삼동", "우동": "우동"})]
-_SEARCHES = ("강남 조용한 카페", "서울 역삼동 디저트", "역삼카페 추천", "해운대맛집", "우동 국수", "quiet place", "강남구청역 카페", "")
-_Q_SQL = "searches AS (SELECT event_id AS id, string_split((" + repr(list(_SEARCHES)) + f")[event_id % {len(_SEARCHES)} + 1], ' ') AS ws FROM events)"
+_PLACES_SAID = ("강남", "서울", "역삼카페", "해운대맛집", "우동", "quiet", "강남구청역", "", "역삼동", "우동맛집")
+_Q_SQL = f"searches AS (SELECT doc_id AS id, string_split(concat_ws(' ', w[1], ({list(_PLACES_SAID)!r})[doc_id % {len(_PLACES_SAID)} + 1], w[2], ({list(_PLACES_SAID)!r})[doc_id // 7 % {len(_PLACES_SAID)} + 1]), ' ') AS ws FROM (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS w FROM documents))"
 
 
 @query(
@@ -119,9 +123,12 @@ _Q_SQL = "searches AS (SELECT event_id AS id, string_split((" + repr(list(_SEARC
     SELECT id, coalesce(e.hit, p.hit).kind AS kind, coalesce(e.hit, p.hit).region AS region FROM searches LEFT JOIN e USING (ws) LEFT JOIN p USING (ws)""",
 )
 def region_of_search(spark, sf):
-    text = F.element_at(F.array(*[F.lit(s) for s in _SEARCHES]), (F.col("event_id") % len(_SEARCHES) + 1).cast("int"))
-    found = names.region_of_query(F.split(text, " "), _KINDS, "카페|맛집")
-    return load(spark, sf, "events").select(F.col("event_id").alias("id"), found.alias("f")).select("id", "f.kind", "f.region")
+    """Searches made of words of each document with names of places between them."""
+    said = lambda n: F.element_at(F.array(*[F.lit(x) for x in _PLACES_SAID]), (n % len(_PLACES_SAID) + 1).cast("int"))
+    w, i = F.split(F.coalesce("text", F.lit("")), " "), F.col("doc_id")
+    words = F.split(F.concat_ws(" ", F.get(w, F.lit(0)), said(i), F.get(w, F.lit(1)), said(F.floor(i / 7))), " ")
+    found = names.region_of_query(words, _KINDS, "카페|맛집")
+    return load(spark, sf, "documents").select(i.alias("id"), found.alias("f")).select("id", "f.kind", "f.region")
 
 
 # ---------------------------------------------------------------- rules
