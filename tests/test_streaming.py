@@ -60,3 +60,16 @@ def test_rate_limit_opens_windows_with_their_first_event(spark, tmp_path):
     live = spark.readStream.schema("anon_id long, ts timestamp").parquet(f"{tmp_path}/r")
     got = run(stream.limited(live, 2), "s6").orderBy("ts").collect()
     assert [r["allowed"] for r in got] == [True, True, False, False, True, True]
+
+
+def test_rate_limit_orders_events_over_arrow_batches(spark, tmp_path):
+    """One visitor's events come in several Arrow batches, the later ones first."""
+    rows = [(1, T0 + dt.timedelta(seconds=s)) for s in range(59, -1, -1)]
+    spark.createDataFrame(rows, "anon_id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/r")
+    live = spark.readStream.schema("anon_id long, ts timestamp").parquet(f"{tmp_path}/r")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = run(stream.limited(live, 5), "s7").orderBy("ts").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["allowed"] for r in got] == [True] * 5 + [False] * 55

@@ -83,7 +83,10 @@ def inside_or_nearest(points: DataFrame, edges: DataFrame, district: str, at: tu
     held = inside(points, edges, at, key, polygon, cell).groupBy(key).agg(F.min(polygon).alias(polygon)).withColumn("found", F.lit("inside"))
     parts = [c for c in ("part",) if c in edges.columns]
     centres = shapes(edges, district, *parts, polygon=polygon).select(district, polygon, ((F.col("low_y") + F.col("high_y")) / 2).alias("cy"), ((F.col("low_x") + F.col("high_x")) / 2).alias("cx"))
-    far = F.pow(F.col("cx") - F.col(at[1]), 2) + F.pow(F.col("cy") - F.col(at[0]), 2)
-    lost = points.join(held.select(key), key, "left_anti").join(centres, district)
-    nearest = lost.groupBy(key).agg(F.min_by(polygon, F.struct(far, F.col(polygon))).alias(polygon)).withColumn("found", F.lit("nearest"))
+    # the centres of a district travel as one array, so a point stays one row however many polygons its district has
+    centres = centres.groupBy(F.col(district).alias("__of")).agg(F.collect_list(F.struct("cx", "cy", polygon)).alias("centres"))
+    lost = points.join(held.select(key), key, "left_anti").join(centres, F.col(district) == F.col("__of"))
+    far = lambda c: F.pow(c["cx"] - F.col(at[1]), 2) + F.pow(c["cy"] - F.col(at[0]), 2)
+    best = F.array_min(F.transform("centres", lambda c: F.struct(far(c).alias("far"), c[polygon].alias("polygon"))))
+    nearest = lost.select(key, best["polygon"].alias(polygon), F.lit("nearest").alias("found"))
     return held.unionByName(nearest)

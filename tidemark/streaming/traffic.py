@@ -52,15 +52,15 @@ def limited(visits: DataFrame, most: int = 5, seconds: int = 60, late: str = "10
             state.remove()
             return
         opened, n = state.get if state.exists else (None, 0)
-        for batch in batches:
-            batch, allowed = batch.sort_values("ts"), []
-            for ts in batch["ts"]:
-                at = ts.timestamp()
-                if opened is None or at >= opened + seconds:
-                    opened, n = at, 0
-                n += 1
-                allowed.append(n <= most)
-            yield pd.DataFrame({"anon_id": key[0], "ts": batch["ts"].to_numpy(), "allowed": allowed})
+        # moments of all the visitor's Arrow batches in one order: 8 bytes each
+        moments, allowed = pd.concat([batch["ts"] for batch in batches]).sort_values(), []
+        for ts in moments:
+            at = ts.timestamp()
+            if opened is None or at >= opened + seconds:
+                opened, n = at, 0
+            n += 1
+            allowed.append(n <= most)
+        yield pd.DataFrame({"anon_id": key[0], "ts": moments.to_numpy(), "allowed": allowed})
         if opened is not None:
             state.update((opened, n))
             state.setTimeoutTimestamp(max(int((opened + seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
