@@ -24,9 +24,29 @@ def test_a_hot_labelled_id_leaves_the_driver_bounded(spark, monkeypatch, equal):
     monkeypatch.setattr(toxicity, "POSITIVES", 200)
     monkeypatch.setattr(toxicity, "UNLABELLED", 300)
     seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda p, u, prior, fit=toxicity.fit: seen.append((len(p), len(u))) or fit(p, u, prior, 5, 5))
+    monkeypatch.setattr(toxicity, "mean_model", lambda p, u, prior, real=toxicity.mean_model: seen.append((len(p), u.count())) or real(p, u, prior))
     every = lambda i: F.lit(True)
     assert toxicity.score_toxicity(docs, labels, every).count() == 4000
     assert (seen[0][0] == 1 if equal else 120 < seen[0][0] < 300) and seen[0][1] < 420
     rows, known = quality_classifier.training_rows(docs, labels, "quality", every, "doc_id", "text", 200)
     assert len(rows) == len(known) < 300 and (not equal or len(rows) > 120)
+
+
+def test_the_mean_of_several_models(spark):
+    """More unlabelled texts give more models; what half of them have counts with the mean weight."""
+    words = [f"word{i}" for i in range(40)]
+    texts = [(i, " ".join(words[(i * k) % 40] for k in range(1, 9)) + (" awful" if i % 10 == 0 else "")) for i in range(900)]
+    positive = toxicity._rows(toxicity.with_features(spark.createDataFrame([(0, f"awful {words[i % 40]}") for i in range(60)], "deal long, text string")).toArrow().column("features"))
+    df = spark.createDataFrame([(i % 3, t) for i, t in texts], "deal long, text string")
+    got = toxicity.mean_model(positive, df, 0.1)
+    each = [toxicity.fit(positive, toxicity._rows(toxicity.with_features(df.where(F.col("deal") == d)).toArrow().column("features")), 0.1) for d in range(3)]
+    weight = {}
+    for m in each:
+        for k, w in zip(m.keys.tolist(), m.weights.tolist(), strict=True):
+            weight.setdefault(k, []).append(w)
+    want = {k: sum(w) / 3 for k, w in weight.items() if 2 * len(w) >= 3}
+    assert got.keys.tolist() == sorted(want) and got.weights.tolist() == pytest.approx([want[k] for k in sorted(want)])
+    assert got.offset == pytest.approx(sum(m.offset for m in each) / 3)
+    bad, fine = got.score(["so awful", "word1 word2"])
+    assert bad > fine
+    assert toxicity.mean_model(positive, df.where("deal > 9"), 0.1).offset == pytest.approx(toxicity.fit(positive, [], 0.1).offset)

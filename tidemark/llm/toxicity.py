@@ -23,10 +23,12 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import drawn_texts, staged, with_scores, word_stems
 
-#: Bounds of the training sample, by rows and by characters of all drawn texts: confirmed examples, and unlabelled texts.
+#: Bounds of the samples of one model, by rows and by characters of all drawn texts: confirmed examples, and unlabelled texts.
 #: Both bound the rate at which rows are drawn; a drawn text counts whole, however long it is.
 POSITIVES, UNLABELLED = 2000, 4000
 SAMPLE_CHARS = 12_000_000
+#: One unlabelled text in so many is drawn, and UNLABELLED at least; each UNLABELLED of them are one model's, whose mean counts.
+UNLABELLED_SHARE = 64
 #: Lengths in bytes of the word beginnings that are features, and the numbers of different words from which on they count.
 STEMS = (4, 5, 6, 7, 8)
 LEVELS = (1, 2, 3, 5)
@@ -176,18 +178,47 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(np.zeros(0, np.uint64), np.zeros(0), offset)
 
 
-def training_features(texts: DataFrame) -> list[np.ndarray]:
-    """The features of each text (one column), computed in the tasks; the driver gets 8 bytes for each, in an order that the rows fix."""
+def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(deal, text) to (deal, features): the sorted features of each text as bytes."""
+    for batch in batches:
+        owner, key = features(batch.column(1).to_pylist())
+        order = np.argsort(owner, kind="stable")
+        parts = np.split(key[order], np.searchsorted(owner[order], np.arange(1, batch.num_rows)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.sort(p).tobytes() for p in parts], type=pa.binary())], names=["deal", "features"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, key = features(batch.column(0).to_pylist())
-            order = np.argsort(owner, kind="stable")
-            parts = np.split(key[order], np.searchsorted(owner[order], np.arange(1, batch.num_rows)))
-            yield pa.RecordBatch.from_arrays([pa.array([np.sort(p).tobytes() for p in parts], type=pa.binary())], names=["features"])
 
-    found = texts.mapInArrow(run, "features binary").toArrow().column(0).to_pylist()
-    return [np.frombuffer(x, np.uint64) for x in sorted(found)]
+def with_features(texts: DataFrame) -> DataFrame:
+    """(deal, features) of (deal, text), computed in the tasks: 8 bytes for each feature instead of the text."""
+    return texts.select("deal", "text").mapInArrow(_features_of, "deal long, features binary")
+
+
+def _rows(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Feature arrays in an order that the rows themselves fix."""
+    return [np.frombuffer(x, np.uint64) for x in sorted(column.to_pylist())]
+
+
+def mean_model(positive: list[np.ndarray], unlabelled: DataFrame, prior: float) -> Model:
+    """The mean of one model for each deal of unlabelled texts (deal, text), all from the same confirmed examples.
+
+    Each is trained in a task of its own, so the unlabelled texts may be any number. Features that fewer than half of the
+    models have are left out: the driver gets no more than twice what one model holds.
+    """
+    shared = unlabelled.sparkSession.sparkContext.broadcast(positive)
+
+    def train(table: pa.Table) -> pa.Table:
+        model = fit(shared.value, _rows(table.column("features")), prior)
+        keys = pa.array([None, *model.keys.view(np.int64).tolist()], pa.int64())  # the row without a feature is the offset
+        return pa.table({"feature": keys, "weight": pa.array(np.r_[model.offset, model.weights])})
+
+    found = staged(with_features(unlabelled).groupBy("deal").applyInArrow(train, "feature long, weight double"), "toxicity-models")
+    n = found.where("feature IS NULL").count()
+    if not n:
+        return fit(positive, [], prior)
+    sums = found.groupBy("feature").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).where(2 * F.col("n") >= n).orderBy("feature").toArrow()
+    feature, weight = sums.column("feature").to_pylist(), sums.column("w").to_numpy() / n
+    keys = np.array([f for f in feature if f is not None], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return Model(keys[order], np.array([w for f, w in zip(feature, weight, strict=True) if f is not None])[order], float(weight[feature.index(None)]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Callable, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", prior: float | None = None) -> DataFrame:
@@ -196,7 +227,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Callable, label: s
     Confirmed examples are texts of labelled rows of which ``learn(id)`` holds; unlabelled texts are drawn from all rows of
     which it holds, labels unseen, positives among them as the risk assumes. ``prior`` is the share of toxic texts, by
     default the share among the learnable labels. Both samples are drawn by a hash of id and text, equal rows counting once,
-    and bounded by POSITIVES, UNLABELLED and SAMPLE_CHARS whatever ids repeat; the driver gets hashes, not texts. Null and empty texts hold no feature and get the
+    and bounded by POSITIVES, UNLABELLED and SAMPLE_CHARS for each model whatever ids repeat; there is one model for each
+    UNLABELLED of the unlabelled texts drawn, one text in UNLABELLED_SHARE. The driver gets hashes, not texts. Null and empty texts hold no feature and get the
     offset's score. Null labels are ignored; several labels of one id count as their maximum. Repeated rows are scored each;
     an input column named ``toxicity`` is replaced.
     """
@@ -205,10 +237,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Callable, label: s
     seen = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learn(F.col("id")))
     confirmed = texts.join(known.where("label = 1").select("id"), "id", "left_semi")
-    positive = training_features(drawn_texts(confirmed, POSITIVES, SAMPLE_CHARS, 5).select("text"))
-    unlabelled = training_features(drawn_texts(texts, UNLABELLED, SAMPLE_CHARS, 6).select("text"))
+    positive = _rows(with_features(drawn_texts(confirmed, POSITIVES, SAMPLE_CHARS, 5).withColumn("deal", F.lit(0).cast("long"))).toArrow().column("features"))
+    models = max(1, -(-texts.count() // (UNLABELLED * UNLABELLED_SHARE)))
+    unlabelled = drawn_texts(texts, UNLABELLED * models, SAMPLE_CHARS * models, 6).withColumn("deal", F.pmod(F.xxhash64("id", "text", F.lit(8)), F.lit(models)))
     share = prior if prior is not None else seen["toxic"] / max(1, seen["n"])
-    model = docs.sparkSession.sparkContext.broadcast(fit(positive, unlabelled, share))
+    model = docs.sparkSession.sparkContext.broadcast(mean_model(positive, unlabelled, share))
 
     def scorer() -> Callable[[list], list[np.ndarray]]:
         def score(batch: list) -> list[np.ndarray]:
