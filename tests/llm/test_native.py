@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, duck, name):
     names = [d[0] for d in result.description]
     order = sorted(range(len(names)), key=names.__getitem__)
     assert [names[i] for i in order] == columns
-    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(tuple(r[i] for i in order) for r in result.fetchall())
+    assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == sorted((tuple(r[i] for i in order) for r in result.fetchall()), key=repr)
 
 
 # ---------------------------------------------------------------- quality rules
