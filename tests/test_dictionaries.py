@@ -113,3 +113,24 @@ def test_a_gazetteer_of_thousands(spark):
     texts = [(i, f"district {i} village {i % 900}" if i % 2 else f"province {i % 50}, village {i % 900}") for i in range(0, 3600, 7)]
     got = {r["id"]: r["region"] for r in dictionary.resolve_places(spark.createDataFrame(texts, "id long, text string"), "id", "text", g, slice_chars=20_000).collect()}
     assert got == {i: f"v{i}" if i % 2 else f"p{i % 50}" for i, _ in texts}
+
+
+@pytest.mark.parametrize(
+    ("name", "words", "venue_only", "left_out"),
+    [
+        ("두물마루COFFEE", ["두물마루"], False, False),  # scripts are parted, the trade word goes
+        ("온다24", ["온다"], False, False),  # a number counts only where nothing else does
+        ("24 카페", ["24"], False, False),
+        ("스타벅 역삼점", ["스타벅"], False, False),  # the branch word does not count
+        ("역삼점", ["역삼"], False, False),  # but is all there is
+        ("서울숲", ["서울숲"], True, False),
+        ("포레스트 서울숲", ["포레스트"], False, True),
+        ("강남 카페, 여유", ["여유"], False, False),  # area and trade words go, marks at the end too
+        ("", [], False, False),
+        (None, [], False, False),
+    ],
+)
+def test_word_signals_of_names(spark, name, words, venue_only, left_out):
+    s = names.word_signals(F.col("n"), F.array(F.lit("강남")), ("카페", "coffee"), "(점|카페|coffee)$", "점$", "숲$", ("[가-힣]", "[a-z0-9]"))
+    got = one(spark, s, (name,), "n string")
+    assert (got["words"], got["venue_only"], got["venue_left_out"]) == (words, venue_only, left_out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -114,6 +116,20 @@ def affirmed(text: Column, words: tuple[str, ...], denial: str, before: int = 14
     return F.when(~F.rlike(low, F.lit(alternatives)), False).when(~F.rlike(low, F.lit(denial)), True).otherwise(free)
 
 
+def said_and_denied(text: Column, words: tuple[str, ...], denial: str, reach: int = 14) -> Column:
+    """(said, denied): whether some occurrence of a word has no denial, and whether some has one, in the ``reach`` characters
+    before and behind it. Every occurrence counts, overlapping ones too."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    windows = []
+    for w in words:
+        place = F.lit(rf"(?s)(?=({re.escape(w.lower())}.{{0,{reach}}}))(?<=(^.{{0,{reach - 1}}}|.{{{reach}}}))")
+        # cut only where a text holds the word at all
+        cut = F.zip_with(F.regexp_extract_all(low, place, F.lit(2)), F.regexp_extract_all(low, place, F.lit(1)), lambda a, b: F.concat(a, b))
+        windows.append(F.when(F.contains(low, F.lit(w.lower())), cut).otherwise(F.array().cast("array<string>")))
+    every = F.flatten(F.array(*windows))
+    return F.struct(F.exists(every, lambda x: ~F.rlike(x, F.lit(denial))).alias("said"), F.exists(every, lambda x: F.rlike(x, F.lit(denial))).alias("denied"))
+
+
 def particle(word: Column, after_consonant: str, after_vowel: str) -> Column:
     """A Korean particle by the final consonant of a word; words that do not end in a syllable take the vowel form."""
     code = F.ascii(F.right(word, F.lit(1)))  # fixed values: Hangul syllables lie at AC00-D7A3 in groups of 28 finals

@@ -43,6 +43,35 @@ def distinctive_words(name: Column, areas: Column, generic: tuple[str, ...], suf
     return F.transform(kept, lambda m: m["core"])
 
 
+def split_scripts(word: Column, scripts: tuple[str, str]) -> Column:
+    """The parts of a word between two scripts, given as character classes: a name written together with a foreign addition."""
+    a, b = scripts
+    apart = F.regexp_replace(F.regexp_replace(word, f"({a})({b})", "$1 $2"), f"({b})({a})", "$1 $2")
+    return F.split(apart, " ")
+
+
+def word_signals(name: Column, areas: Column, generic: tuple[str, ...], suffix: str, branch: str, venue: str, scripts: tuple[str, str]) -> Column:
+    """(words, venue_only, venue_left_out) of a name.
+
+    ``words`` are found as by ``distinctive_words``, but words are also parted between ``scripts`` (a branch mark holds for all
+    parts of its word), marks at their ends go, and words of the ``venue`` pattern (buildings and sights that many share)
+    count only where nothing else is left: then ``venue_only`` is true and a text should name the whole entity.
+    ``venue_left_out`` says that the name has such a word which does not count, so a text about the sight is not enough.
+    """
+    blank = F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"[ \t]+"), lambda w: w != "")
+    parts = F.flatten(F.transform(blank, lambda w: F.transform(split_scripts(w, scripts), lambda p: F.struct(p.alias("raw"), F.rlike(w, F.lit(branch)).alias("branch")))))
+    cored = F.transform(parts, lambda m: F.struct(m["raw"].alias("raw"), F.regexp_replace(F.regexp_replace(m["raw"], "[,.;:]+$", ""), suffix, "").alias("core"), m["branch"].alias("branch")))
+    is_area = lambda c: F.exists(areas, lambda a: (a == c) | a.contains(c) | (c.contains(a) & (F.char_length(c) - F.char_length(a) <= 1)))
+    kept = F.filter(cored, lambda m: (F.char_length(m["core"]) >= 2) & ~m["core"].isin(*generic) & ~is_area(m["core"]))
+    pool = _rather(kept, lambda m: m["branch"])
+    is_venue = lambda m: F.rlike(m["raw"], F.lit(venue)) | F.rlike(m["core"], F.lit(venue))
+    final = _rather(pool, is_venue)
+    strong = _rather(final, lambda m: F.rlike(m["core"], F.lit("^[0-9]+$")))
+    only = (F.size(pool) > 0) & F.forall(pool, is_venue)
+    left_out = F.exists(parts, lambda m: F.rlike(m["raw"], F.lit(venue))) & (F.size(final) > 0) & ~F.exists(final, is_venue)
+    return F.struct(F.transform(strong, lambda m: m["core"]).alias("words"), only.alias("venue_only"), left_out.alias("venue_left_out"))
+
+
 def names_entity(text: Column, name: Column, words: Column, context: str) -> Column:
     """Whether a text names an entity: its whole name of four letters or more, blanks aside, or a distinctive word at the
     beginning of a word. A name without distinctive words also needs the ``context`` pattern."""

@@ -29,6 +29,30 @@ def distinctive_words(spark, sf):
     return named(spark, sf).select("id", F.array_join(words, "|").alias("words"))
 
 
+VENUE, SCRIPTS = "(ring|tower|park)", ("[a-z]", "[0-9]")
+_GLUED = """glued AS (SELECT p_partkey AS id, [lower(p_brand), 'north'] AS areas, p_name || CASE p_partkey % 6 WHEN 0 THEN '24cafe' WHEN 1 THEN ' ' || lower(p_brand) || 'store' WHEN 2 THEN ' park, 7' WHEN 3 THEN ' tower' || p_size WHEN 4 THEN ' best;' ELSE 'store ring' END AS name FROM part)"""
+_IS_VENUE = f"(regexp_matches(m.raw, '{VENUE}') OR regexp_matches(m.core, '{VENUE}'))"
+_RATHER = lambda items, weak: f"CASE WHEN len(list_filter({items}, lambda m: NOT {weak})) > 0 THEN list_filter({items}, lambda m: NOT {weak}) ELSE {items} END"
+
+
+@query(
+    "word_signals",
+    f"""WITH {_GLUED}, b AS (SELECT id, areas, list_filter(regexp_split_to_array(lower(name), '[ \\t]+'), lambda w: w <> '') AS ws FROM glued),
+    p AS (SELECT id, areas, flatten(list_transform(ws, lambda w: list_transform(string_split(regexp_replace(regexp_replace(w, '([a-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-z])', '\\1 \\2', 'g'), ' '), lambda x: {{'raw': x, 'branch': regexp_matches(w, '{BRANCH}')}}))) AS ps FROM b),
+    c AS (SELECT *, list_filter(list_transform(ps, lambda m: {{'raw': m.raw, 'core': regexp_replace(regexp_replace(m.raw, '[,.;:]+$', ''), '{SUFFIX}', ''), 'branch': m.branch}}), lambda m: length(m.core) >= 2 AND m.core NOT IN {GENERIC!r} AND len(list_filter(areas, lambda a: a = m.core OR contains(a, m.core) OR (contains(m.core, a) AND length(m.core) - length(a) <= 1))) = 0) AS k FROM p),
+    d AS (SELECT *, {_RATHER("k", "m.branch")} AS pool FROM c), e AS (SELECT *, {_RATHER("pool", _IS_VENUE)} AS final FROM d), f AS (SELECT *, {_RATHER("final", "regexp_matches(m.core, '^[0-9]+$')")} AS strong FROM e)
+    SELECT id, array_to_string(list_transform(strong, lambda m: m.core), '|') AS words, len(pool) > 0 AND len(list_filter(pool, lambda m: NOT {_IS_VENUE})) = 0 AS venue_only,
+      len(list_filter(ps, lambda m: regexp_matches(m.raw, '{VENUE}'))) > 0 AND len(final) > 0 AND len(list_filter(final, lambda m: {_IS_VENUE})) = 0 AS venue_left_out FROM f""",
+)
+def word_signals(spark, sf):
+    """Names with numbers and trade words written together, and words of buildings that many share."""
+    k, brand = F.col("p_partkey"), F.lower("p_brand")
+    more = F.when(k % 6 == 0, "24cafe").when(k % 6 == 1, F.concat(F.lit(" "), brand, F.lit("store"))).when(k % 6 == 2, " park, 7").when(k % 6 == 3, F.concat(F.lit(" tower"), "p_size")).when(k % 6 == 4, " best;").otherwise("store ring")
+    own = load(spark, sf, "part").select(k.alias("id"), F.concat("p_name", more).alias("name"), F.array(brand, F.lit("north")).alias("areas"))
+    got = own.select("id", names.word_signals(F.col("name"), F.col("areas"), GENERIC, SUFFIX, BRANCH, VENUE, SCRIPTS).alias("s"))
+    return got.select("id", F.array_join("s.words", "|").alias("words"), "s.venue_only", "s.venue_left_out")
+
+
 @query("cleaned_names", f"WITH {_NAMED}, w AS (SELECT id, name, regexp_split_to_array(trim(name), '[ \\t]+') AS ws FROM named) SELECT id, array_to_string(ws[1:greatest(list_max(list_transform(range(len(ws)), lambda i: CASE WHEN lower(ws[i + 1]) NOT IN {TAILS!r} OR i = 0 THEN i END)) + 1, 1)], ' ') AS name FROM w")
 def cleaned_names(spark, sf):
     return named(spark, sf).select("id", names.cleaned_name(F.col("name"), TAILS).alias("name"))

@@ -139,6 +139,30 @@ def taste_synthesis(spark, sf):
     return s.withColumn("coordinate", F.round(rv.taste_coordinate(F.col("strong"), F.col("weak")), 2))
 
 
+_TASTE = {"roast": (("tion", "heit"), ("###",)), "quiet": (("eau", "que "), ("|", "!!")), "work": (("ing ", "los "), ())}
+_DENIAL = "(the|und|des|las)"
+
+
+def _axis_sql(name: str, strong: tuple[str, ...], weak: tuple[str, ...]) -> str:
+    wins = ", ".join(f"list_transform(list_filter(range(1, length(low) - {len(w) - 2}), lambda p: substr(low, p, {len(w)}) = '{w}'), lambda p: substr(low, greatest(p - 14, 1), p - greatest(p - 14, 1) + {len(w) + 14}))" for w in strong)
+    against = " OR ".join(["false", *[f"contains(low, '{w}')" for w in weak]])
+    return f"SELECT source, w, '{name}' AS axis, len(list_filter(wins, lambda x: NOT regexp_matches(x, '{_DENIAL}'))) > 0 AS said, len(list_filter(wins, lambda x: regexp_matches(x, '{_DENIAL}'))) > 0 OR {against} AS against FROM (SELECT *, flatten([{wins}]) AS wins FROM t)"
+
+
+@query(
+    "axis_coordinates",
+    f"""WITH d AS (SELECT source, doc_id, text, CASE WHEN doc_id % 10 <> 0 THEN (doc_id % 5)::DOUBLE END AS years, md5(regexp_replace(lower(trim(text)), '[ \\t\\n\\x0b\\f\\r]+', '', 'g')) AS print FROM documents WHERE length(text) > 0),
+    t AS (SELECT source, lower(text) AS low, CASE WHEN years IS NULL THEN 0.6::DOUBLE WHEN years <= 1 THEN 1.0 WHEN years <= 2 THEN 0.7 WHEN years <= 3 THEN 0.5 ELSE 0.4 END AS w FROM (SELECT *, row_number() OVER (PARTITION BY source, print ORDER BY coalesce(years, 1e9), doc_id) AS rn FROM d) WHERE rn = 1),
+    f AS ({" UNION ALL ".join(_axis_sql(k, *v) for k, v in _TASTE.items())}), s AS (SELECT source, axis, count(*) AS texts, round(sum(CASE WHEN said THEN w ELSE 0 END), 6) AS strong, round(sum(CASE WHEN against THEN w ELSE 0 END), 6) AS weak FROM f GROUP BY 1, 2)
+    SELECT source, texts, axis, strong, weak, round(CASE WHEN strong >= 2 AND strong > weak THEN least(0.95, 0.5 + 0.09 * (strong - weak)) WHEN weak >= 2 AND weak > strong THEN greatest(0.05, 0.5 - 0.09 * (weak - strong)) END, 6)::DOUBLE AS coordinate FROM s""",
+)
+def axis_coordinates(spark, sf):
+    """Tastes of each source over three axes, with denials near a word and equal texts counted once."""
+    years = F.when(F.col("doc_id") % 10 != 0, (F.col("doc_id") % 5).cast("double"))
+    d = load(spark, sf, "documents").select("source", "doc_id", "text", years.alias("years"))
+    return rv.axis_coordinates(d, "source", "doc_id", "text", "years", _TASTE, _DENIAL).withColumn("coordinate", F.round("coordinate", 6))
+
+
 @query(
     "keyword_axes",
     "SELECT doc_id, ((length(l) - length(replace(l, 'the', ''))) // 3 + (length(l) - length(replace(l, 'tion', ''))) // 4)::INTEGER AS a, ((length(l) - length(replace(l, 'ch', ''))) // 2)::INTEGER AS b FROM (SELECT doc_id, lower(text) AS l FROM documents)",
