@@ -104,18 +104,22 @@ def split_remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)).cast("int")
 
 
-def drawn_texts(rows: DataFrame, most_rows: int, most_chars: int, seed: int) -> DataFrame:
-    """About ``most_rows`` distinct rows of ``rows`` (id, text, ...) with about ``most_chars`` characters of text in all.
+def drawn_texts(texts: DataFrame, most_rows: int, most_chars: int, seed: int, labels: DataFrame | None = None) -> DataFrame:
+    """About ``most_rows`` distinct rows of ``texts`` (id, text, ...) with about ``most_chars`` characters of text in all; with
+    ``labels`` (id, ...), ids unique, of those rows that have one, joined to it.
 
     Each text of an id is drawn by itself, by a hash of both, and rows that are equal in them count once. So neither an id
-    that very many rows have nor a row that is repeated very often comes whole. Drawn texts are whole.
+    that very many rows have nor a row that is repeated very often comes whole. Drawn texts are whole; only they are shuffled,
+    the sizes come from hashes and lengths.
     """
-    own = rows.withColumn("__text", F.xxhash64("text"))
-    size = own.agg(F.count_distinct("id", "__text").alias("n"), F.count("*").alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    # null ids and texts are left out of a distinct count; the mean length stands for that of distinct texts
+    own = texts.withColumns({"__text": F.xxhash64("text"), "__size": F.length("text")})
+    met = lambda df: df if labels is None else df.join(labels, "id")
+    size = met(own.select("id", "__text", "__size")).agg(F.count_distinct("id", "__text").alias("n"), F.count("*").alias("rows"), F.coalesce(F.sum("__size"), F.lit(0)).alias("chars")).first()
+    # rows with a null id are left out of a distinct count; the mean length stands for that of distinct texts
     chars = size["n"] * size["chars"] / max(1, size["rows"])
     rate = int(min(1.0, most_rows / max(1, size["n"]), most_chars / max(1, chars)) * 1_000_000)
-    return own.where(F.pmod(F.xxhash64("id", "__text", F.lit(seed)), F.lit(1_000_000)) < rate).dropDuplicates(["id", "__text"]).drop("__text")
+    drawn = own.where(F.pmod(F.xxhash64("id", "__text", F.lit(seed)), F.lit(1_000_000)) < rate)
+    return met(drawn).dropDuplicates(["id", "__text"]).drop("__text", "__size")
 
 
 def with_scores(

@@ -115,7 +115,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Callabl
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & learn(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label).cast("int") > 0).cast("int")).alias("label"))
     known = staged(known, "quality-labels")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    drawn = drawn_texts(texts.join(known, "id"), rows, TRAIN_CHARS, 11)
+    drawn = drawn_texts(texts, rows, TRAIN_CHARS, 11, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

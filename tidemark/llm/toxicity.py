@@ -236,8 +236,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Callable, label: s
     known = staged(known, "toxicity-labels")
     seen = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(learn(F.col("id")))
-    confirmed = texts.join(known.where("label = 1").select("id"), "id", "left_semi")
-    positive = _rows(with_features(drawn_texts(confirmed, POSITIVES, SAMPLE_CHARS, 5).withColumn("deal", F.lit(0).cast("long"))).toArrow().column("features"))
+    positive = _rows(with_features(drawn_texts(texts, POSITIVES, SAMPLE_CHARS, 5, known.where("label = 1").select("id")).withColumn("deal", F.lit(0).cast("long"))).toArrow().column("features"))
     models = max(1, -(-texts.count() // (UNLABELLED * UNLABELLED_SHARE)))
     unlabelled = drawn_texts(texts, UNLABELLED * models, SAMPLE_CHARS * models, 6).withColumn("deal", F.pmod(F.xxhash64("id", "text", F.lit(8)), F.lit(models)))
     share = prior if prior is not None else seen["toxic"] / max(1, seen["n"])
