@@ -19,10 +19,14 @@ def bigrams(name: Column) -> Column:
 def name_similarity(a: Column, b: Column) -> Column:
     """1 for equal normalised names, 0.9 if one holds the other (three characters or more), else the Jaccard share of bigrams."""
     x, y = normal_name(a), normal_name(b)
-    shared = F.size(F.array_intersect(bigrams(x), bigrams(y)))
-    union = F.size(F.array_union(bigrams(x), bigrams(y)))
+    return _similarity(x, y, bigrams(x), bigrams(y))
+
+
+def _similarity(x: Column, y: Column, pieces_x: Column, pieces_y: Column) -> Column:
+    """``name_similarity`` of normalised names with their pieces."""
+    shared = F.size(F.array_intersect(pieces_x, pieces_y))
     holds = (F.char_length(x) >= 3) & (F.char_length(y) >= 3) & (x.contains(y) | y.contains(x))
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(holds, 0.9).otherwise(shared / union)
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(holds, 0.9).otherwise(shared / (F.size(pieces_x) + F.size(pieces_y) - shared))
 
 
 def road_key(address: Column) -> Column:
@@ -54,16 +58,24 @@ def match_permits(places: DataFrame, permits: DataFrame, one: float = 0.45, many
 
 def ingest_matches(old: DataFrame, new: DataFrame, cell: float = 0.0005, least: float = 0.5) -> DataFrame:
     """(id, match, how): the known row of each new row: by name, else within ``cell`` degrees with a similar name, else by address."""
-    o = old.select(F.col("id").alias("o"), F.col("name").alias("oname"), F.col("lat").alias("olat"), F.col("lng").alias("olng"), F.trim(F.regexp_replace("address", r"\s+", " ")).alias("oaddr"))
-    by_name = new.join(o.groupBy("oname").agg(F.min("o").alias("o")), F.col("name") == F.col("oname")).select("id", F.col("o").alias("match"), F.lit("name").alias("how"), F.lit(0).alias("no"))
+    o = old.select(F.col("id").alias("o"), F.coalesce("name", F.lit("")).alias("oname"), F.col("lat").alias("olat"), F.col("lng").alias("olng"), F.trim(F.regexp_replace("address", r"\s+", " ")).alias("oaddr"))
+    n = new.withColumn("name", F.coalesce("name", F.lit("")))
+    # all sides grow with the tables: sorted joins at every size, so nothing of them goes to the driver
+    by_name = new.join(old.groupBy(F.col("name").alias("oname")).agg(F.min("id").alias("o")).hint("merge"), F.col("name") == F.col("oname")).select("id", F.col("o").alias("match"), F.lit("name").alias("how"), F.lit(0).alias("no"))
+    # rows of one name at one place are compared once, whatever their number; the smallest id stands for them
     grid = lambda c, at: F.floor(F.col(at) / cell).alias(c)
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    near = new.select("id", "name", "lat", "lng", grid("y", "lat"), grid("x", "lng")).withColumn("dy", around).withColumn("dx", around)
-    near = near.withColumn("y", F.col("y") + F.col("dy")).withColumn("x", F.col("x") + F.col("dx")).join(o.select("*", grid("y", "olat"), grid("x", "olng")), ["y", "x"])
+    named = lambda df, name, short: df.withColumn(short, normal_name(F.col(name))).withColumn(f"{short}s", bigrams(F.col(short)))
+    asked = named(n.select("name", "lat", "lng").distinct(), "name", "x_")
+    asked = asked.select("*", grid("y", "lat"), grid("x", "lng"))
+    known = named(o.groupBy("oname", "olat", "olng").agg(F.min("o").alias("o")), "oname", "y_").select("*", grid("y", "olat"), grid("x", "olng"))
+    known = known.withColumn("dy", around).withColumn("dx", around).withColumn("y", F.col("y") + F.col("dy")).withColumn("x", F.col("x") + F.col("dx"))
     close = (F.abs(F.col("lat") - F.col("olat")) < cell) & (F.abs(F.col("lng") - F.col("olng")) < cell)
-    by_place = near.where(close & (name_similarity(F.col("name"), F.col("oname")) >= least)).groupBy("id").agg(F.min("o").alias("match")).select("id", "match", F.lit("place").alias("how"), F.lit(1).alias("no"))
+    alike = _similarity(F.col("x_"), F.col("y_"), F.col("x_s"), F.col("y_s")) >= least
+    found = asked.join(known.hint("merge"), ["y", "x"]).where(close & alike).groupBy("name", "lat", "lng").agg(F.min("o").alias("match"))
+    by_place = n.select("id", "name", "lat", "lng").join(found.hint("merge"), ["name", "lat", "lng"]).select("id", "match", F.lit("place").alias("how"), F.lit(1).alias("no"))
     addr = F.trim(F.regexp_replace("address", r"\s+", " "))
-    by_addr = new.withColumn("a", addr).where(F.col("a") != "").join(o.groupBy("oaddr").agg(F.min("o").alias("o")), F.col("a") == F.col("oaddr")).select("id", F.col("o").alias("match"), F.lit("address").alias("how"), F.lit(2).alias("no"))
+    by_addr = new.withColumn("a", addr).where(F.col("a") != "").join(o.groupBy("oaddr").agg(F.min("o").alias("o")).hint("merge"), F.col("a") == F.col("oaddr")).select("id", F.col("o").alias("match"), F.lit("address").alias("how"), F.lit(2).alias("no"))
     best = by_name.unionByName(by_place).unionByName(by_addr).groupBy("id").agg(F.min(F.struct("no", "match", "how")).alias("b"))
     return best.select("id", "b.match", "b.how")
 
