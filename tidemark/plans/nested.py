@@ -75,7 +75,7 @@ def objects_in_arrays(spark, sf):
 
 _CHANGED = """before_ AS (SELECT id, area, dong, grade, "count" AS score FROM places),
   delta AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'Brand#1' ELSE area END AS area, dong, CASE WHEN id % 14 = 0 THEN 'verified' ELSE grade END AS grade, score + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS score FROM before_ WHERE id % 7 = 0
-    UNION ALL SELECT id + 1000000, 'Brand#99', dong, grade, score FROM before_ WHERE id % 501 = 0),
+    UNION ALL SELECT -1 - id, 'Brand#99', dong, grade, score FROM before_ WHERE id % 501 = 0),
   after_ AS (SELECT * FROM before_ WHERE id NOT IN (SELECT id FROM delta) UNION ALL SELECT * FROM delta)"""
 _PAGES = "[grade, '/area/' || area, '/area/' || area || '/' || dong, CASE WHEN score >= 30 THEN '/top/' || area END]"
 
@@ -88,7 +88,7 @@ def _delta(spark, sf):
     """Every seventh place changed, some of them only in score or not at all, and a few new ones."""
     m, i = _members(spark, sf), F.col("id")
     own = m.where(i % 7 == 0).select("id", F.when(i % 3 == 0, "Brand#1").otherwise(F.col("area")).alias("area"), "dong", F.when(i % 14 == 0, "verified").otherwise(F.col("grade")).alias("grade"), (F.col("score") + F.when(i % 2 == 0, 1).otherwise(0)).alias("score"))
-    return own.unionByName(m.where(i % 501 == 0).select((i + 1_000_000).alias("id"), F.lit("Brand#99").alias("area"), "dong", "grade", "score"))
+    return own.unionByName(m.where(i % 501 == 0).select((-1 - i).alias("id"), F.lit("Brand#99").alias("area"), "dong", "grade", "score"))
 
 
 def _pages():
