@@ -1,11 +1,15 @@
 """Queries on tables with many rows at one point or of one name: work grows with the rows, and results stay those of the SQL."""
 
+from types import SimpleNamespace
+
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tidemark.operators import neighbours
+from tidemark.operators import neighbours, similar_names
 from tidemark.plans import registry
+from tidemark.streaming import stateful
 
 SF, COPIES = "/root/testdata/sf0.001", 100
 
@@ -75,3 +79,33 @@ def test_neighbours_read_few_blocks(spark):
     want = {(a[0], o) for a in rows if a[0] % 100 == 0 for _, o in sorted((round(sum((u - v) ** 2 for u, v in zip(a[2:], b[2:])) ** 0.5, 9), b[0]) for b in rows if b[1] == a[1] and b[0] != a[0])[:3]}
     assert {(r["id"], r["other"]) for r in got.collect()} == want
     assert max(joined(got)) < 60 * 3000 / 3
+
+
+def test_similar_sets_meet_rarely(spark):
+    items = lambda seed: F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.pmod(F.xxhash64("id", i, F.lit(seed)), F.lit(60)))
+    sets = spark.range(3000).select("id", F.array_distinct(items(1)).alias("items"))
+    near = sets.select((F.col("id") + 10_000).alias("id"), F.slice("items", 1, F.size("items") - 1).alias("items")).where("id % 10 = 0")
+    got = similar_names.similar_sets(sets.unionByName(near), "id", "items", 0.6)
+    assert got.where("b = a + 10000").count() == 300
+    assert max(joined(got)) < 200_000
+
+
+def test_a_batch_of_days_is_one_read_and_one_write_of_state():
+    calls, held = [], [None]
+    value = SimpleNamespace(
+        get=lambda: calls.append("get") or held[0], update=lambda v: calls.append("update") or held.__setitem__(0, v), clear=lambda: calls.append("clear") or held.__setitem__(0, None), exists=lambda: held[0] is not None,
+        getValue=lambda k: calls.append("get"), containsKey=lambda k: calls.append("has"), updateValue=lambda k, v: calls.append("update"), removeKey=lambda k: calls.append("remove"),
+    )
+    p = stateful._Settled(9 * 3_600_000, 30 * stateful.MINUTE_MS, 30)
+    p.init(SimpleNamespace(getValueState=lambda *a: value, getMapState=lambda *a: value, registerTimer=lambda at: calls.append("timer")))
+    row = Row("anon_id", "ts", "day", "searched", "mobile", "path")
+    assert list(p.handleInputRows((1,), iter([row(1, None, d, False, False, "/a") for d in (3, 1, 2, 2)]), None)) == [] and len(calls) == 3
+    calls.clear()
+    at = SimpleNamespace(getExpiryTimeInMs=lambda: p._settles(1), getCurrentWatermarkInMs=lambda: p._settles(9))
+    out = list(p.handleExpiredTimer((1,), at, at))
+    assert [(r["day"], r["events"], r["bot"]) for r in out] == [(1, 1, True), (2, 2, False), (3, 1, False)] and len(calls) == 3
+
+
+def test_a_lateral_row_needs_no_join(spark):
+    plan = registry.QUERIES["lateral_best_line"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

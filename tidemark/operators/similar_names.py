@@ -59,9 +59,11 @@ def near_duplicate_names(df: DataFrame, key: str, name: str, spellings: list[tup
 def similar_sets(sets: DataFrame, key: str, items: str, least: float) -> DataFrame:
     """(a, b, shared, similarity): every two rows whose sets have a Jaccard similarity of ``least`` or more, a < b by key.
 
-    Items are put in order of their frequency, rarest first. Two sets that are similar enough share an item among the first
-    ones of each: all but ceil(least * size) - 1 of them. Those prefixes meet by item; pairs whose sizes differ too much go
-    before they are verified. Keys must be unique; empty sets pair with nothing. Give equal sets as one row.
+    Items are put in order of their frequency, rarest first. Two sets that must share n items share the first two of them
+    among all but n - 2 of each, so these prefixes meet by pairs of items, which are far rarer than items; sets so small that
+    one shared item is enough meet by it. Where two meet, their sizes and 128 bits of their items, which differ in no more
+    places than the sets in items, must fit before the pair is kept and verified. Keys must be unique; empty sets pair with
+    nothing. Give equal sets as one row.
     """
     if not 0 < least <= 1:
         raise ValueError("a similarity is over 0 and at most 1")
@@ -71,14 +73,28 @@ def similar_sets(sets: DataFrame, key: str, items: str, least: float) -> DataFra
     ordered = flat.join(often, "item").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("s"))
     ordered = staged(ordered.select("key", F.transform("s", lambda x: x["item"]).alias("items")), "similar-sets")
     size = F.size("items")
+    bits = lambda half: F.aggregate("items", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.when(F.pmod(F.xxhash64(x), F.lit(2)) == half, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(F.xxhash64(x), 1), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))))
     # floating shares are lowered a little, so that a whole number is never rounded over
-    keep = (size - F.ceil(size * F.lit(least) - 1e-9) + 1).cast("int")
-    prefix = ordered.select("key", size.alias("size"), F.explode(F.slice("items", F.lit(1), keep)).alias("item"))
-    a = prefix.select(F.col("key").alias("a"), F.col("size").alias("size_a"), "item")
-    b = prefix.select(F.col("key").alias("b"), F.col("size").alias("size_b"), "item")
-    fits = (F.col("size_a") >= F.col("size_b") * least - 1e-9) & (F.col("size_b") >= F.col("size_a") * least - 1e-9)
-    pairs = a.join(b, "item").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    met = pairs.join(ordered.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").join(ordered.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
+    need = F.ceil(size * F.lit(least) - 1e-9).cast("int")
+    own = ordered.select("key", size.alias("size"), need.alias("need"), bits(0).alias("even"), bits(1).alias("odd"), "items")
+    first = lambda n: F.slice("items", F.lit(1), F.least(F.col("size"), F.col("size") - F.col("need") + n))
+    ones = own.where(F.col("size") <= 1 / least**2 + 1e-9).select("key", "size", "need", "even", "odd", F.explode(first(1)).alias("met"))
+    couples = F.flatten(F.transform(first(2), lambda x, i: F.transform(F.slice("items", F.lit(1), i), lambda y: F.xxhash64(y, x))))
+    twos = own.where("need > 1").select("key", "size", "need", "even", "odd", F.explode(couples).alias("met"))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col("key").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("size", "need", "even", "odd")], "met")
+
+    def meet(left: DataFrame, right: DataFrame, order: Column) -> DataFrame:
+        # both sides grow with the sets: a sorted join at every size
+        share = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(least / (1 + least)) - 1e-9)
+        apart = F.bit_count(F.col("even_a").bitwiseXOR(F.col("even_b"))) + F.bit_count(F.col("odd_a").bitwiseXOR(F.col("odd_b")))
+        fits = (F.col("need_a") <= F.col("size_b")) & (F.col("need_b") <= F.col("size_a")) & (apart <= F.col("size_a") + F.col("size_b") - 2 * share)
+        return side(left, "a").join(side(right, "b").hint("merge"), "met").where(fits & order).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    small = meet(ones.where("need = 1"), ones, F.col("a") != F.col("b"))
+    pairs = meet(twos, twos, F.col("a") < F.col("b")).unionByName(small).distinct()
+    met = pairs.join(ordered.select(F.col("key").alias("a"), F.col("items").alias("x")).hint("merge"), "a").join(ordered.select(F.col("key").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     found = met.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("either"))
     return found.select("a", "b", "shared", (F.col("shared") / F.col("either")).alias("similarity")).where(F.col("similarity") >= least)
