@@ -100,48 +100,60 @@ def _with(a: tuple, b: tuple) -> tuple:
 
 
 class _Settled(StatefulProcessor):
+    """A visitor is one value of state, read and written once for a batch and once for a timer: its open days, the evidence of
+    settled ones, and the moment of its only timer, which settles all days that are due."""
+
     def __init__(self, zone_ms: int, after_ms: int, keep_days: int) -> None:
         self.zone_ms, self.after_ms, self.keep_days = zone_ms, after_ms, keep_days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "day int", f"{_EVIDENCE}, events long")
-        self.past = handle.getValueState("past", f"{_EVIDENCE}, days boolean, last int")
+        self.seen = handle.getValueState("seen", f"open array<struct<day int, {_EVIDENCE}, events long>>, {_EVIDENCE}, days boolean, last int, timer long")
 
     def _settles(self, day: int) -> int:
         return (day + 1) * DAY_MS - self.zone_ms + self.after_ms
 
+    def _read(self) -> tuple[dict[int, tuple], tuple | None, int | None]:
+        """Open days, the evidence of settled ones with (days, last), and the timer."""
+        held = self.seen.get()
+        if held is None:
+            return {}, None, None
+        return {d[0]: tuple(d)[1:] for d in held[0]}, tuple(held)[1:7] if held[6] is not None else None, held[7]
+
+    def _write(self, days: dict[int, tuple], past: tuple | None, timer: int | None) -> None:
+        if not days and past is None:
+            self.seen.clear()
+            return
+        due = min(self._settles(d) for d in (*days, *([past[5] + self.keep_days] if past is not None else [])))
+        if timer is None or due < timer:
+            self.handle.registerTimer(due)
+            timer = due
+        self.seen.update(([(d, *days[d]) for d in sorted(days)], *(past if past is not None else (False, False, None, False, False, None)), timer))
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        days: dict[int, tuple] = {}
-        for r in rows:
-            day = r["day"]
-            if day not in days:
-                held = self.open.getValue((day,)) if self.open.containsKey((day,)) else None
-                if held is None:
-                    self.handle.registerTimer(self._settles(day))
-                days[day] = tuple(held) if held is not None else (False, False, None, False, 0)
-            *own, n = days[day]
-            days[day] = (*_with(tuple(own), (r["searched"], r["mobile"], r["path"], False)), n + 1)
-        for day, held in days.items():
-            self.open.updateValue((day,), held)
+        days, past, timer = self._read()
+        for _, _, day, searched, mobile, path in rows:
+            held = days.get(day)
+            days[day] = (searched, mobile, path, False, 1) if held is None else (*_with(held[:4], (searched, mobile, path, False)), held[4] + 1)
+        self._write(days, past, timer)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        day = (now - self.after_ms + self.zone_ms) // DAY_MS - 1
-        known = self.past.get()
-        if not self.open.containsKey((day,)):  # nothing for so long: the visitor is forgotten
-            if known is not None and known[5] + self.keep_days <= day:
-                self.past.clear()
-            return
-        *own, events = self.open.getValue((day,))
-        self.open.removeKey((day,))
-        before = tuple(known)[:4] if known is not None else (False, False, None, False)
-        searched, mobile, page, pages = _with(before, tuple(own))
-        days = known is not None and (known[4] or known[5] != day)
-        self.past.update((searched, mobile, page, pages, days, day))
-        self.handle.registerTimer(self._settles(day + self.keep_days))
-        yield Row(anon_id=key[0], day=day, events=events, bot=not (searched or mobile or pages or days))
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        days, past, timer = self._read()
+        out = []
+        for day in sorted(d for d in days if self._settles(d) <= now):
+            *own, events = days.pop(day)
+            if past is not None and past[5] + self.keep_days < day:  # nothing for so long: the visitor was forgotten
+                past = None
+            searched, mobile, page, pages = _with(past[:4] if past is not None else (False, False, None, False), tuple(own))
+            several = past is not None and (past[4] or past[5] != day)
+            past = searched, mobile, page, pages, several, day
+            out.append(Row(anon_id=key[0], day=day, events=events, bot=not (searched or mobile or pages or several)))
+        if past is not None and self._settles(past[5] + self.keep_days) <= now:
+            past = None
+        self._write(days, past, timer if timer is not None and timer > now else None)
+        return iter(out)
 
 
 def day_verdicts(visits: DataFrame, agent: str = "user_agent", zone_hours: int = 9, after: int = 30, keep_days: int = 30, late: str = "30 minutes") -> DataFrame:
