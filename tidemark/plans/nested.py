@@ -40,11 +40,12 @@ def chained_laterals(spark, sf):
 
 @query("lateral_best_line", f"WITH {_LINES} SELECT id, arg_max(part, (price, -line)) AS part, round(max(price), 2) AS price, count(line) AS lines FROM l GROUP BY 1")
 def lateral_best_line(spark, sf):
-    """The dearest line of each order by a lateral join over its array; orders without lines stay."""
+    """The dearest line of each order by a lateral join over its array; orders without lines stay. The lateral part has no
+    filter of its own, so it is one row beside each order and needs no join by the arrays."""
     book = order_book(spark, sf)
     return spark.sql(
-        """SELECT b.id, t.part, t.price, coalesce(t.lines, 0) AS lines FROM {book} b
-        LEFT JOIN LATERAL (SELECT m.x.part AS part, round(m.x.price, 2) AS price, m.n AS lines FROM (SELECT array_max(transform(b.items, i -> struct(i.price AS price, -i.line AS line, i.part AS part))) AS x, cast(size(b.items) AS bigint) AS n) m WHERE m.x IS NOT NULL) t""",
+        """SELECT b.id, m.x.part AS part, round(m.x.price, 2) AS price, CASE WHEN m.x IS NULL THEN 0 ELSE m.n END AS lines FROM {book} b,
+        LATERAL (SELECT array_max(transform(b.items, i -> struct(i.price AS price, -i.line AS line, i.part AS part))) AS x, cast(size(b.items) AS bigint) AS n) m""",
         book=book,
     )
 
