@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality_classifier, toxicity
+from tidemark.llm import language_id, quality_classifier, toxicity
 from tidemark.llm.common import drawn_texts
 
 
@@ -50,3 +50,27 @@ def test_the_mean_of_several_models(spark):
     bad, fine = got.score(["so awful", "word1 word2"])
     assert bad > fine
     assert toxicity.mean_model(positive, df.where("deal > 9"), 0.1).offset == pytest.approx(toxicity.fit(positive, [], 0.1).offset)
+
+
+def test_language_models_count_and_measure_every_document(spark, monkeypatch):
+    """The models are those of all n-grams; every document is measured with its spans, by models that have not seen it."""
+    words = {"aa": ("alpha", "beta", "gamma"), "zz": ("kilo", "lima", "mike")}
+    rows = [(i, " ".join(words[lang][(i * k) % 3] for k in range(1, 9)) + f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{lang}", lang) for i in range(2500) for lang in words]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(language_id, "GATHERED", 200)
+    seen = []
+    monkeypatch.setattr(language_id, "calibrate", lambda models, held, real=language_id.calibrate: seen.append(held) or real(models, held))
+    got = language_id.learn_models(docs, lambda i: i % 4 != 2)
+    want = language_id.build({lang: language_id.count_ngrams([t for i, t, of in rows if of == lang and i % 4 != 2]) for lang in words})
+    for n in range(1, language_id.ORDER + 1):
+        assert (got.keys[n] == want.keys[n]).all() and (got.logp[n] == want.logp[n]).all()
+    learnt = [(lang, len(s)) for i, t, lang in rows if i % 4 != 2 for s in language_id.spans(t)]
+    assert seen[0].count() == len(learnt) and seen[0].where("won").count() > 0.9 * len(learnt)
+    assert got.spread.shape == (2, 2) and got.tail[0] < 10
+
+
+def test_spans_are_measured_as_texts(spark):
+    m = language_id.build({"a": language_id.count_ngrams(["abba abc cab", "bab"]), "b": language_id.count_ngrams(["cc dd cd", "dcd"])})
+    texts = ["abba", "12", "dcd", "x", "cab dd"]
+    for (ce, n), (want, size) in zip(m.cross_entropies(texts), filter(None, map(m.cross_entropy, texts)), strict=True):
+        assert n == size and ce.tolist() == pytest.approx(want.tolist(), rel=1e-5)
