@@ -106,6 +106,16 @@ def test_a_batch_of_days_is_one_read_and_one_write_of_state():
     assert [(r["day"], r["events"], r["bot"]) for r in out] == [(1, 1, True), (2, 2, False), (3, 1, False)] and len(calls) == 3
 
 
+def copies(spark, name, part):
+    """How often a plan computes a part of an expression."""
+    return registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count(part)
+
+
+@pytest.mark.parametrize("name", ["word_signals", "distinctive_words"])
+def test_the_words_of_a_name_are_found_once(spark, name):
+    assert copies(spark, name, "split(") == (2 if name == "word_signals" else 1)  # blanks, and scripts
+
+
 def test_a_lateral_row_needs_no_join(spark):
     plan = registry.QUERIES["lateral_best_line"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 OBJECTS = "array<map<string,string>>"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it: a column is copied to each of its places."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def has_object(objects: Column, wanted: dict[str, str | int | float | bool | None]) -> Column:
     """Whether an array of objects, given as ``from_json(text, OBJECTS)``, holds one that has all of ``wanted``; extra fields do
     not matter. Values are compared by their JSON text; a wanted null must be there and be null."""

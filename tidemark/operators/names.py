@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions.nested import bound
 
 # ---------------------------------------------------------------- names
 
@@ -22,9 +23,8 @@ def cleaned_name(name: Column, tails: tuple[str, ...]) -> Column:
 
 
 def _rather(items: Column, weak: Callable[[Column], Column]) -> Column:
-    """The items that are not weak, or all of them where all are."""
-    strong = F.filter(items, lambda m: ~weak(m))
-    return F.when(F.size(strong) > 0, strong).otherwise(items)
+    """The items that are not weak, or all of them where all are. Items are named twice: they should be bound."""
+    return bound(F.filter(items, lambda m: ~weak(m)), lambda strong: F.when(F.size(strong) > 0, strong).otherwise(items))
 
 
 def distinctive_words(name: Column, areas: Column, generic: tuple[str, ...], suffix: str, branch: str) -> Column:
@@ -38,9 +38,8 @@ def distinctive_words(name: Column, areas: Column, generic: tuple[str, ...], suf
     marked = F.transform(words, lambda w: F.struct(F.regexp_replace(w, suffix, "").alias("core"), F.rlike(w, F.lit(branch)).alias("branch")))
     is_area = lambda c: F.exists(areas, lambda a: (a == c) | a.contains(c) | (c.contains(a) & (F.char_length(c) - F.char_length(a) <= 1)))
     kept = F.filter(marked, lambda m: (F.char_length(m["core"]) >= 2) & ~m["core"].isin(*generic) & ~is_area(m["core"]))
-    for weak in (lambda m: m["branch"], lambda m: F.rlike(m["core"], F.lit("^[0-9]+$"))):
-        kept = _rather(kept, weak)
-    return F.transform(kept, lambda m: m["core"])
+    is_number = lambda m: F.rlike(m["core"], F.lit("^[0-9]+$"))
+    return bound(kept, lambda k: bound(_rather(k, lambda m: m["branch"]), lambda own: F.transform(_rather(own, is_number), lambda m: m["core"])))
 
 
 def split_scripts(word: Column, scripts: tuple[str, str]) -> Column:
@@ -60,16 +59,19 @@ def word_signals(name: Column, areas: Column, generic: tuple[str, ...], suffix:
     """
     blank = F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"[ \t]+"), lambda w: w != "")
     parts = F.flatten(F.transform(blank, lambda w: F.transform(split_scripts(w, scripts), lambda p: F.struct(p.alias("raw"), F.rlike(w, F.lit(branch)).alias("branch")))))
-    cored = F.transform(parts, lambda m: F.struct(m["raw"].alias("raw"), F.regexp_replace(F.regexp_replace(m["raw"], "[,.;:]+$", ""), suffix, "").alias("core"), m["branch"].alias("branch")))
+    core = lambda raw: F.regexp_replace(F.regexp_replace(raw, "[,.;:]+$", ""), suffix, "")
     is_area = lambda c: F.exists(areas, lambda a: (a == c) | a.contains(c) | (c.contains(a) & (F.char_length(c) - F.char_length(a) <= 1)))
-    kept = F.filter(cored, lambda m: (F.char_length(m["core"]) >= 2) & ~m["core"].isin(*generic) & ~is_area(m["core"]))
-    pool = _rather(kept, lambda m: m["branch"])
+    kept = lambda ps: F.filter(F.transform(ps, lambda m: F.struct(m["raw"].alias("raw"), core(m["raw"]).alias("core"), m["branch"].alias("branch"))), lambda m: (F.char_length(m["core"]) >= 2) & ~m["core"].isin(*generic) & ~is_area(m["core"]))
     is_venue = lambda m: F.rlike(m["raw"], F.lit(venue)) | F.rlike(m["core"], F.lit(venue))
-    final = _rather(pool, is_venue)
-    strong = _rather(final, lambda m: F.rlike(m["core"], F.lit("^[0-9]+$")))
-    only = (F.size(pool) > 0) & F.forall(pool, is_venue)
-    left_out = F.exists(parts, lambda m: F.rlike(m["raw"], F.lit(venue))) & (F.size(final) > 0) & ~F.exists(final, is_venue)
-    return F.struct(F.transform(strong, lambda m: m["core"]).alias("words"), only.alias("venue_only"), left_out.alias("venue_left_out"))
+
+    def signals(ps: Column, pool: Column, final: Column) -> Column:
+        strong = _rather(final, lambda m: F.rlike(m["core"], F.lit("^[0-9]+$")))
+        only = (F.size(pool) > 0) & F.forall(pool, is_venue)
+        left_out = F.exists(ps, lambda m: F.rlike(m["raw"], F.lit(venue))) & (F.size(final) > 0) & ~F.exists(final, is_venue)
+        return F.struct(F.transform(strong, lambda m: m["core"]).alias("words"), only.alias("venue_only"), left_out.alias("venue_left_out"))
+
+    by_pool = lambda ps, pool: bound(_rather(pool, is_venue), lambda final: signals(ps, pool, final))
+    return bound(parts, lambda ps: bound(kept(ps), lambda k: bound(_rather(k, lambda m: m["branch"]), lambda pool: by_pool(ps, pool))))
 
 
 def names_entity(text: Column, name: Column, words: Column, context: str) -> Column:

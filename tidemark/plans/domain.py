@@ -49,6 +49,7 @@ def word_signals(spark, sf):
     k, brand = F.col("p_partkey"), F.lower("p_brand")
     more = F.when(k % 6 == 0, "24cafe").when(k % 6 == 1, F.concat(F.lit(" "), brand, F.lit("store"))).when(k % 6 == 2, " park, 7").when(k % 6 == 3, F.concat(F.lit(" tower"), "p_size")).when(k % 6 == 4, " best;").otherwise("store ring")
     own = load(spark, sf, "part").select(k.alias("id"), F.concat("p_name", more).alias("name"), F.array(brand, F.lit("north")).alias("areas"))
+    own = own.repartition("id")  # a small file is one task's, but each row is much work
     got = own.select("id", names.word_signals(F.col("name"), F.col("areas"), GENERIC, SUFFIX, BRANCH, VENUE, SCRIPTS).alias("s"))
     return got.select("id", F.array_join("s.words", "|").alias("words"), "s.venue_only", "s.venue_left_out")
 
