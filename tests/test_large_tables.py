@@ -116,6 +116,10 @@ def test_the_words_of_a_name_are_found_once(spark, name):
     assert copies(spark, name, "split(") == (2 if name == "word_signals" else 1)  # blanks, and scripts
 
 
+def test_a_quote_is_tidied_once(spark):
+    assert copies(spark, "display_quotes", "#[^ #]+") == 1
+
+
 def test_a_lateral_row_needs_no_join(spark):
     plan = registry.QUERIES["lateral_best_line"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions.nested import bound
 from tidemark.operators import large_groups
 
 # ---------------------------------------------------------------- predicates
@@ -32,15 +33,18 @@ def display_quote(quote: Column, name_words: Column, trade: str, details: str) -
 
     ``empty`` where fewer than six letters remain beside the name's words and words of the ``trade``.
     """
-    raw = F.trim(F.regexp_replace(F.coalesce(quote, F.lit("")), r"[ \t\r\n]+", " "))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"^ *[\[(][^\])]{0,24}[\])] *", ""), r"^[^\p{L}\p{N}]+", ""), r"#[^ #]+", " ")
-    ahead = F.get(F.split(bare, details, 2), F.lit(0))
-    cut = F.when(F.char_length(ahead) > 12, ahead).otherwise(bare)
-    tidy = F.trim(F.regexp_replace(F.regexp_replace(cut, r"[ ,:|/-]+$", ""), " +", " "))
-    shown = F.when(F.char_length(tidy) < 8, raw).otherwise(tidy)
-    rest = F.regexp_replace(F.aggregate(name_words, F.lower(shown), lambda acc, w: F.replace(acc, w, F.lit(" "))), trade, " ")
-    letters = F.char_length(F.regexp_replace(rest, r"[^\p{L}]", ""))
-    return F.struct(F.when(F.char_length(shown) < F.char_length(raw) - 4, F.concat(shown, F.lit("…"))).otherwise(shown).alias("text"), (letters < 6).alias("empty"))
+    # longer runs of blanks alone: replacing each single blank by a blank is most of the time of a long text
+    whole = F.trim(F.regexp_replace(F.coalesce(quote, F.lit("")), r"[ \t\r\n]{2,}|[\t\r\n]", " "))
+    bare = lambda raw: F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"^ *[\[(][^\])]{0,24}[\])] *", ""), r"^[^\p{L}\p{N}]+", ""), r"#[^ #]+", " ")
+    cut = lambda b: bound(F.get(F.split(b, details, 2), F.lit(0)), lambda ahead: F.when(F.char_length(ahead) > 12, ahead).otherwise(b))
+    tidy = lambda raw: F.trim(F.regexp_replace(F.regexp_replace(bound(bare(raw), cut), r"(?<![ ,:|/-])[ ,:|/-]+$", ""), " {2,}", " "))
+
+    def made(raw: Column, shown: Column) -> Column:
+        rest = F.regexp_replace(F.aggregate(name_words, F.lower(shown), lambda acc, w: F.replace(acc, w, F.lit(" "))), trade, " ")
+        letters = F.char_length(F.regexp_replace(rest, r"[^\p{L}]+", ""))
+        return F.struct(F.when(F.char_length(shown) < F.char_length(raw) - 4, F.concat(shown, F.lit("…"))).otherwise(shown).alias("text"), (letters < 6).alias("empty"))
+
+    return bound(whole, lambda raw: bound(bound(tidy(raw), lambda t: F.when(F.char_length(t) < 8, raw).otherwise(t)), lambda shown: made(raw, shown)))
 
 
 def scrubbed(quotes: Column) -> Column:
