@@ -120,6 +120,25 @@ def test_a_quote_is_tidied_once(spark):
     assert copies(spark, "display_quotes", "#[^ #]+") == 1
 
 
+def test_texts_are_read_once_and_not_shuffled(spark):
+    plan = registry.QUERIES["axis_coordinates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 12  # two groups of six words, each once
+    aggregate = next(line for line in plan.splitlines() if "Aggregate [owner" in line and "print" in line)
+    assert "min_by(" in aggregate and "text" not in aggregate
+
+
+def test_windows_of_words_that_overlap_themselves(spark):
+    from tidemark.functions import text as tx
+
+    rows = ["ananas", "no ana far from the next anana", "no anana", "no" + "." * 13 + "ana", "x" * 20 + "ana" + "." * 13 + "no", "no" + "." * 11 + "anana", ""]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("i", tx.said_and_denied(F.col("t"), ("ana",), "no").alias("s"), tx.said_and_denied(F.col("t"), ("ana", "zu"), "no").alias("z")).orderBy("i").collect()
+    want = []
+    for t in rows:
+        near = ["no" in t[max(0, p - 14) : p + 17] for p in range(len(t)) if t.startswith("ana", p)]
+        want.append((not all(near), any(near)))
+    assert [tuple(r["s"]) for r in got] == want == [tuple(r["z"]) for r in got]
+
+
 def test_a_lateral_row_needs_no_join(spark):
     plan = registry.QUERIES["lateral_best_line"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.nested import bound
+
 
 def link_key(url: Column) -> Column:
     """One key for a link: no scheme, no ``m.``, no query or fragment, no trailing slash, lower case."""
@@ -120,14 +122,19 @@ def said_and_denied(text: Column, words: tuple[str, ...], denial: str, reach: in
     """(said, denied): whether some occurrence of a word has no denial, and whether some has one, in the ``reach`` characters
     before and behind it. Every occurrence counts, overlapping ones too."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    windows = []
-    for w in words:
-        place = F.lit(rf"(?s)(?=({re.escape(w.lower())}.{{0,{reach}}}))(?<=(^.{{0,{reach - 1}}}|.{{{reach}}}))")
-        # cut only where a text holds the word at all
-        cut = F.zip_with(F.regexp_extract_all(low, place, F.lit(2)), F.regexp_extract_all(low, place, F.lit(1)), lambda a, b: F.concat(a, b))
-        windows.append(F.when(F.contains(low, F.lit(w.lower())), cut).otherwise(F.array().cast("array<string>")))
-    every = F.flatten(F.array(*windows))
-    return F.struct(F.exists(every, lambda x: ~F.rlike(x, F.lit(denial))).alias("said"), F.exists(every, lambda x: F.rlike(x, F.lit(denial))).alias("denied"))
+
+    def cut(low: Column, w: str) -> Column:
+        own = re.escape(w.lower())
+        around = rf"(?=(.{{0,{reach}}}))", rf"(^.{{0,{reach - 1}}}|.{{{reach}}})"
+        # a pattern that begins with the word is found faster, but passes over an occurrence that begins in the one before
+        overlaps = any(w.lower().startswith(w.lower()[k:]) for k in range(1, len(w)))
+        place = F.lit(rf"(?s)(?={own}(.{{0,{reach}}}))(?<={around[1]})" if overlaps else rf"(?s){own}{around[0]}(?<={around[1]}{own})")
+        both = F.zip_with(F.regexp_extract_all(low, place, F.lit(2)), F.regexp_extract_all(low, place, F.lit(1)), lambda a, b: F.concat(a, F.lit(w.lower()), b))
+        return F.when(F.contains(low, F.lit(w.lower())), both).otherwise(F.array().cast("array<string>"))  # cut only where a text holds the word at all
+
+    # windows are cut once, and each is told once
+    denials = lambda low: F.transform(F.flatten(F.array(*[cut(low, w) for w in words])), lambda x: F.rlike(x, F.lit(denial)))
+    return bound(bound(low, denials), lambda d: F.struct(F.exists(d, lambda x: ~x).alias("said"), F.exists(d, lambda x: x).alias("denied")))
 
 
 def particle(word: Column, after_consonant: str, after_vowel: str) -> Column:

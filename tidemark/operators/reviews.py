@@ -132,16 +132,17 @@ def axis_coordinates(texts: DataFrame, owner: str, key: str, text: str, years: s
     weigh by their age in ``years``. Texts of an owner that are equal but for blanks and case count once, the newest.
     """
     plain = F.regexp_replace(F.lower(F.trim(F.col(text))), r"\s+", "")
-    own = texts.where(F.length(text) > 0).select(F.col(owner).alias("owner"), F.md5(plain.cast("binary")).alias("print"), F.coalesce(F.col(years).cast("double"), F.lit(1e9)).alias("age"), F.col(key).alias("key"), F.col(text).alias("text"))
-    once = own.groupBy("owner", "print").agg(F.min(F.struct("age", "key", "text")).alias("t"))
-    weight = recency_weight(F.when(F.col("t.age") < 1e9, F.col("t.age")))
     flags = []
     for name, (strong, weak) in axes.items():
-        met = tx.said_and_denied(F.col("t.text"), strong, denial)
-        low = F.lower("t.text")
+        met = tx.said_and_denied(F.col(text), strong, denial)
+        low = F.lower(F.col(text))
         against = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in weak], F.lit(False))
         flags.append(F.struct(F.lit(name).alias("axis"), met.alias("met"), against.alias("against")))
-    rows = once.select("owner", weight.alias("w"), F.explode(F.array(*flags)).alias("f")).select("owner", "w", "f.axis", F.col("f.met.said").alias("said"), (F.col("f.met.denied") | F.col("f.against")).alias("against"))
+    # what a text says is found before equal ones meet, so that no text is shuffled
+    own = texts.where(F.length(text) > 0).select(F.col(owner).alias("owner"), F.md5(plain.cast("binary")).alias("print"), F.coalesce(F.col(years).cast("double"), F.lit(1e9)).alias("age"), F.col(key).alias("key"), F.xxhash64(text).alias("tie"), F.array(*flags).alias("flags"))
+    once = own.groupBy("owner", "print").agg(F.min_by(F.struct("age", "flags"), F.struct("age", "key", "tie")).alias("t"))
+    weight = recency_weight(F.when(F.col("t.age") < 1e9, F.col("t.age")))
+    rows = once.select("owner", weight.alias("w"), F.explode("t.flags").alias("f")).select("owner", "w", "f.axis", F.col("f.met.said").alias("said"), (F.col("f.met.denied") | F.col("f.against")).alias("against"))
     sums = rows.groupBy("owner", "axis").agg(F.count("*").alias("texts"), F.sum(F.when(F.col("said"), F.col("w")).otherwise(0.0)).alias("strong"), F.sum(F.when(F.col("against"), F.col("w")).otherwise(0.0)).alias("weak"))
     strong, weak = F.round("strong", 6), F.round("weak", 6)
     return sums.select(F.col("owner").alias(owner), "texts", "axis", strong.alias("strong"), weak.alias("weak"), taste_coordinate(strong, weak).alias("coordinate"))
