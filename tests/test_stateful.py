@@ -59,6 +59,16 @@ def test_touches_of_ten_batches_equal_one(spark, log):
     assert state[-1] < max(state)  # the end has passed everyone's age
 
 
+def test_touches_are_added_up_before_the_state(spark, log):
+    """The state is an aggregation's, so no row goes to Python; visitors of several spans have several rows."""
+    _, live, path = log
+    table = SnapshotTable.create(spark, f"file://{path}/touches", stateful.TOUCHES, ["anon_id", "since"], 8)
+    q = run(stateful.visitor_touches(live, "1 day"), "update", stateful.into_table(table, "touch"), path)
+    assert {s["operatorName"] for p in q.recentProgress for s in p["stateOperators"]} == {"stateStoreSave"}
+    rows = table.read().where("anon_id >= 0")
+    assert rows.agg(F.sum("visits")).first()[0] == 600 and rows.count() > rows.select("anon_id").distinct().count()
+
+
 def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
     table = SnapshotTable.create(spark, f"file://{tmp_path}/t", "k long, v long", ["k"], 4)
     write = stateful.into_table(table, "q")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.traffic import SEARCH_ENGINES
+from tidemark.sources import files
 from tidemark.sources.snapshots import SnapshotTable
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,59 +24,33 @@ DAY_MS, MINUTE_MS = 86_400_000, 60_000
 # ---------------------------------------------------------------- visitors
 
 
-class _Visitors(StatefulProcessor):
-    """First and last touch of a visitor; forgotten ``keep_ms`` after the last event."""
-
-    def __init__(self, keep_ms: int) -> None:
-        self.keep_ms = keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "since long, first long, src string, last long, visits long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        known = self.seen.get()
-        since, first, src, last, visits = known if known is not None else (None, None, None, None, 0)
-        for r in rows:
-            visits += 1
-            if first is None or (r["us"], r["src"] or "") < (first, src or ""):
-                first, src = r["us"], r["src"]
-            last = r["us"] if last is None else max(last, r["us"])
-        if since is None:
-            since = first
-            self.handle.registerTimer(last // 1000 + self.keep_ms)
-        self.seen.update((since, first, src, last, visits))
-        yield Row(anon_id=key[0], since=since, first_us=first, first_src=src, last_us=last, visits=visits)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
-        last = self.seen.get()[3]
-        if last // 1000 + self.keep_ms <= timerValues.getCurrentWatermarkInMs():
-            self.seen.clear()
-        else:
-            self.handle.registerTimer(last // 1000 + self.keep_ms)
-        return iter(())
-
-
 TOUCHES = "anon_id long, since long, first_us long, first_src string, last_us long, visits long"
 
 
 def visitor_touches(visits: DataFrame, keep: str = "30 days", late: str = "30 minutes") -> DataFrame:
     """Changed visitors of each batch: (anon_id, since, first_us, first_src, last_us, visits).
 
-    ``visits`` has (anon_id, ts, src). State goes ``keep`` after a visitor's last event; one who comes back later begins a new
-    row, told apart by ``since``. So a row (anon_id, since) only grows, and writing it again is harmless.
+    ``visits`` has (anon_id, ts, src). A visitor has one row for each span of ``keep`` with events, told apart by ``since``, its
+    beginning; the state of a span goes when the watermark passes its end. So a row (anon_id, since) only grows, and writing
+    it again is harmless. The state is that of an aggregation: rows are added up before they reach it, and none goes to Python.
     """
-    keep_ms = int(visits.sparkSession.sql(f"SELECT unix_millis(timestamp_millis(0) + INTERVAL {keep})").first()[0])
-    rows = visits.withWatermark("ts", late).select("anon_id", "ts", F.unix_micros("ts").alias("us"), "src")
-    return rows.groupBy("anon_id").transformWithState(_Visitors(keep_ms), TOUCHES, "update", "EventTime")
+    us = F.unix_micros("ts")
+    rows = visits.withWatermark("ts", late).groupBy("anon_id", F.window("ts", keep).alias("span")).agg(
+        F.min(F.struct(us.alias("us"), F.coalesce("src", F.lit("")).alias("known"), "src")).alias("first"), F.max(us).alias("last_us"), F.count("*").alias("visits")
+    )
+    return rows.select("anon_id", F.unix_micros("span.start").alias("since"), F.col("first.us").alias("first_us"), F.col("first.src").alias("first_src"), "last_us", "visits")
 
 
 def into_table(table: SnapshotTable, name: str):
     """A function for ``foreachBatch`` that upserts a batch by the keys of a stored table. A batch that is sent again after a
-    failure is known by its number and changes nothing."""
+    failure is known by its number and changes nothing. Rows are written first and then merged: the state of a batch is made once."""
 
     def write(rows: DataFrame, batch: int) -> None:
-        table.upsert(rows, f"{name}-{batch}")
+        spark = rows.sparkSession
+        path = files.scratch(spark, f"{name}-batch")
+        rows.write.parquet(path)
+        table.upsert(spark.read.schema(rows.schema).parquet(path), f"{name}-{batch}")
+        files.drop(spark, path)
 
     return write
 
