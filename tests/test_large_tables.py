@@ -139,6 +139,12 @@ def test_windows_of_words_that_overlap_themselves(spark):
     assert [tuple(r["s"]) for r in got] == want == [tuple(r["z"]) for r in got]
 
 
+def test_word_pairs_are_not_counted_where_texts_are_read(spark):
+    """No aggregate has the pairs as keys: its map would hold all pairs of a task."""
+    plan = registry.QUERIES["campaign_clusters"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" in plan and not [line for line in plan.splitlines() if "Aggregate [" in line and " g#" in line]
+
+
 def test_a_lateral_row_needs_no_join(spark):
     plan = registry.QUERIES["lateral_best_line"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan

@@ -188,8 +188,8 @@ def campaign_clusters(df: DataFrame, owner: str, least: int = 5, rate: float = 0
     """(owner, cluster_day, cluster_n, cluster_rate, personal_rate, template_score, suspect): the densest three days of an owner.
 
     ``df`` has (owner, id, day, text, personal). The mean overlap of word pairs over all pairs of texts, shared pairs over the
-    smaller set, is exact without forming any pair of texts: for one word pair the texts that hold it are counted by the size
-    of their sets, and each text of size s adds 1/s for every one of a larger set.
+    smaller set, is exact without forming any pair of texts: the texts that hold one word pair are sorted by the size of their
+    sets, and each text of size s adds 1/s for every one before it.
     """
     personally = F.sum(F.col("personal").cast("int")).alias("p")
     days = df.where(F.col("day").isNotNull()).groupBy(owner, "day").agg(F.count("*").alias("n"), personally, F.count("personal").alias("known"))
@@ -208,10 +208,9 @@ def campaign_clusters(df: DataFrame, owner: str, least: int = 5, rate: float = 0
     pairs = lambda ws: F.array_distinct(F.transform(F.when(F.size(ws) > 1, F.sequence(F.lit(1), F.size(ws) - 1)), lambda i: F.xxhash64(F.get(ws, i - 1), F.get(ws, i))))
     sized = once(once(words, pairs), lambda g: F.transform(g, lambda x: F.struct(F.size(g).alias("size"), x.alias("g"))))
     grams = members.select(owner, F.explode_outer(sized).alias("p")).where("p IS NOT NULL").select(owner, "p.size", "p.g")
-    sizes = grams.groupBy(owner, "g", "size").agg(F.count("*").alias("c"))
-    larger = F.coalesce(F.sum("c").over(Window.partitionBy(owner, "g").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    added = (F.col("c") * (F.col("c") - 1) / 2 + F.col("c") * larger) / F.col("size")
-    shared = sizes.select(owner, added.alias("added")).groupBy(owner).agg(F.sum("added").alias("shared"))
+    # one spilling sort: counting pairs in the tasks that read the texts would hold all pairs of a task in memory
+    larger = F.row_number().over(Window.partitionBy(owner, "g").orderBy(F.desc("size"))) - 1
+    shared = grams.select(owner, (larger / F.col("size")).alias("added")).groupBy(owner).agg(F.sum("added").alias("shared"))
     out = best.join(shared, owner, "left")
     score = F.coalesce("shared", F.lit(0.0)) / (F.col("cluster_n") * (F.col("cluster_n") - 1) / 2)
     suspect = (F.col("personal_rate") < personal) & ((F.col("template_score") >= template) | (F.col("cluster_rate") >= burst))
