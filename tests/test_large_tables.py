@@ -148,3 +148,19 @@ def test_word_pairs_are_not_counted_where_texts_are_read(spark):
 def test_a_lateral_row_needs_no_join(spark):
     plan = registry.QUERIES["lateral_best_line"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_a_document_is_read_once(spark, tmp_path):
+    """One reading for all columns, a second one only where the array is missing; results stay those of the SQL."""
+    plan = registry.QUERIES["objects_in_arrays"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == plan.count("parseJson(") == 1 and "get_json_object(" not in plan
+    duck, root = duckdb.connect(), tmp_path
+    flags = ["N", "R", "A", '"q"', "[{", "é\\"]
+    rows = [(o, line, o * line % 9, float(line), 1e10 / o, flags[(o + line) % 6]) for o in range(1, 200) if o % 5 for line in range(1, o % 4 + 2)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string")
+    lines.withColumn("l_shipdate", F.lit("1997-03-04 00:00:00").cast("timestamp")).write.parquet(f"{root}/lineitem.parquet")
+    spark.range(1, 205).select(F.col("id").alias("o_orderkey"), F.lit("[O]").alias("o_orderstatus")).write.parquet(f"{root}/orders.parquet")
+    for t in ("orders", "lineitem"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{root}/{t}.parquet/*.parquet'")
+    got = same(spark, (str(root), duck), "objects_in_arrays").groupBy("kind").count().collect()
+    assert {tuple(r) for r in got} == {("array", 160), ("null", 44)}

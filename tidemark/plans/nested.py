@@ -11,13 +11,18 @@ from tidemark.sources.results import Results
 # ---------------------------------------------------------------- nested rows
 
 
-def order_book(spark, sf):
-    """(id, status, items array<struct<line, part, qty, price, ship>>): orders with their lines, as a stored nested table."""
+def orders_with_lines(spark, sf):
+    """(id, status, items array<struct<line, part, qty, price, ship>>): orders with their lines."""
     items = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.to_date("l_shipdate").alias("ship"), F.col("l_returnflag").alias("flag")))).alias("items")
     )
     orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    return files.staged(orders.join(items, "id", "left"), "order-book")
+    return orders.join(items, "id", "left")
+
+
+def order_book(spark, sf):
+    """``orders_with_lines`` as a stored nested table."""
+    return files.staged(orders_with_lines(spark, sf), "order-book")
 
 
 _LINES = "l AS (SELECT o_orderkey AS id, o_orderstatus AS status, l_linenumber AS line, l_partkey AS part, l_quantity AS qty, l_extendedprice AS price, l_shipdate::DATE AS ship, l_returnflag AS flag FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)"
@@ -56,19 +61,20 @@ def lateral_best_line(spark, sf):
       CASE WHEN count(line) > 0 THEN string_agg(flag, '' ORDER BY line, part, qty, price, ship, flag) END AS flags, CASE WHEN count(line) > 0 THEN 'array' ELSE 'null' END AS kind, 'string' AS status_kind FROM l GROUP BY 1""",
 )
 def objects_in_arrays(spark, sf):
-    """Containment, lengths, kinds and paths in JSON documents with an array of objects."""
+    """Containment, lengths, kinds and paths in JSON documents with an array of objects. A document is read once: its array as
+    objects, its status as a variant. What can be read as objects is an array; only documents without such are read again."""
     document = F.to_json(F.struct("id", "status", "items"), {"ignoreNullFields": "false"})
-    docs = order_book(spark, sf).select("id", document.alias("json"))
-    objects = F.from_json(F.get_json_object("json", "$.items"), nested.OBJECTS)
-    json = F.col("json")
-    return docs.select(
+    docs = orders_with_lines(spark, sf).select("id", document.alias("json"))
+    read = docs.select("id", "json", F.from_json("json", f"items {nested.OBJECTS}, status variant").alias("read"))
+    objects = F.col("read.items")
+    return read.select(
         "id",
         nested.has_object(objects, {"flag": "R", "line": 1}).alias("first_returned"),
         (nested.has_object(objects, {"part": 7}) | nested.has_object(objects, {"flag": "N"})).alias("any_of"),
-        F.coalesce(nested.json_length(json, "$.items"), F.lit(0)).alias("lines"),
-        F.array_join(nested.json_values(json, "$.items", "flag"), "").alias("flags"),
-        nested.json_kind(json, "$.items").alias("kind"),
-        nested.json_kind(json, "$.status").alias("status_kind"),
+        F.coalesce(F.array_size(objects), F.lit(0)).alias("lines"),
+        F.array_join(nested.object_values(objects, "flag"), "").alias("flags"),
+        F.when(objects.isNotNull(), "array").otherwise(nested.json_kind(F.col("json"), "$.items")).alias("kind"),
+        nested.variant_kind(F.col("read.status")).alias("status_kind"),
     )
 
 
